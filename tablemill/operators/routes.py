@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablemill.functions.tables import local_table
+
 # Families of edges, in order. Every input goes to every output of its family.
 # converter | inputs | outputs | quality loss (per target after ':') | same-format quality | metadata losses (by ';')
 # | multiplier | streaming targets ('*' all) | base cost | mode | root only
@@ -53,8 +55,8 @@ EDGE_SCHEMA = ("edge_order int, source string, target string, converter string,
 
 def conversion_edges(spark: SparkSession) -> DataFrame:
     """One row per edge, expanded from the families."""
-    families = spark.createDataFrame(
-        [(i, *line.split("|")) for i, line in enumerate(FAMILIES.strip().splitlines())],
+    families = local_table(
+        spark, [(i, *line.split("|")) for i, line in enumerate(FAMILIES.strip().splitlines())],
         "family int, converter string, inputs string, outputs string, same string, metadata string, multiplier string, "
         "streams string, cost string, mode string, root string")
     pairs = (
@@ -97,15 +99,19 @@ MAX_HOPS = 6
 
 def available_targets(edges: DataFrame, sources: DataFrame | None = None, max_hops: int = MAX_HOPS) -> DataFrame:
     """``(source, target)`` for every target reachable from a source; root-only edges leave the source itself only."""
-    starts = (sources if sources is not None else edges.select("source")).select("source").distinct()
+    starts = (sources if sources is not None else edges).select("source").distinct().coalesce(1)
     step = edges.select(F.col("source").alias("node"), F.col("target").alias("next"), "root_only")
+    # staying put is a step too, so that each round reads the one before it only once
+    stay = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().select(
+        "node", F.col("node").alias("next"), F.lit(False).alias("root_only"))
+    moves = F.broadcast(step.union(stay))
+    allowed = ~F.col("root_only") | (F.col("node") == F.col("source"))
     reach = starts.select("source", F.col("source").alias("node"))
     for _ in range(max_hops):
-        onward = reach.join(step, "node").where(~F.col("root_only") | (F.col("node") == F.col("source")))
-        reach = reach.union(onward.select("source", F.col("next").alias("node"))).distinct()
+        reach = reach.join(moves, "node").where(allowed).select("source", F.col("next").alias("node")).distinct()
     # a node counts as target only when an edge leads to it, which is so for the source only if one returns
-    last = reach.join(step, "node").where(~F.col("root_only") | (F.col("node") == F.col("source")))
-    return last.select("source", F.col("next").alias("target")).distinct()
+    return reach.join(F.broadcast(step), "node").where(allowed).select(
+        "source", F.col("next").alias("target")).distinct()
 
 
 def common_targets(edges: DataFrame, detected: DataFrame, batch: str = "batch") -> DataFrame:
@@ -134,22 +140,29 @@ def plan_routes(edges: DataFrame, pairs: DataFrame | None = None, preference: st
     own key, then the order of the edge.
     """
     scored = edges.withColumn("cost", edge_score(preference))
+    edge = F.struct(*ROUTE_EDGE)
     step = scored.select(F.col("source").alias("node"), F.col("target").alias("next"), "cost", "root_only", "edge_order",
-                         F.struct(*ROUTE_EDGE).alias("edge"))
-    starts = (pairs if pairs is not None else edges).select("source").distinct()
+                         edge.alias("edge"))
+    # staying put costs nothing and adds no hop, so that each round reads the one before it only once
+    stay = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().select(
+        "node", F.col("node").alias("next"), F.lit(0.0).alias("cost"), F.lit(False).alias("root_only"),
+        F.lit(None).cast("int").alias("edge_order"), F.lit(None).cast(step.schema["edge"].dataType).alias("edge"))
+    moves = F.broadcast(step.unionByName(stay))
+    starts = (pairs if pairs is not None else edges).select("source").distinct().coalesce(1)
     no_hops = F.array().cast(T.ArrayType(step.schema["edge"].dataType))
     best = starts.select("source", F.col("source").alias("node"), F.struct(
         F.lit(0.0).alias("score"), F.array().cast("array<double>").alias("key"), no_hops.alias("hops")).alias("b"))
+    moved = F.struct(
+        F.round(F.col("b.score") + F.col("cost"), 4).alias("score"),
+        F.concat(F.array("b.score"), F.col("b.key"), F.array(F.col("edge_order").cast("double"))).alias("key"),
+        F.concat("b.hops", F.array("edge")).alias("hops"))
     for _ in range(max_hops):
-        onward = (
-            best.join(F.broadcast(step), "node")
-            .where((~F.col("root_only") | (F.col("node") == F.col("source"))) & (F.col("next") != F.col("source")))
-            .select("source", F.col("next").alias("node"), F.struct(
-                F.round(F.col("b.score") + F.col("cost"), 4).alias("score"),
-                F.concat(F.array("b.score"), F.col("b.key"), F.array(F.col("edge_order").cast("double"))).alias("key"),
-                F.concat("b.hops", F.array("edge")).alias("hops")).alias("b")))
-        best = best.unionByName(onward).groupBy("source", "node").agg(
-            F.min_by("b", F.struct("b.score", "b.key")).alias("b"))
+        onward = best.join(moves, "node").where(
+            (~F.col("root_only") | (F.col("node") == F.col("source")))
+            & (F.col("edge").isNull() | (F.col("next") != F.col("source"))))
+        best = onward.select("source", F.col("next").alias("node"),
+                             F.when(F.col("edge").isNull(), F.col("b")).otherwise(moved).alias("b")).groupBy(
+            "source", "node").agg(F.min_by("b", F.struct("b.score", "b.key")).alias("b"))
     routes = best.where(F.col("node") != F.col("source")).select(
         "source", F.col("node").alias("target"), "b.score", "b.hops")
     direct = scored.where(F.col("source") == F.col("target")).groupBy("source", "target").agg(
