@@ -79,7 +79,7 @@ def running_index(
 def ordered_parts(
     df: DataFrame, keys: Sequence[str], order: str, text: Column, separator: str, rows: int = 10_000
 ) -> DataFrame:
-    """Join ``text`` along an integer ``order`` (0-based, dense) into parts of at most ``rows`` pieces.
+    """Join ``text`` along a unique integer ``order`` (from 0 or 1 up) into parts of at most ``rows`` pieces.
 
     Rows ``(keys, part, text)``; the parts of a key in ``part`` order, put together, are the whole text.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +35,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     values = F.struct(*[expr.alias(name) for name, expr in columns.items()])
     return df.select("*", F.inline(F.array(values)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, for use inside lambdas, where repeats are not shared."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablemill.functions.tables import let
+
 # The white space that ECMAScript's trim() and \s accept, as a Java regex class.
 JS_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
@@ -67,18 +69,17 @@ def js_number(col: Column) -> Column:
 
 def clock_ms(col: Column) -> Column:
     """``[h:]m:s`` text to milliseconds, half up; the first comma is the decimal point; null when not a clock."""
-    clean = F.regexp_replace(js_trim(col), r"^([^,]*),", "$1.")
-    parts = F.split(clean, ":")
-    n = F.size(parts)
-
-    def number(i: Column) -> Column:
-        piece = js_trim(F.get(parts, i))
-        return F.when(piece == "", F.lit(0.0)).otherwise(
-            F.when(piece.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), piece.try_cast("double")))
-
-    hours = F.when(n == 3, number(F.lit(0))).otherwise(F.lit(0.0))
-    total = hours * 3600 + number(n - 2) * 60 + number(n - 1)
-    return F.when((n >= 2) & (n <= 3), F.floor(total * 1000 + 0.5).cast("bigint"))
+    def number(piece: Column) -> Column:
+        return let(js_trim(piece), lambda p: F.when(p == "", F.lit(0.0)).when(
+            p.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), p.try_cast("double")))
+
+    def total(parts: Column) -> Column:
+        n = F.size(parts)
+        hours = F.when(n == 3, number(F.get(parts, F.lit(0)))).otherwise(F.lit(0.0))
+        seconds = hours * 3600 + number(F.get(parts, n - 2)) * 60 + number(F.get(parts, n - 1))
+        return F.when((n >= 2) & (n <= 3), F.floor(seconds * 1000 + 0.5).cast("bigint"))
+
+    return let(F.split(F.regexp_replace(js_trim(col), r"^([^,]*),", "$1."), ":"), total)
 
 
 def clean_ass(col: Column) -> Column:

@@ -145,7 +145,10 @@ def _jpeg_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width bigint, height bigint>")
+SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
+
+
+@F.pandas_udf(SIZE)
 def _jpeg_sizes(content: pd.Series) -> pd.DataFrame:
     sizes = [_jpeg_size(bytes(c)) if c is not None and c[:2] == b"\xff\xd8" else None for c in content]
     return pd.DataFrame({
