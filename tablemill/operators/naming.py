@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.ordering import RANGE_ROWS, int_range, running, running_index
+from tablemill.functions.tables import once
 from tablemill.functions.text import JS_SPACE
 from tablemill.session import shared_dir
 
@@ -60,7 +61,7 @@ def render_names(
     name = sanitize_name(F.concat(*pieces, F.lit(text[at:])))
     if ext:
         name = F.when(F.lower(name).endswith("." + ext.lower()), name).otherwise(F.concat(name, F.lit("." + ext)))
-    return df.withColumn(out, name)
+    return once(df.drop(out), **{out: name})
 
 
 @dataclass(frozen=True)
@@ -104,9 +105,11 @@ def _unique(df: DataFrame, name: str, order: str, style: SuffixStyle, out: str)
     names = df.groupBy(F.lower(F.col(name)).alias("l")).agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     directory, stem, extension = _split(F.col("l"), style)
-    parsed = names.select(
-        "l", "n", "first", F.regexp_extract(stem, style.numbered, 2).alias("number"),
-        F.concat(directory, F.regexp_extract(stem, style.numbered, 1), extension).alias("parent"))
+    split = once(names, dir=directory, stem=stem, ext=extension)
+    parsed = once(
+        split.select("l", "n", "first", "dir", "stem", "ext"),
+        number=F.regexp_extract("stem", style.numbered, 2),
+        parent=F.concat("dir", F.regexp_extract("stem", style.numbered, 1), "ext"))
     children = parsed.where(F.col("number") != "").select(
         "parent", F.col("l").alias("child"), F.col("number").cast("bigint").alias("number"), "first")
     parents = names.select(F.col("l").alias("parent"), F.col("n").alias("parent_rows"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
 import json
+import lzma
 import math
 import os
 import re
@@ -13,6 +16,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -137,7 +141,7 @@ class ArrowFileWriter(PartWriter, DataSourceArrowWriter):
             sink = writer = None
             for batch in iterator:
                 if writer is None:
-                    sink = system.open_output_stream(path)
+                    sink = system.open_output_stream(path, compression=None)
                     writer, target = pa.ipc.new_file(sink, batch.schema), path
                 writer.write_batch(batch)
             if writer is not None:
@@ -195,7 +199,7 @@ class SqliteShardWriter(PartWriter, DataSourceWriter):
             db.execute("COMMIT")
             db.close()
             with self.parts.attempt(_partition()) as (system, path):
-                with system.open_output_stream(path) as out, open(scratch, "rb") as data:
+                with system.open_output_stream(path, compression=None) as out, open(scratch, "rb") as data:
                     while block := data.read(8 << 20):
                         out.write(block)
         finally:
@@ -246,31 +250,30 @@ class ArchiveWriter(PartWriter, DataSourceWriter):
         if first is None:
             return Written(None)
         with self.parts.attempt(_partition()) as (system, path):
-            with system.open_output_stream(path) as out:
+            with system.open_output_stream(path, compression=None) as out:
                 (self._zip if self.fmt == "zip" else self._tar)(out, first, iterator)
         return Written(path)
 
     def _zip(self, out, first, rest) -> None:
         kind = zipfile.ZIP_STORED if self.level == 0 else zipfile.ZIP_DEFLATED
         with zipfile.ZipFile(_Forward(out), "w", kind, compresslevel=self.level or None) as archive:
-            for row in [first]:
-                archive.writestr(zipfile.ZipInfo(row[0]), row[1], kind, self.level or None)
-            for row in rest:
-                archive.writestr(zipfile.ZipInfo(row[0]), row[1], kind, self.level or None)
+            for path, content in chain([first], rest):
+                archive.writestr(zipfile.ZipInfo(path), content, kind, self.level or None)
 
     def _tar(self, out, first, rest) -> None:
-        mode = {"tar": "w|", "tar-gzip": "w|gz", "tar-bzip2": "w|bz2", "tar-xz": "w|xz"}[self.fmt]
-        with tarfile.open(fileobj=_Forward(out), mode=mode, format=tarfile.USTAR_FORMAT, bufsize=512) as archive:
-            for row in [first]:
-                self._add(archive, row)
-            for row in rest:
-                self._add(archive, row)
-
-    @staticmethod
-    def _add(archive: tarfile.TarFile, row) -> None:
-        info = tarfile.TarInfo(row[0])
-        info.size, info.mode, info.mtime = len(row[1]), 0o644, 0
-        archive.addfile(info, io.BytesIO(row[1]))
+        """Blocks of 512 bytes, closed by two empty ones."""
+        forward = _Forward(out)
+        stream = {"tar": lambda: forward, "tar-gzip": lambda: gzip.GzipFile("", "wb", fileobj=forward, mtime=0),
+                  "tar-bzip2": lambda: bz2.BZ2File(forward, "wb"), "tar-xz": lambda: lzma.LZMAFile(forward, "wb")}[self.fmt]()
+        for path, content in chain([first], rest):
+            info = tarfile.TarInfo(path)
+            info.size, info.mode, info.mtime = len(content), 0o644, 0
+            stream.write(info.tobuf(tarfile.USTAR_FORMAT, "utf-8", "strict"))
+            stream.write(content)
+            stream.write(b"\0" * (-len(content) % 512))
+        stream.write(b"\0" * 1024)
+        if stream is not forward:
+            stream.close()
 
 
 class _Forward(io.RawIOBase):
