@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions.ordering import running_index
@@ -117,68 +117,63 @@ def _layouts(spark: SparkSession, fmt: str, tasks: DataFrame) -> DataFrame:
     return paths.select("path", F.col("path").alias("layout"), F.lit(None).cast("string").alias("error"))
 
 
-def _read_tables(spark: SparkSession, fmt: str, paths: list[str], options: dict) -> tuple[DataFrame, Column]:
-    """The files as one table and the expression that tells the file of a row."""
+def _read_tables(spark: SparkSession, fmt: str, paths: list[str], options: dict) -> DataFrame:
+    """The files as one table, with the file (``__path``) and place (``__block, __row``) of every row."""
     delimiter, header = options.get("delimiter", "auto"), options.get("header", True)
+    place = F.monotonically_increasing_id().alias("__row")
     if fmt in ("csv", "tsv"):
         df = tabular.read_csv(spark, paths, "\t" if fmt == "tsv" else delimiter, header, multiline=options.get("multiline", False))
-        return df, F.col("_metadata.file_path")
+        return df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
+                         place)
     if fmt == "parquet":
-        return tabular.read_parquet(spark, paths), F.col("_metadata.file_path")
+        return tabular.read_parquet(spark, paths).select(
+            "*", F.col("_metadata.file_path").alias("__path"), F.lit(0).alias("__block"), F.col("_metadata.row_index").alias("__row"))
     if fmt in ("json-data", "jsonl"):
         rows = tabular.json_line_rows(spark, paths) if fmt == "jsonl" else tabular.json_document_rows(spark, paths)
-        checked = jsonbridge.normalize_rows(rows, "json", "row_index")
-        table = jsonbridge.rows_to_table(checked, jsonbridge.ordered_columns(checked), ["file"])
-        types = jsonbridge.text_types(table.drop("file"))
-        return jsonbridge.retype_text(table.withColumnRenamed("file", "__file"), types), F.col("__file")
-    if len(paths) > 1:
-        raise ValueError("one file at a time")
+        checked = jsonbridge.normalize_rows(rows, "json", "row_index").withColumn("__path", F.col("file")).withColumn(
+            "__block", F.lit(0)).withColumn("__row", F.col("row_index"))
+        names = jsonbridge.ordered_columns(checked)
+        table = jsonbridge.rows_to_table(checked, names, ["__path", "__block", "__row"])
+        return jsonbridge.retype_text(table, jsonbridge.text_types(table.select(*[f"`{n}`" for n in names])))
+    # one file at a time
     df = tabular.read_arrow(spark, paths[0]) if fmt == "arrow" else read_sqlite(spark, paths[0], options.get("table"))
-    return df, F.lit(paths[0])
+    return df.select("*", F.lit(paths[0]).alias("__path"), F.lit(0).alias("__block"), place)
 
 
-WRITERS: dict[str, Callable] = {
-    "csv": writers.write_csv, "tsv": writers.write_tsv, "jsonl": writers.write_jsonl, "json-data": writers.write_json_array,
-    "parquet": writers.write_parquet}
+PLACE = ["__block", "__row"]
 
 
-def _write_group(df: DataFrame, file: Column, tasks: DataFrame, target: str, out: str, options: dict) -> DataFrame:
-    """Write the rows below ``out/output_name=…``; returns ``(output_name, rows)`` as counted after reading back."""
-    names = tasks.select(F.col("path").alias("__path"), "output_name")
-    keyed = df.withColumn("__path", file)
-    keyed = keyed.drop("__file") if "__file" in keyed.columns else keyed
-    joined = keyed.join(names, "__path").drop("__path")
-    options_by = {"csv": {"header": str(options.get("header", True)).lower(), "quote": '"', "escape": '"', "sep": ","},
-                  "tsv": {"header": str(options.get("header", True)).lower(), "quote": '"', "escape": '"', "sep": "\t"},
-                  "jsonl": {"ignoreNullFields": "false"}, "json-data": {"ignoreNullFields": "false"},
-                  "parquet": {"compression": "zstd"}}[target]
+def _write_group(df: DataFrame, tasks: DataFrame, target: str, out: str, options: dict) -> DataFrame:
+    """Write the rows below ``out/output_name=…``; returns ``(output_name, rows)`` as counted after reading back.
+
+    Ranges of (output, place) are the tasks: a large file is spread over many, and its part files keep its order.
+    """
     spark = df.sparkSession
+    names = tasks.select(F.col("path").alias("__path"), "output_name")
+    rows = df.join(names, "__path").drop("__path").repartitionByRange("output_name", *PLACE).sortWithinPartitions(
+        "output_name", *PLACE)
+    cells = {"header": options.get("header", True), "quote": '"', "escape": '"', "emptyValue": '""',
+             "sep": "\t" if target == "tsv" else ","}
     if target in ("csv", "tsv"):
-        name = F.col("output_name")
-        writers._flat(joined.drop("output_name").withColumn("output_name", name)).write.mode("append").options(
-            **options_by).partitionBy("output_name").csv(out)
-        back = spark.read.options(**options_by, multiLine=True).csv(out)
+        writers.flat(rows.drop(*PLACE)).write.options(**cells).partitionBy("output_name").csv(out)
+        back = spark.read.options(**cells, multiLine=True).csv(out)
     elif target == "parquet":
-        joined.write.mode("append").options(**options_by).partitionBy("output_name").parquet(out)
+        rows.drop(*PLACE).write.option("compression", "zstd").partitionBy("output_name").parquet(out)
         back = spark.read.option("mergeSchema", "true").parquet(out)
     else:
-        export = jsonbridge.json_export_values(joined.drop("output_name"))
-        body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in joined.columns if c != "output_name"]), {"ignoreNullFields": "false"})
-        del export
-        lines = jsonbridge.json_export_values(joined).select("output_name", body.alias("value"))
-        if target == "json-data":
-            # rows of one file stay together, framed as one array
-            lines = lines.repartition("output_name").sortWithinPartitions("output_name").mapInPandas(
-                _frame_arrays, "output_name string, value string")
-        lines.write.mode("append").partitionBy("output_name").text(out)
-        back = spark.read.text(out)
+        data = [c for c in rows.columns if c not in ("output_name", *PLACE)]
+        export = jsonbridge.json_export_values(rows.select(*[f"`{c}`" for c in data], "output_name"))
+        lines = export.select("output_name", F.to_json(
+            F.struct(*[F.col(f"`{c}`") for c in data]), {"ignoreNullFields": "false"}).alias("value"))
         if target == "json-data":
-            back = back.where(~F.col("value").isin("[", "]", "[]"))
+            lines = lines.mapInPandas(_frame_arrays, "output_name string, value string")
+        lines.write.partitionBy("output_name").text(out)
+        back = spark.read.text(out).where(~F.col("value").isin("[", "]", "[]"))
     return back.groupBy("output_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _frame_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One JSON array per output: rows arrive sorted by output, so each is opened and closed once."""
+    """A JSON array per output and part file: rows arrive sorted by output, so each is opened and closed once."""
     name, last = None, None
     for batch in batches:
         names, values = [], []
@@ -219,11 +214,12 @@ def _convert_tables(spark: SparkSession, fmt: str, tasks: DataFrame, target: str
 def _convert_group(spark, fmt, tasks: DataFrame, target: str, out: str, options: dict, query: str) -> DataFrame:
     paths = [r["path"] for r in tasks.select("path").toLocalIterator()]
     try:
-        df, file = _read_tables(spark, fmt, paths, options)
+        df = _read_tables(spark, fmt, paths, options)
         if query:
-            df, file = restricted_sql({"data": df.drop("__file")}, query), F.lit(paths[0])
+            df = restricted_sql({"data": df.drop("__path", *PLACE)}, query).select(
+                "*", F.lit(paths[0]).alias("__path"), F.lit(0).alias("__block"), F.monotonically_increasing_id().alias("__row"))
         folder = work_path(spark, "group")
-        counted = _write_group(df, file, tasks, target, folder, options)
+        counted = _write_group(df, tasks, target, folder, options)
         kept = work_path(spark, "counts")
         counted.write.parquet(kept)
         _publish(spark, folder, out)

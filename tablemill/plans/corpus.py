@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.operators import archive, batch, formats, naming, routes
-from tablemill.plans.registry import query
+from tablemill.plans.registry import TABLES, query
+from tablemill.session import work_path
+from tablemill.streaming.ingest import ingest_available
 
 # One kind of content per page: (hex or text, the format it must be taken for).
 CONTENTS = [
@@ -641,3 +643,31 @@ def archive_summary(spark, t):
     return archive.inspect_archives(doc_entries(t), doc_archives(t)).select(
         "archive_id", "files", "directories", "expanded_size", "encrypted", "password_required",
         F.round("compression_ratio", 6).alias("compression_ratio"))
+
+
+# ---- whole runs ----
+
+@query("b1_convert_corpus", " UNION ALL ".join(f"""
+SELECT '{n}.parquet' AS source_name, 'parquet' AS format_id, 'completed' AS state, 'Complete' AS stage, '{n}.csv' AS output_name,
+  (SELECT count(*) FROM {n}) AS rows, NULL AS error""" for n in sorted(TABLES)))
+def convert_tables(spark, t):
+    """All given tables, found by content and written as CSV under names from a template."""
+    from tablemill.plans.convert import convert_corpus
+
+    done = convert_corpus(spark, [t.path(n) for n in TABLES], "csv", work_path(spark, "out"), {"template": "{name}"})
+    return done.select("source_name", "format_id", "state", "stage", "output_name", "rows", "error")
+
+
+@query("b8_resumable_intake", """
+SELECT DISTINCT event_type, TRUE AS each_once, 'jsonl' AS format_id FROM events
+""")
+def intake(spark, t):
+    """Events arrive as JSON Lines files in two deliveries; the second run must take the new files only."""
+    inbox, out, checkpoint = (work_path(spark, n) for n in ("inbox", "catalogue", "progress"))
+    late = F.col("event_type").isin("click", "view")
+    for delivery in (t.events.where(~late), t.events.where(late)):
+        delivery.withColumn("kind", F.col("event_type")).write.mode("append").partitionBy("kind").json(inbox)
+        ingest_available(spark, inbox, out, checkpoint).awaitTermination()
+    seen = spark.read.parquet(out).withColumn("event_type", F.regexp_extract("path", "kind=([a-z]+)/", 1))
+    return seen.groupBy("event_type").agg(
+        (F.count(F.lit(1)) == F.count_distinct("path")).alias("each_once"), F.max("format_id").alias("format_id"))

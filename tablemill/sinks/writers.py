@@ -34,7 +34,7 @@ from tablemill.sinks.paths import PartFiles
 # ---- text and Parquet: Spark's own writers ----
 
 
-def _flat(df: DataFrame) -> DataFrame:
+def flat(df: DataFrame) -> DataFrame:
     """Nested values as JSON text, so that flat formats can hold them."""
     def cell(f: T.StructField):
         nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
@@ -45,7 +45,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, delimiter: str = "auto", header: bool = True, mode: str = "errorifexists") -> None:
     """CSV part files; ``auto`` writes commas. Quotes inside cells are doubled."""
-    _flat(df).write.mode(mode).options(
+    flat(df).write.mode(mode).options(
         sep="," if delimiter == "auto" else delimiter, header=header, quote='"', escape='"', emptyValue='""',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
@@ -223,10 +223,10 @@ def write_sqlite_shards(df: DataFrame, folder: str, affinity: Mapping[str, str]
     Column kinds follow the schema, or ``affinity`` (as inferred from JSON rows). Booleans become 1 and 0, nested
     values JSON text, times and decimals text.
     """
-    flat = coerce_cells(df)
+    coerced = coerce_cells(df)
     plain = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BinaryType, T.StringType)
-    ready = flat.select(*[F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else
-                          F.col(f"`{f.name}`").cast("string").alias(f.name) for f in flat.schema.fields])
+    ready = coerced.select(*[F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else
+                          F.col(f"`{f.name}`").cast("string").alias(f.name) for f in coerced.schema.fields])
     columns = [(f.name, (affinity or {}).get(f.name) or _affinity(f.dataType)) for f in df.schema.fields]
     df.sparkSession.dataSource.register(SqliteSink)
     ready.write.format("tablemill_sqlite_shards").mode("append").option("path", folder).option(
