@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablemill.functions.tables import once
 from tablemill.functions.text import js_number, js_trim
 
 MAX_COLUMNS = 2000
@@ -33,10 +34,10 @@ def normalize_rows(raw: DataFrame, json_col: str, index_col: str) -> DataFrame:
 
     ``index_col`` holds the 0-based position among the non-blank rows. Text that is no JSON value gives null.
     """
-    text = js_trim(F.col(json_col))
+    trimmed = once(raw, __t=js_trim(F.col(json_col)))
+    text = F.col("__t")
     wrapped = F.concat(F.lit('{"value":'), text, F.lit(',"row_index":'), F.col(index_col).cast("string"), F.lit("}"))
-    return raw.withColumn(
-        "row_json", F.when(is_json(text), F.when(text.startswith("{"), text).otherwise(wrapped)))
+    return once(trimmed, row_json=F.when(is_json(text), F.when(text.startswith("{"), text).otherwise(wrapped))).drop("__t")
 
 
 def _ordered_keys(row_json: Column) -> Column:
@@ -71,18 +72,20 @@ def ordered_columns(rows: DataFrame, max_columns: int = MAX_COLUMNS, index_col:
 
 def rows_to_table(rows: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One text column per key, each value as the text its CSV cell would hold (null for null and for missing)."""
-    parsed = rows.select(
-        *keep,
-        F.from_json("row_json", T.MapType(T.StringType(), T.StringType())).alias("__text"),
-        F.from_json("row_json", T.MapType(T.StringType(), T.VariantType())).alias("__typed"))
+    # only numbers with a fraction, an exponent or many digits may print differently from how they are written
+    odd = F.col("row_json").rlike(r"[0-9](?:\.[0-9]|[eE])|[0-9]{16}")
+    parsed = once(
+        rows.select(*keep, "row_json"),
+        __text=F.from_json("row_json", T.MapType(T.StringType(), T.StringType())),
+        __typed=F.when(odd, F.from_json("row_json", T.MapType(T.StringType(), T.VariantType()))))
 
     def cell(name: str) -> Column:
         raw, value = F.col("__text")[name], F.col("__typed")[name]
         kind = F.schema_of_variant(value)
         number = F.try_variant_get(value, "$", "double")
-        renders = kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT)") | (
-            (kind == "BIGINT") & (F.abs(number) > MAX_SAFE_INTEGER))
-        return F.when(kind == "VOID", F.lit(None)).when(renders, js_number(number)).otherwise(raw)
+        renders = raw.rlike(r"^-?[0-9](?:.*[.eE]|[0-9]{15})") & kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT|BIGINT)") & (
+            (kind != "BIGINT") | (F.abs(number) > MAX_SAFE_INTEGER))
+        return F.when(renders, js_number(number)).otherwise(raw)
 
     return parsed.select(*keep, *[cell(c).alias(c) for c in columns])
 
@@ -176,33 +179,39 @@ def coerce_cells(df: DataFrame) -> DataFrame:
     return df.select(*[cell(f).alias(f.name) for f in df.schema.fields])
 
 
-# Tried in this order; a column takes the first type that all its non-empty values fit.
-TEXT_TYPES = [
+# Shapes of text values, tried in this order.
+SHAPES = [
     ("bigint", r"^[+-]?(?:0|[1-9]\d*)$"),
     ("double", r"^[+-]?(?:(?:0|[1-9]\d*)(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"),
     ("boolean", r"(?i)^(?:true|false)$"),
     ("date", r"^\d{4}-\d{2}-\d{2}$"),
     ("timestamp_ntz", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?$"),
 ]
+# A column takes the first type that covers all shapes seen in it.
+COVERS = [("bigint", {"bigint"}), ("double", {"bigint", "double"}), ("boolean", {"boolean"}), ("date", {"date"}),
+          ("timestamp_ntz", {"date", "timestamp_ntz"})]
 
 
 def text_types(df: DataFrame) -> dict[str, str]:
-    """The narrowest type of every text column, from one pass that returns a single row of flags."""
+    """The narrowest type of every text column, from one pass that returns a single row with a bit set per column."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return {}
-    flags = []
-    for i, name in enumerate(names):
+
+    def shape(name: str) -> Column:
         value = F.nullif(F.col(f"`{name}`"), F.lit(""))
-        flags.append(F.count(value).alias(f"n{i}"))
-        for j, (dtype, pattern) in enumerate(TEXT_TYPES):
-            fits = value.rlike(pattern) & value.try_cast(dtype).isNotNull()
-            flags.append(F.bool_and(F.when(value.isNotNull(), fits)).alias(f"c{i}_{j}"))
-    row = df.agg(*flags).first()
+        bit = F.when(value.isNull(), 0)
+        for i, (dtype, pattern) in enumerate(SHAPES):
+            bit = bit.when(value.rlike(pattern) & value.try_cast(dtype).isNotNull(), 1 << i)
+        return F.bit_or(bit.otherwise(1 << len(SHAPES)))
+
+    row = df.agg(*[shape(n).alias(f"c{i}") for i, n in enumerate(names)]).first()
     types = {}
     for i, name in enumerate(names):
-        fitting = [t for j, (t, _) in enumerate(TEXT_TYPES) if row[f"n{i}"] and row[f"c{i}_{j}"]]
-        types[name] = fitting[0] if fitting else "string"
+        bits = row[f"c{i}"] or 0
+        seen = {dtype for j, (dtype, _) in enumerate(SHAPES) if bits >> j & 1}
+        plain = bits >> len(SHAPES) & 1
+        types[name] = next((t for t, covered in COVERS if seen and not plain and seen <= covered), "string")
     return types
 
 

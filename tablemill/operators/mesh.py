@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.ordering import int_range
-from tablemill.functions.tables import let
+from tablemill.functions.tables import let, once
 from tablemill.functions.text import JS_SPACE, js_number, js_trim, unix_lines
 
 MAX_VERTICES = 2_000_000
@@ -41,19 +41,11 @@ def _fan(refs: Column) -> Column:
     return F.when(broken, empty).when(F.size(refs) >= 3, spread).otherwise(F.slice(empty, 1, 0))
 
 
-def parse_obj(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``vertices (mesh, idx, x, y, z)`` and ``triangles (mesh, idx, a, b, c)``; what is invalid is null.
-
-    A face may only point to vertices above it, and negative numbers count back from them. Needs no shuffle.
-    """
-    lines = F.transform(F.split(unix_lines(F.col(text)), "\n"), js_trim)
-    corner = F.split(js_trim(F.substring(F.col("l"), 3, 1 << 30)), BLANKS)
-    vertices = docs.select(mesh, F.posexplode(F.filter(lines, lambda v: v.startswith("v "))).alias("idx", "l")).select(
-        mesh, F.col("idx").cast("bigint").alias("idx"),
-        *[_number(F.get(corner, F.lit(i))).alias(c) for i, c in enumerate("xyz")])
-
-    kept = F.filter(lines, lambda v: v.startswith("v ") | v.startswith("f "))
-    faces = F.filter(F.transform(kept, lambda v, i: F.struct(v.alias("l"), i.alias("i"))), lambda s: s["l"].startswith("f "))
+def _obj_arrays(docs: DataFrame, mesh: str, text: str) -> DataFrame:
+    """``(mesh, points, fans)``: every document's vertices and triangles as arrays."""
+    def point(line: Column) -> Column:
+        return let(F.split(js_trim(F.substring(line, 3, 1 << 30)), BLANKS), lambda t: F.struct(*[
+            _number(F.get(t, F.lit(i))).alias(c) for i, c in enumerate("xyz")]))
 
     def fan(s: Column, k: Column) -> Column:
         # face k at place i of the kept lines has i - k vertices above it
@@ -66,9 +58,27 @@ def parse_obj(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> tup
 
         return let(F.transform(F.split(js_trim(F.substring(s["l"], 3, 1 << 30)), BLANKS), ref), _fan)
 
-    triangles = docs.select(mesh, F.posexplode(F.flatten(F.transform(faces, fan))).alias("idx", "t")).select(
-        mesh, F.col("idx").cast("bigint").alias("idx"), "t.a", "t.b", "t.c")
-    return vertices, triangles
+    lines = F.transform(F.split(unix_lines(F.col(text)), "\n"), js_trim)
+    kept = once(docs.select(mesh, text), __l=F.filter(lines, lambda v: v.startswith("v ") | v.startswith("f ")))
+    faces = F.filter(F.transform("__l", lambda v, i: F.struct(v.alias("l"), i.alias("i"))), lambda s: s["l"].startswith("f "))
+    # plain columns: a reader of one array does not compute the other
+    return kept.select(mesh, F.transform(F.filter("__l", lambda v: v.startswith("v ")), point).alias("points"),
+                       F.flatten(F.transform(faces, fan)).alias("fans"))
+
+
+def _exploded(arrays: DataFrame, mesh: str) -> tuple[DataFrame, DataFrame]:
+    def rows(column: str, names: str) -> DataFrame:
+        return arrays.select(mesh, F.posexplode(column).alias("idx", "s")).select(
+            mesh, F.col("idx").cast("bigint").alias("idx"), *[f"s.{c}" for c in names])
+    return rows("points", "xyz"), rows("fans", "abc")
+
+
+def parse_obj(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``vertices (mesh, idx, x, y, z)`` and ``triangles (mesh, idx, a, b, c)``; what is invalid is null.
+
+    A face may only point to vertices above it, and negative numbers count back from them. Needs no shuffle.
+    """
+    return _exploded(_obj_arrays(docs, mesh, text), mesh)
 
 
 VERTEX_PATTERN = re.compile(rb"\bvertex\s+([+\-0-9.eE]+)\s+([+\-0-9.eE]+)\s+([+\-0-9.eE]+)")
@@ -120,17 +130,13 @@ def parse_stl(files: DataFrame, mesh: str = "mesh_id", content: str = "content")
     return vertices, triangles
 
 
-def parse_ply(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Vertices and triangles of ASCII PLY files, as the header describes them; short faces are left out."""
-    head = ply_headers(docs, mesh, text).where("error IS NULL")
-
+def _ply_arrays(docs: DataFrame, mesh: str, text: str) -> DataFrame:
+    """``(mesh, points, fans, error)``; the arrays are null where the header is wrong."""
     def cells(line: Column) -> Column:
         return F.split(js_trim(line), BLANKS)
 
-    points = head.select(mesh, "at_x", "at_y", "at_z", F.posexplode(F.slice("body", F.lit(1), F.col("n_vertex")))
-                         .alias("idx", "l")).withColumn("cells", cells(F.col("l")))
-    vertices = points.select(mesh, F.col("idx").cast("bigint").alias("idx"), *[
-        _number(F.get("cells", F.col(f"at_{c}") - 1)).alias(c) for c in "xyz"])
+    def point(line: Column) -> Column:
+        return let(cells(line), lambda t: F.struct(*[_number(F.get(t, F.col(f"at_{c}") - 1)).alias(c) for c in "xyz"]))
 
     def corners(fields: Column, n: Column) -> Column:
         usable = (n >= 3) & (F.size(fields) >= n + 1)
@@ -143,11 +149,40 @@ def parse_ply(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> tup
             _whole(F.get(fields, F.lit(0))).cast("int"), lambda n: corners(fields, n)))
         return let(refs, _fan)
 
-    faces = F.slice("body", F.col("n_vertex") + 1, F.col("n_face"))
-    fans = F.flatten(F.transform(faces, fan))
-    triangles = head.select(mesh, F.posexplode(fans).alias("idx", "t")).select(
-        mesh, F.col("idx").cast("bigint").alias("idx"), "t.a", "t.b", "t.c")
-    return vertices, triangles
+    head = ply_headers(docs, mesh, text)
+    good = F.col("error").isNull()
+    return head.select(
+        mesh, F.when(good, F.transform(F.slice("body", F.lit(1), F.col("n_vertex")), point)).alias("points"),
+        F.when(good, F.flatten(F.transform(F.slice("body", F.col("n_vertex") + 1, F.col("n_face")), fan))).alias("fans"),
+        "error")
+
+
+def parse_ply(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Vertices and triangles of ASCII PLY files, as the header describes them; short faces are left out."""
+    return _exploded(_ply_arrays(docs, mesh, text), mesh)
+
+
+def mesh_report(docs: DataFrame, fmt: str, mesh: str = "mesh_id", text: str = "text", max_v: int = MAX_VERTICES,
+                max_t: int = MAX_TRIANGLES) -> DataFrame:
+    """``(mesh, vertices, triangles, error)`` of OBJ or PLY documents, checked in place: one pass and no shuffle."""
+    arrays = _ply_arrays(docs, mesh, text) if fmt == "ply" else _obj_arrays(docs, mesh, text).withColumn(
+        "error", F.lit(None).cast("string"))
+    arrays = once(arrays.select(mesh, "error", "points", "fans"), __p=F.col("points"), __f=F.col("fans")).select(
+        mesh, "error", F.col("__p").alias("points"), F.col("__f").alias("fans"))
+    nv, nt = F.coalesce(F.size("points"), F.lit(0)), F.coalesce(F.size("fans"), F.lit(0))
+    bad_point = F.exists("points", lambda p: p["x"].isNull() | p["y"].isNull() | p["z"].isNull())
+    bad_face = F.exists("fans", lambda t: t["a"].isNull() | t["b"].isNull() | t["c"].isNull())
+    return arrays.select(mesh, nv.cast("bigint").alias("vertices"), nt.cast("bigint").alias("triangles"),
+                         F.coalesce("error", _guard_error(nv, nt, bad_point, bad_face, max_v, max_t)).alias("error"))
+
+
+def _guard_error(nv: Column, nt: Column, bad_point: Column, bad_face: Column, max_v: int, max_t: int) -> Column:
+    return (
+        F.when(bad_point, "MESH_COORDINATE_INVALID: Non-finite vertex coordinate.")
+        .when(bad_face, "MESH_FACE_INVALID: Face index is out of range.")
+        .when(nv > max_v, "MESH_COMPLEXITY_LIMIT: Mesh exceeds the guarded vertex limit.")
+        .when(nt > max_t, "MESH_COMPLEXITY_LIMIT: Mesh exceeds the guarded triangle limit.")
+        .when((nv == 0) | (nt == 0), "MESH_PARSE_FAILED: No triangle geometry."))
 
 
 def ply_headers(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> DataFrame:
@@ -185,13 +220,9 @@ def mesh_guard(vertices: DataFrame, triangles: DataFrame, max_v: int = MAX_VERTI
         F.count(F.lit(1)).alias("triangles"), F.bool_or(bad | (F.least(*corners) < 0)).alias("bad_face"),
         F.max(F.greatest(*corners)).alias("top"))
     joined = v.join(t, mesh, "full").na.fill(0, ["vertices", "triangles"])
-    return joined.select(mesh, "vertices", "triangles", (
-        F.when(F.col("bad_point"), "MESH_COORDINATE_INVALID: Non-finite vertex coordinate.")
-        .when(F.col("bad_face") | (F.col("top") >= F.col("vertices")), "MESH_FACE_INVALID: Face index is out of range.")
-        .when(F.col("vertices") > max_v, "MESH_COMPLEXITY_LIMIT: Mesh exceeds the guarded vertex limit.")
-        .when(F.col("triangles") > max_t, "MESH_COMPLEXITY_LIMIT: Mesh exceeds the guarded triangle limit.")
-        .when((F.col("vertices") == 0) | (F.col("triangles") == 0), "MESH_PARSE_FAILED: No triangle geometry."))
-        .alias("error"))
+    wrong = F.col("bad_face") | (F.col("top") >= F.col("vertices"))
+    return joined.select(mesh, "vertices", "triangles", _guard_error(
+        F.col("vertices"), F.col("triangles"), F.col("bad_point"), wrong, max_v, max_t).alias("error"))
 
 
 WRITER = "tablemill"

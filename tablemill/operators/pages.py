@@ -39,6 +39,10 @@ def reconstruct_lines(runs: DataFrame, tolerance: float = 2.0, chunk: int = 20_0
         return b[1] - a[1] if abs(b[1] - a[1]) > tolerance else a[0] - b[0]
 
     def lines(x, y, text) -> list[tuple[float, str]]:
+        if max(y) - min(y) <= tolerance:
+            # all runs can meet: one line, left to right
+            order = sorted(range(len(x)), key=x.__getitem__)
+            return [(y[order[0]], JS_BLANKS.sub(" ", " ".join([text[i] for i in order])).strip(" "))]
         found: list[tuple[float, list[str]]] = []
         for _, height, word in sorted(zip(x, y, text), key=cmp_to_key(before)):
             home = next((words for anchor, words in found if abs(anchor - height) <= tolerance), None)

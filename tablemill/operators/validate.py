@@ -77,16 +77,7 @@ def validate_text(docs: DataFrame, fmt: str, doc: str = "doc_id", text: str = "t
     if fmt in subtitles.FORMATS:
         checked = subtitles.parse_documents(docs, fmt, text).select(doc, "error")
     else:
-        named = docs.select(F.col(doc).alias("mesh_id"), F.col(text).alias("text"))
-        vertices, triangles = {"obj": mesh.parse_obj, "ply": mesh.parse_ply}[fmt](named)
-        report = mesh.mesh_guard(vertices, triangles).withColumnRenamed("mesh_id", doc)
-        ids = docs.select(doc)
-        if fmt == "ply":
-            ids = mesh.ply_headers(named).select(F.col("mesh_id").alias(doc), F.col("error").alias("head_error"))
-        else:
-            ids = ids.withColumn("head_error", F.lit(None).cast("string"))
-        nothing = F.when(F.col("vertices").isNull(), "MESH_PARSE_FAILED: No triangle geometry.")
-        checked = ids.join(report, doc, "left").select(doc, F.coalesce("head_error", "error", nothing).alias("error"))
+        checked = mesh.mesh_report(docs, fmt, doc, text).select(doc, "error")
     return checked.select(doc, F.col("error").isNull().alias("valid"), "error")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.functions.tables import once
 from tablemill.functions.text import count_matches, xml_value
 from tablemill.operators.formats import utf8
 
@@ -21,12 +22,17 @@ def check_sheet_policy(policy: str, target: str) -> None:
 
 
 def choose_sheets(cells: DataFrame, policy: str = "first", selected: str | None = None) -> DataFrame:
-    """Rows of the first sheet, of the named one (the first where a file has none of that name), or of all."""
+    """Rows of the first sheet, of the named one (the first where a file has none of that name), or of all.
+
+    ``sheet_idx`` is the 0-based place of the sheet in its workbook.
+    """
     if policy == "all":
         return cells
-    wanted = F.min(F.when(F.col("sheet") == (selected or ""), F.col("sheet_idx"))) if policy == "selected" else F.lit(None)
-    chosen = cells.groupBy("file").agg(F.coalesce(wanted, F.min("sheet_idx")).alias("__idx"))
-    return cells.join(chosen, "file").where(F.col("sheet_idx") == F.col("__idx")).drop("__idx")
+    if policy == "first" or not selected:
+        return cells.where(F.col("sheet_idx") == 0)
+    named = cells.groupBy("file").agg(F.coalesce(
+        F.min(F.when(F.col("sheet") == selected, F.col("sheet_idx"))), F.lit(0)).alias("__idx"))
+    return cells.join(named, "file").where(F.col("sheet_idx") == F.col("__idx")).drop("__idx")
 
 
 def formula_mode(cells: DataFrame, mode: str) -> DataFrame:
@@ -50,17 +56,22 @@ def cells_to_table(cells: DataFrame, columns: Sequence[str | int], header: bool
     if not header:
         picked = [F.max(F.when(F.col("col") == c, F.col(value))).alias(f"_{c}") for c in columns]
         return body.groupBy(*keys, "row").agg(*picked)
-    first = body.groupBy(*keys).agg(F.min("row").alias("__head"))
-    placed = body.join(first, keys)
-    names = placed.where(F.col("row") == F.col("__head")).select(
-        *keys, "col", F.coalesce(F.nullif(F.col(value), F.lit("")), F.lit("__EMPTY")).alias("__base"))
-    # a header row has at most 16,384 cells
-    nth = F.row_number().over(Window.partitionBy(*keys, "__base").orderBy("col")) - 1
-    names = names.withColumn("__n", nth).select(*keys, "col", F.when(
-        F.col("__n") == 0, F.col("__base")).otherwise(F.concat_ws("_", "__base", F.col("__n").cast("string"))).alias("__name"))
-    named = placed.where(F.col("row") > F.col("__head")).join(names, [*keys, "col"])
-    return named.groupBy(*keys, "row").agg(
-        *[F.max(F.when(F.col("__name") == c, F.col(value))).alias(str(c)) for c in columns])
+    # a sheet row has at most 16,384 cells; rows and heads share one shuffle
+    rows = body.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", value))).alias("__m"))
+    heads = rows.groupBy(*keys).agg(F.min_by("__m", "row").alias("__h"), F.min("row").alias("__head"))
+    cells_of = F.transform(F.array_sort(F.map_entries("__h")), lambda e: F.struct(
+        e["key"].alias("col"), F.coalesce(F.nullif(e["value"], F.lit("")), F.lit("__EMPTY")).alias("name")))
+    listed = once(heads, __e=cells_of)
+
+    def unique(e: Column, i: Column) -> Column:
+        n = F.size(F.filter(F.slice("__e", F.lit(1), i), lambda x: x["name"] == e["name"]))
+        return F.struct(F.when(n == 0, e["name"]).otherwise(F.concat_ws("_", e["name"], n.cast("string"))).alias("name"),
+                        e["col"].alias("col"))
+
+    names = once(listed.select(*keys, "__head", "__e"), __cols=F.map_from_entries(F.transform("__e", unique)))
+    joined = rows.join(names.select(*keys, "__head", "__cols"), keys).where(F.col("row") > F.col("__head"))
+    return joined.select(*keys, "row", *[
+        F.try_element_at("__m", F.try_element_at("__cols", F.lit(c))).alias(str(c)) for c in columns])
 
 
 def _column_letters(col: Column) -> Column:

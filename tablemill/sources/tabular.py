@@ -108,23 +108,26 @@ def json_document_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "row_index", F.col("row_index").cast("bigint"))
 
 
-def _table(rows: DataFrame, retype: bool) -> DataFrame:
-    checked = normalize_rows(rows, "json", "row_index").withColumn(
-        "row_json",
-        F.when(F.col("row_json").isNull(), F.raise_error(F.concat(F.lit("JSON_INVALID: row "), F.col("row_index"))))
-        .otherwise(F.col("row_json")))
-    table = rows_to_table(checked, ordered_columns(checked))
-    return retype_text(table) if retype else table
+def _table(rows: DataFrame, retype: bool, columns: list[str] | None, types: dict[str, str] | None) -> DataFrame:
+    checked = normalize_rows(rows, "json", "row_index").withColumn("row_json", F.coalesce(
+        "row_json", F.raise_error(F.concat(F.lit("JSON_INVALID: row "), F.col("row_index"))).cast("string")))
+    table = rows_to_table(checked, columns or ordered_columns(checked))
+    return retype_text(table, types) if retype else table
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], retype: bool = True) -> DataFrame:
-    """JSON Lines as a table: columns in first-seen order, values re-typed from their text; broken lines are an error."""
-    return _table(json_line_rows(spark, path), retype)
+def read_jsonl(spark: SparkSession, path: str | list[str], retype: bool = True, columns: list[str] | None = None,
+               types: dict[str, str] | None = None) -> DataFrame:
+    """JSON Lines as a table: columns in first-seen order, values re-typed from their text; broken lines are an error.
+
+    Each of the two inferences is a pass over the data; known ``columns`` and ``types`` save it.
+    """
+    return _table(json_line_rows(spark, path), retype, columns, types)
 
 
-def read_json(spark: SparkSession, path: str | list[str], retype: bool = True) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], retype: bool = True, columns: list[str] | None = None,
+              types: dict[str, str] | None = None) -> DataFrame:
     """A JSON document as a table: one row per element of the top-level array, or one row for a single value."""
-    return _table(json_document_rows(spark, path), retype)
+    return _table(json_document_rows(spark, path), retype, columns, types)
 
 
 def _ipc(content: bytes):
