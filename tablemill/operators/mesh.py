@@ -191,17 +191,18 @@ def ply_headers(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> D
     end = F.position(F.lit("end_header\n"), body)
     header = F.substring(body, F.lit(1), F.greatest(end - 1, F.lit(0)))
     block = r"(?s)(?:^|\n)[ \t]*element[ \t]+{0}[ \t]+(\S+)[^\n]*\n?(.*?)(?=\n[ \t]*element[ \t]|$)"
-    staged = docs.select(
-        mesh, (end == 0).alias("cut"), header.alias("header"),
-        F.split(js_trim(F.substring(body, end + len("end_header\n"), F.length(body))), "\n").alias("body"))
+    staged = once(
+        docs.select(mesh, text), cut=end == 0, header=header,
+        body=F.split(js_trim(F.substring(body, end + len("end_header\n"), F.length(body))), "\n")).drop(text)
     props = F.regexp_extract_all(F.regexp_extract("header", block.format("vertex"), 2),
                                  F.lit(r"(?m)^[ \t]*property[ \t]+(?:[^\n]*[ \t])?(\S+)[ \t]*$"), F.lit(1))
-    facts = staged.select(
-        mesh, "cut", "body", F.regexp_extract("header", r"(?:^|\n)(format [^\n]*)", 1).alias("format"),
-        *[_whole(F.regexp_extract("header", block.format(e), 1)).cast("int").alias(f"n_{e}") for e in ("vertex", "face")],
-        *[F.array_position(props, c).cast("int").alias(f"at_{c}") for c in "xyz"])
+    listed = once(staged, __props=props)
+    facts = once(
+        listed, format=F.regexp_extract("header", r"(?:^|\n)(format [^\n]*)", 1),
+        **{f"n_{e}": _whole(F.regexp_extract("header", block.format(e), 1)).cast("int") for e in ("vertex", "face")},
+        **{f"at_{c}": F.array_position("__props", c).cast("int") for c in "xyz"}).drop("header", "__props")
     counts = F.coalesce((F.col("n_vertex") >= 1) & (F.col("n_face") >= 1), F.lit(False))
-    return facts.withColumn("error", (
+    return once(facts, error=(
         F.when(F.col("cut"), "MESH_PARSE_FAILED: PLY header is incomplete.")
         .when(F.col("format") != "format ascii 1.0", "PLY_BINARY_UNSUPPORTED: Only ASCII PLY is supported.")
         .when(~counts, "MESH_PARSE_FAILED: PLY needs vertex and face elements.")
