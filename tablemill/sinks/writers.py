@@ -320,7 +320,7 @@ def write_archive_shards(files: DataFrame, folder: str, fmt: str = "zip", level:
     level = max(0, min(9, round(level)))
     named = normalize_paths(files.select(order, "path"))
     checked = named.withColumn("path", F.when(
-        F.col("path_error").isNotNull(), F.raise_error("path_error").cast("string")).otherwise(F.col("path"))).drop("path_error")
+        F.col("path_error").isNotNull(), F.raise_error(F.col("path_error")).cast("string")).otherwise(F.col("path"))).drop("path_error")
     if not preserve_paths:
         checked = checked.withColumn("path", F.substring_index("path", "/", -1))
     unique = unique_archive_paths(checked, "path", order)
