@@ -100,9 +100,9 @@ def _layouts(spark: SparkSession, fmt: str, tasks: DataFrame) -> DataFrame:
         return _footers(paths.repartition("path"))
     listed = [r["path"] for r in paths.toLocalIterator()]
     if fmt in ("csv", "tsv"):
-        # the header line; the two rows of a group may differ in delimiter, so it is part of the layout
+        # the header line, which also tells the delimiter
         head = sources.scan_files(spark, listed, 65_536).select("path", formats.utf8(F.col("content")).alias("t"))
-        return head.select("path", F.regexp_extract("t", r"^﻿?([^\r\n]*)", 1).alias("layout"), F.lit(None).cast("string").alias("error"))
+        return head.select("path", F.regexp_extract("t", r"^\ufeff?([^\r\n]*)", 1).alias("layout"), F.lit(None).cast("string").alias("error"))
     if fmt in ("json-data", "jsonl"):
         rows = tabular.json_line_rows(spark, listed) if fmt == "jsonl" else tabular.json_document_rows(spark, listed)
         checked = jsonbridge.normalize_rows(rows, "json", "row_index")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +22,30 @@ RUNTIME = {
 }
 
 
+# What has been done for an application already: shipped packages, and the fallback work folder.
+_shipped: set[str] = set()
+_fallback: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session and make the package known to its Python workers."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "tablemill")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "tablemill"))
+    _shipped.add(context.applicationId)
+
+
 def local_session(cpus: str = "8", name: str = "tablemill") -> SparkSession:
     """A single-machine session for tests and the bench; a cluster brings its own."""
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -56,8 +74,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("WORK_DIR_REQUIRED: set spark.checkpoint.dir to a folder shared by all executors.")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _fallback:
+            _fallback[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = _fallback[application]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
