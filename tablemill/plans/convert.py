@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions.ordering import running_index
-from tablemill.operators import formats, jsonbridge, mesh, naming, routes, science, subtitles, validate, workbook
+from tablemill.operators import formats, jsonbridge, mesh, naming, routes, science, subtitles, workbook
 from tablemill.operators.query import restricted_sql, validate_query
 from tablemill.session import work_path
 from tablemill.sinks import writers
