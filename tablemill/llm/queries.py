@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablemill.llm import exactdedup, sharding
+import public_tokenizers
+from tablemill.llm import bpe, exactdedup, packing, sharding
 from tablemill.plans.registry import query
 
 
@@ -25,3 +26,22 @@ def op7(spark, t):
     """One row per document with the copy that stays."""
     return exactdedup.duplicate_groups(t.documents).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op1_best_fit_packing")
+def op1(spark, t):
+    """Every piece of every document with its place in a sequence of 2048 tokens."""
+    pieces = packing.tokenise(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(rows).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op6_byte_bpe")
+def op6(spark, t):
+    """Digests of the ids of every text and of the bytes that the ids decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(t.documents.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return bpe.decode(coded, ranks).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
