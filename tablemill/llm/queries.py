@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablemill.functions.tables import once
-from tablemill.llm import bpe, chat, exactdedup, packing, sharding
+from tablemill.llm import bpe, chat, exactdedup, packing, sharding, topk
 from tablemill.plans.registry import query
 
 
@@ -73,3 +73,19 @@ def op3(spark, t):
     return read.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op8_exact_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def op8(spark, t):
+    """The ten nearest other vectors of every hundredth vector."""
+    return topk.search(t.embeddings, F.col("vec_id") % 100 == 0)
