@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablemill.functions.tables import once
-from tablemill.llm import bpe, chat, exactdedup, packing, sharding, topk
+from tablemill.llm import bpe, chat, exactdedup, minhash, packing, sharding, topk
 from tablemill.plans.registry import query
 
 
@@ -89,3 +89,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op8(spark, t):
     """The ten nearest other vectors of every hundredth vector."""
     return topk.search(t.embeddings, F.col("vec_id") % 100 == 0)
+
+
+@query("op10_superminhash", r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (WITH RECURSIVE r(doc_id, c) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+      SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, c.c = d.doc_id AS kept
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
+def op10(spark, t):
+    """Every document with the group of its near copies."""
+    return minhash.near_groups(t.documents, percent=85, rows=5)
