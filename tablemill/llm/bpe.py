@@ -14,6 +14,7 @@ other columns, and a column that would clash with the new one is refused by name
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablemill.llm.units import TextEncoder, id_lists
-
-FLUSH = 8 << 20
+from tablemill.llm.units import TextEncoder, id_lists, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,10 +86,12 @@ class Merger:
         return out
 
 
-def text_encoder(ranks: dict[bytes, int], pattern: str) -> TextEncoder:
+@functools.cache
+def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
+    """One encoder per Python worker, kept from task to task with what it has seen."""
     import regex
 
-    split, merge = regex.compile(pattern), Merger(ranks)
+    split, merge = regex.compile(pattern), Merger(load_ranks(ranks_path))
 
     def encode(text: str) -> bytes:
         ids: list[int] = []
@@ -98,7 +99,7 @@ def text_encoder(ranks: dict[bytes, int], pattern: str) -> TextEncoder:
             ids += merge(match.group().encode())
         return np.array(ids, "<u4").tobytes()
 
-    return TextEncoder(encode)
+    return TextEncoder(encode, lambda units: [encode(u) for u in units])
 
 
 def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
@@ -107,22 +108,14 @@ def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(column, kind)])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about ``FLUSH`` bytes of the column, at least one row each."""
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * FLUSH // max(1, batch.column(column).nbytes)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """``df`` with the ids of each text as ``array<int>``."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = text_encoder(load_ranks(ranks_path), pattern)
-        for batch in _slices(batches, at):
-            lists = id_lists([ids_of(t.as_py()) for t in batch.column(at)])
+        ids_of = text_encoder(ranks_path, pattern)
+        for batch in slices(batches, at):
+            lists = id_lists(ids_of.batch(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, to])
 
     return df.mapInArrow(run, _with(df, to, T.ArrayType(T.IntegerType())))
@@ -137,7 +130,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded"
         for token, rank in ranks.items():
             words[rank] = token
         look = words.__getitem__
-        for batch in _slices(batches, at):
+        for batch in slices(batches, at):
             lists = batch.column(at)
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
             out = [b"".join(map(look, flat[a:b].tolist())) for a, b in zip([0, *ends[:-1]], ends)]

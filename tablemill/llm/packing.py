@@ -14,6 +14,7 @@ columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.llm.units import TextEncoder, slices
 from tablemill.session import work_path
 
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 TASK_ITEMS = 20_000
 SLACK = 8
-FLUSH = 8 << 20
+JOINED = 2000  # unknown units encoded by one call of the library
+SPACE = "\u0120"  # how the vocabulary spells a leading space
 
 PIECES = "doc_id {key}, piece int, start bigint, length bigint, piece_id bigint, ids binary"
 BIN = "fill int, members array<struct<piece_id:bigint,length:int>>"
@@ -39,30 +42,19 @@ def tokenise(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
     schema = PIECES.format(key=df.schema[key].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        from tablemill.llm.units import TextEncoder
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        encode = TextEncoder(
-            lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+        encode = library_encoder(vocabulary)
         number, step = TaskContext.get().partitionId() << 40, capacity * 4
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: list[list] = [[], [], [], [], [], []]
-            held = 0
-            for k, body in zip(batch.column(0), batch.column(1)):
-                ids = encode(body.as_py()) + END
+            for k, ids in zip(batch.column(0), encode.batch(batch.column(1).to_pylist())):
+                ids += END
                 at, end = 0, len(ids) % step or step
                 while at < len(ids):
-                    for column, value in zip(out, (k.as_py(), (at + step - 1) // step, at // 4, (end - at) // 4, number, ids[at:end])):
+                    row = (k.as_py(), (at + step - 1) // step, at // 4, (end - at) // 4, number, ids[at:end])
+                    for column, value in zip(out, row):
                         column.append(value)
                     number, at, end = number + 1, end, end + step
-                held += len(ids)
-                if held > FLUSH:
-                    yield _batch(out, batch.schema.field(0).type)
-                    out, held = [[], [], [], [], [], []], 0
-            if out[0]:
-                yield _batch(out, batch.schema.field(0).type)
+            yield _batch(out, batch.schema.field(0).type)
 
     path = work_path(df.sparkSession, "pieces")
     pieces = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
@@ -70,6 +62,33 @@ def tokenise(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
     return df.sparkSession.read.parquet(path)
 
 
+@functools.cache
+def library_encoder(vocabulary: str) -> TextEncoder:
+    """One encoder per Python worker, kept from task to task with what it has seen."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    names = tokenizer.get_vocab(with_added_tokens=True)
+    opens = np.zeros(max(names.values()) + 1, bool)
+    for name, number in names.items():
+        opens[number] = name.startswith(SPACE)
+
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def many(units: list[str]) -> list[bytes]:
+        # a text of units has exactly one token that opens with the space for each of them
+        out: list[bytes] = []
+        for at in range(0, len(units), JOINED):
+            ids = np.array(tokenizer.encode("".join(units[at:at + JOINED]), add_special_tokens=False).ids, "<u4")
+            ends = [*(np.flatnonzero(opens[ids])[1:] * 4).tolist(), len(ids) * 4]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    return TextEncoder(whole, many)
+
+
 def _batch(out: list[list], key: pa.DataType) -> pa.RecordBatch:
     types = [key, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],

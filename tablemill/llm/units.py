@@ -7,62 +7,101 @@ any other unit is encoded whole, so the result is always that of the whole text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20  # characters looked at together, so that a very long text needs no list of all its units
-CACHED = 400_000  # units held by a Python worker; the cache starts anew beyond that
-
-
-class _Unsafe(Exception):
-    """A unit that cannot be encoded by itself."""
-
-
-class _Units(dict):
-    def __init__(self, encode: Callable[[str], bytes], lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, token: str) -> bytes:
-        if not token or token[0].isspace() or token[-1].isspace():
-            raise _Unsafe
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self[token] = self.encode(self.lead + token)
-        return ids
+GROUP = 2 << 20  # characters of short texts looked at together
+CACHED = 1_500_000  # units held by a Python worker; the cache starts anew beyond that
 
 
 class TextEncoder:
-    """``encode`` turns any text into little-endian unsigned 32-bit ids."""
+    """Texts to little-endian unsigned 32-bit ids.
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.whole, self.first, self.later = encode, _Units(encode, ""), _Units(encode, " ")
+    ``whole`` encodes one text, ``many`` a list of units that each start with a space.
+    """
+
+    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]]):
+        self.whole, self.many = whole, many
+        self.cache: dict[str, bytes | None] = {}  # None: not a unit by itself
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        try:
-            return b"".join(self._slices(text))
-        except _Unsafe:
+        return self.batch([text])[0]
+
+    def batch(self, texts: Sequence[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            text = text or ""
+            if len(text) > SLICE:
+                out += self._group(group)
+                out.append(self._long(text))
+                group, held = [], 0
+                continue
+            group.append(text)
+            held += len(text)
+            if held > GROUP:
+                out += self._group(group)
+                group, held = [], 0
+        return out + self._group(group)
+
+    def _learn(self, tokens: set[str]) -> None:
+        new = tokens - self.cache.keys()
+        if len(self.cache) + len(new) > CACHED:
+            self.cache.clear()
+            new = tokens
+        units = [t for t in new if t and not t[0].isspace() and not t[-1].isspace()]
+        self.cache.update(dict.fromkeys(new))
+        self.cache.update(zip(units, self.many([" " + u for u in units])))
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        self._learn({t for tokens in split for t in tokens[1:]})
+        look, out = self.cache.__getitem__, []
+        for text, tokens in zip(texts, split):
+            first, rest = tokens[0], tokens[1:]
+            try:
+                tail = b"".join(map(look, rest))
+            except TypeError:  # a token that is no unit
+                out.append(self.whole(text))
+                continue
+            if rest and (not first or first[-1].isspace()):
+                out.append(self.whole(text))
+            else:
+                out.append((self.whole(first) if first else b"") + tail)
+        return out
+
+    def _long(self, text: str) -> bytes:
+        at = text.find(" ")
+        if at <= 0 or text[at - 1].isspace():
             return self.whole(text)
-
-    def _slices(self, text: str) -> Iterator[bytes]:
-        at, later = text.find(" "), self.later.__getitem__
-        if at < 0:
-            yield self.first[text]
-            return
-        yield self.first[text[:at]]
+        parts = [self.whole(text[:at])]
         while at < len(text):
             end = text.rfind(" ", at + 1, at + SLICE) if len(text) - at > SLICE else len(text)
             end = text.find(" ", at + SLICE) if end < 0 else end
             end = len(text) if end < 0 else end
-            yield b"".join(map(later, text[at + 1:end].split(" ")))
+            tokens = text[at + 1:end].split(" ")
+            self._learn(set(tokens))
+            try:
+                parts.append(b"".join(map(self.cache.__getitem__, tokens)))
+            except TypeError:
+                return self.whole(text)
             at = end
+        return b"".join(parts)
 
 
 def id_lists(parts: list[bytes]) -> pa.ListArray:
     """Packed ids as an Arrow list column."""
     offsets = np.cumsum([0, *map(len, parts)]) // 4
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``size`` bytes of the column, at least one row each."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size // max(1, batch.column(column).nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
