@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablemill.functions.tables import once
-from tablemill.llm import bpe, chat, exactdedup, minhash, packing, sharding, topk
+from tablemill.llm import bpe, chat, exactdedup, minhash, packing, sharding, topk, toxicity
 from tablemill.plans.registry import query
 
 
@@ -112,3 +112,10 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 def op10(spark, t):
     """Every document with the group of its near copies."""
     return minhash.near_groups(t.documents, percent=85, rows=5)
+
+
+@query("op5_toxicity")
+def op5(spark, t):
+    """A score for every document, learned from the labelled rows that are not held out."""
+    return toxicity.Scorer(t.documents, t.labels).score(t.documents).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
