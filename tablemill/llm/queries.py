@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablemill.functions.tables import once
-from tablemill.llm import bpe, chat, exactdedup, minhash, packing, sharding, topk, toxicity
+from tablemill.llm import bpe, chat, exactdedup, minhash, packing, pii, sharding, topk, toxicity
 from tablemill.plans.registry import query
 
 
@@ -48,6 +48,8 @@ def op6(spark, t):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# A cluster passes its own secret; this one only has to be the same in every run of the query.
+PII_KEY = "tablemill"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -119,3 +121,9 @@ def op5(spark, t):
     """A score for every document, learned from the labelled rows that are not held out."""
     return toxicity.Scorer(t.documents, t.labels).score(t.documents).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op9_pii_pseudonyms")
+def op9(spark, t):
+    """Every document with pseudonyms for its private data."""
+    return pii.pseudonymise(t.documents, PII_KEY).select("doc_id", "text", "n_private")
