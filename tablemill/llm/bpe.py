@@ -8,7 +8,7 @@ the whole text. Decoding looks the bytes of each id up again.
 
 Defined results: null text counts as empty and has no ids; a text of any length is encoded whole; characters outside the
 vocabulary become their bytes, which the vocabulary must hold; an empty table gives an empty result; rows keep their
-other columns, and a column that would clash with the new one is refused by name.
+other columns, and one with the name of the new column gives way to it.
 """
 
 from __future__ import annotations
@@ -102,14 +102,17 @@ def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
     return TextEncoder(encode, lambda units: [encode(u) for u in units])
 
 
+def _without(df: DataFrame, column: str) -> DataFrame:
+    return df.select(*[c for c in df.columns if c.lower() != column.lower()])
+
+
 def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
-    if column.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"COLUMN_EXISTS: {column}")
     return T.StructType([*df.schema.fields, T.StructField(column, kind)])
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """``df`` with the ids of each text as ``array<int>``."""
+    df = _without(df, to)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +126,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", to:
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for; null ids count as none."""
+    df = _without(df, to)
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

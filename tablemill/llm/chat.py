@@ -24,6 +24,8 @@ from tablemill.functions.tables import once
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 
+NEW = ["fingerprint", "layout", "turns", "formatted", "loss_spans"]
+
 # Other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
@@ -143,7 +145,8 @@ def render(df: DataFrame) -> DataFrame:
 
 def format_chats(df: DataFrame, record: str = "record") -> DataFrame:
     """``df`` with ``fingerprint, layout, turns, formatted, loss_spans``."""
-    return render(to_turns(df, record))
+    kept = df.select(*[c for c in df.columns if c.lower() not in NEW or c == record])
+    return render(to_turns(kept, record))
 
 
 def read_back(formatted: Column) -> Column:

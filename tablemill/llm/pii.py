@@ -11,8 +11,8 @@ the pieces are joined. No shuffle, no Python.
 
 Defined results: null text stays null with no findings; empty text stays empty; texts of any length are read whole; what
 looks like a number but fails its check stays as it is; equal values in any document get equal pseudonyms under one key;
-rows repeated in full give equal rows; an empty table gives an empty result; other columns pass through, and ``n_private``
-is the only new name (an equal name is refused).
+rows repeated in full give equal rows; an empty table gives an empty result; other columns pass through, but one
+called ``n_private`` gives way.
 """
 
 from __future__ import annotations
@@ -223,8 +223,7 @@ def replacement(found: Column, key: str) -> Column:
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with pseudonyms in ``text`` and their number in ``n_private``."""
-    if "n_private" in (c.lower() for c in df.columns):
-        raise ValueError("COLUMN_EXISTS: n_private")
+    df = df.select(*[c for c in df.columns if c.lower() != "n_private"])
     body = F.col(text)
     # every kind holds one of these signs, so most texts end here
     marked = once(df, __found=F.when(body.rlike("[0-9@=:]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))))

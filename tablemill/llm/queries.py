@@ -119,7 +119,7 @@ def op10(spark, t):
 @query("op5_toxicity")
 def op5(spark, t):
     """A score for every document, learned from the labelled rows that are not held out."""
-    return toxicity.Scorer(t.documents, t.labels).score(t.documents).select(
+    return toxicity.Scorer(t.documents, t.labels).score(t.documents, carry=["doc_id"]).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

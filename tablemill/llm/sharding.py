@@ -11,7 +11,7 @@ shuffles, so a manifest without texts stays thin.
 
 Defined results: null text has no bytes; a null source is a source of its own; ties of the hash go by id;
 rows repeated in full are kept, each with its own slot; an empty table gives an empty result; other columns
-pass through (names that start with ``__`` are taken).
+pass through, but those with a new name give way (and names that start with ``__`` are taken).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 RANGES = 4096
 OVERHEAD = 16
+NEW = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
 def interleave(df: DataFrame, shards: int = 40, seed: str = "shard", stratum: str = "source", key: str = "doc_id",
@@ -57,4 +58,4 @@ def interleave(df: DataFrame, shards: int = 40, seed: str = "shard", stratum: st
     first = F.expr(f"((__p * {shards} div __all) * __all + {shards} - 1) div {shards}")
     return (placed.withColumns({"law": F.lit("rows"), "shard": shard.cast("int"), "slot": F.col("__p") - first,
                                 "grown_shard": F.lit(None).cast("int")})
-            .select(*df.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
+            .select(*[c for c in df.columns if c.lower() not in NEW], *NEW))

@@ -11,7 +11,8 @@ takes at most ``SAMPLE`` labelled rows (the smallest by hash of their id); scori
 
 Defined results: null and empty texts have all features at zero and a score; texts of any length are read whole; equal
 texts get equal scores; rows repeated in full are scored each; without labels of both classes every score is the share of
-toxic labels (0 without labels); an empty table gives an empty result; only id and text are read, so other columns cannot clash.
+toxic labels (0 without labels); an empty table gives an empty result; other columns pass
+through, unless they have the name of a new one.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.llm.units import slices
 from tablemill.session import work_path
@@ -108,19 +110,27 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
             len(SHOUT.findall(text)) / count, len(RUNS.findall(text)) / count, len(hidden) / count, math.log1p(len(words))]
 
 
-def _measure(lexicons: dict[int, dict[str, float]]) -> Callable:
-    """Columns ``doc_id, fold, text, ...`` to ``doc_id, fold, ..., features``; the fold picks the lexicon."""
+def _measure(lexicons: dict[int, dict[str, float]], carry: list[str], text: str, fold: str | None) -> Callable:
+    """The carried columns and the features; the fold picks the lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            rows = [features(t, lexicons[f]) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            values = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *values],
-                                             names=["doc_id", "fold", "toxic", *FEATURES])
+        for batch in batches:
+            names = batch.schema.names
+            for part in slices(iter([batch]), names.index(text)):
+                texts = part.column(names.index(text)).to_pylist()
+                folds = part.column(names.index(fold)).to_pylist() if fold else [0] * len(texts)
+                rows = [features(t, lexicons[f]) for f, t in zip(folds, texts)]
+                values = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
+                yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in carry], *values],
+                                                 names=[*carry, *FEATURES])
     return run
 
 
-MEASURED = "doc_id bigint, fold int, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)
+def _measured(df: DataFrame, lexicons: dict[int, dict[str, float]], carry: list[str], text: str, fold: str | None) -> DataFrame:
+    """``carry`` and the features; other columns are not even read."""
+    needed = list(dict.fromkeys([*carry, text, *([fold] if fold else [])]))
+    schema = T.StructType([*[df.schema[c] for c in carry], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
+    return df.select(*needed).mapInArrow(_measure(lexicons, carry, text, fold), schema)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +198,7 @@ class Scorer:
         self.lexicon = lexicons[3]
         path = work_path(spark, "measured")
         # a bounded table: one ordered file makes the fit the same every time
-        rows.mapInArrow(_measure(lexicons), MEASURED).repartition(1).sortWithinPartitions("doc_id").write.parquet(path)
+        _measured(rows, lexicons, ["doc_id", "fold", "toxic"], "text", "fold").repartition(1).sortWithinPartitions("doc_id").write.parquet(path)
         measured = self._assemble(spark.read.parquet(path))
         trees = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=40, maxDepth=3, stepSize=0.15,
                               minInstancesPerNode=3, seed=seed, cacheNodeIds=False)
@@ -204,11 +214,14 @@ class Scorer:
     def _raw(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df).withColumn("raw", vector_to_array("probability")[1])
 
-    def score(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """``doc_id, score, predicted`` and the features for every row."""
-        rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.lit(0).alias("fold"), F.col(text).alias("text"),
-                           F.lit(0).alias("toxic"))
-        measured = rows.mapInArrow(_measure({0: self.lexicon}), MEASURED)
+    def score(self, docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+        """The carried columns (all) of every row, ``score``, ``predicted`` and the features.
+
+        A carried column with one of these names gives way to the new one.
+        """
+        new = {"score", "predicted", "features", "raw", "calibrated", "rawprediction", "probability", "prediction", *FEATURES}
+        carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
+        measured = _measured(docs, {0: self.lexicon}, carry, text, None)
         if self.model is None:
             scored = measured.withColumn("score", F.lit(self.rate))
         else:
@@ -220,4 +233,4 @@ class Scorer:
                 scored = self.calibration.transform(scored).withColumn(
                     "score", F.col("calibrated") * 0.999 + F.col("raw") * 0.001)
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-        return scored.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *FEATURES)
+        return scored.select(*carry, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *FEATURES)
