@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablemill.functions.tables import once
-from tablemill.llm import bpe, chat, exactdedup, minhash, packing, pii, sharding, topk, toxicity
+from tablemill.llm import bpe, chat, exactdedup, linededup, minhash, packing, pii, sharding, topk, toxicity
 from tablemill.plans.registry import query
 
 
@@ -127,3 +127,30 @@ def op5(spark, t):
 def op9(spark, t):
     """Every document with pseudonyms for its private data."""
     return pii.pseudonymise(t.documents, PII_KEY).select("doc_id", "text", "n_private")
+
+
+@query("op4_line_dedup", f"""
+WITH r AS (
+  SELECT doc_id, t.i - 1 AS line_no, t.l AS line FROM (
+    SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) AS z FROM documents
+    WHERE text IS NOT NULL) s, LATERAL (SELECT z[1] AS l, z[2] AS i) t),
+k AS (SELECT *, length(line) AS n FROM r WHERE length(line) >= {linededup.MIN_CHARS}),
+d AS (SELECT line, n, min(ROW(doc_id, line_no)) AS place FROM k GROUP BY line, n),
+s AS (SELECT line, n, place, (n + e - 1) // 2 AS p, n + e AS c FROM d, (SELECT unnest([0, 1]) AS e)),
+h AS (SELECT *, c || 'l' || left(line, p) AS key FROM s UNION ALL SELECT *, c || 'r' || right(line, c - 1 - p) FROM s),
+a AS (
+  SELECT DISTINCT x.line FROM h x JOIN h y ON x.key = y.key AND y.place < x.place AND abs(x.n - y.n) <= 1
+  WHERE levenshtein(x.line, y.line) <= 1),
+g AS (
+  SELECT k.doc_id, k.line_no FROM k JOIN d ON d.line = k.line LEFT JOIN a ON a.line = k.line
+  WHERE a.line IS NOT NULL OR ROW(k.doc_id, k.line_no) > d.place)
+SELECT doc.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, count(g.line_no) AS n_dropped,
+       coalesce(string_agg(CAST(g.line_no AS VARCHAR), ',' ORDER BY g.line_no), '') AS dropped
+FROM documents doc LEFT JOIN g ON g.doc_id = doc.doc_id GROUP BY doc.doc_id, doc.text""")
+def op4(spark, t):
+    """Every document with the numbers of the lines that an earlier equal or alike line makes redundant."""
+    counted = t.documents.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint").alias("n_lines"))
+    gone = linededup.line_decisions(t.documents)
+    return counted.join(gone, "doc_id", "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"))
