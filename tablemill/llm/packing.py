@@ -128,8 +128,11 @@ def _pack(table: pa.Table, capacity: int) -> pa.Table:
     per_item = members.value_lengths().to_numpy()
     per_bin = np.bincount(bins[order], weights=per_item).astype(np.int64)
     offsets = pa.array(np.concatenate([[0], np.cumsum(per_bin)]), pa.int32())
+    flat = members.flatten()
+    # built anew, so that nothing is declared as never null
+    flat = pa.StructArray.from_arrays([flat.field(0), flat.field(1)], names=["piece_id", "length"])
     return pa.table({"fill": pa.array(np.bincount(bins, weights=fill).astype(np.int32)),
-                     "members": pa.ListArray.from_arrays(offsets, members.flatten())})
+                     "members": pa.ListArray.from_arrays(offsets, flat)})
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
