@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -123,26 +126,31 @@ def inspect_text(df: DataFrame, text_col: str, format_col: str) -> DataFrame:
         "warning",
         F.when(F.col("external_links") > 0,
                F.concat(F.col("external_links").cast("string"),
-                        F.lit(" external reference(s) detected; converters do not fetch them."))))
+                        F.lit(" reference(s) point to other hosts and were left alone."))))
+
+
+# Markers of frame headers, and markers that stand alone.
+FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
+ALONE = {0xD8, 0xD9}
+
+
+def _segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and payload of each complete segment after the start of the image."""
+    at = data.find(b"\xff", 2)
+    while 0 <= at <= len(data) - 4:
+        marker, length = struct.unpack_from(">BH", data, at + 1)
+        end = at + 2 if marker in ALONE else at + 2 + length
+        if marker not in ALONE:
+            if length < 2 or end > len(data):
+                return
+            yield marker, data[at + 4:end]
+        at = data.find(b"\xff", end)
 
 
 def _jpeg_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from the first start-of-frame segment."""
-    at = 2
-    while at + 8 < len(data):
-        if data[at] != 0xFF:
-            at += 1
-            continue
-        marker, at = data[at + 1], at + 2
-        if marker in (0xD8, 0xD9):
-            continue
-        size = int.from_bytes(data[at:at + 2], "big")
-        if size < 2 or at + size > len(data):
-            return None
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            return int.from_bytes(data[at + 5:at + 7], "big"), int.from_bytes(data[at + 3:at + 5], "big")
-        at += size
-    return None
+    """Width and height of the first frame header: a precision byte, the height, the width."""
+    frame = next((payload for marker, payload in _segments(data) if marker in FRAMES and len(payload) >= 5), None)
+    return struct.unpack_from(">HH", frame, 1)[::-1] if frame else None
 
 
 SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
@@ -166,7 +174,7 @@ def image_dimensions(files: DataFrame, content: str = "content", format_col: str
     """Add ``width, height`` from the headers of PNG, GIF and JPEG files (null for others and for cut headers)."""
     data, fmt = F.col(content), F.col(format_col)
     # only JPEG bytes cross to Python
-    jpeg = files.withColumn("__jpeg", _jpeg_sizes(F.when(fmt == "jpeg", F.substring(data, 1, 262_144))))
+    jpeg = files.withColumn("__jpeg", _jpeg_sizes(F.when(fmt == "jpeg", data)))
     size = F.octet_length(data)
     return jpeg.withColumn(
         "width",

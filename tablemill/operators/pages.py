@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import cmp_to_key
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,22 +36,29 @@ def reconstruct_lines(runs: DataFrame, tolerance: float = 2.0, chunk: int = 20_0
     start = F.min("above").over(Window.partitionBy("doc", "page", "band"))
     bands = bands.withColumn("chunk", F.floor(start / chunk)).select("doc", "page", "y", "band", "chunk")
 
-    def before(a, b) -> float:
-        return b[1] - a[1] if abs(b[1] - a[1]) > tolerance else a[0] - b[0]
+    def order(x, y) -> np.ndarray:
+        """Reading order: higher first where heights differ by more than the tolerance, else left first."""
+        def compare(i: int, j: int) -> float:
+            drop = y[j] - y[i]
+            return drop if abs(drop) > tolerance else x[i] - x[j]
+        return np.array(sorted(range(len(x)), key=cmp_to_key(compare)), dtype=np.int64)
 
     def lines(x, y, text) -> list[tuple[float, str]]:
-        if max(y) - min(y) <= tolerance:
-            # all runs can meet: one line, left to right
-            order = sorted(range(len(x)), key=x.__getitem__)
-            return [(y[order[0]], JS_BLANKS.sub(" ", " ".join([text[i] for i in order])).strip(" "))]
-        found: list[tuple[float, list[str]]] = []
-        for _, height, word in sorted(zip(x, y, text), key=cmp_to_key(before)):
-            home = next((words for anchor, words in found if abs(anchor - height) <= tolerance), None)
-            if home is None:
-                found.append((height, home := []))
-            home.append(word)
-        found.sort(key=lambda item: -item[0])
-        return [(height, JS_BLANKS.sub(" ", " ".join(words)).strip(" ")) for height, words in found]
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        flat = np.ptp(y) <= tolerance
+        sequence = np.argsort(x, kind="stable") if flat else order(x, y)
+        # the line of each run is the earliest anchor that is near enough
+        anchors, line_of = [y[sequence[0]]], np.zeros(len(x), np.int64)
+        for i in () if flat else sequence[1:]:
+            near = np.flatnonzero(np.abs(np.array(anchors) - y[i]) <= tolerance)
+            line_of[i] = near[0] if len(near) else len(anchors)
+            if not len(near):
+                anchors.append(y[i])
+        words = [[] for _ in anchors]
+        for i in sequence:
+            words[line_of[i]].append(text[i])
+        return [(float(anchors[k]), JS_BLANKS.sub(" ", " ".join(words[k])).strip(" "))
+                for k in np.argsort(-np.array(anchors), kind="stable")]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None

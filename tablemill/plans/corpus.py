@@ -197,25 +197,22 @@ def registry_usage(spark, t):
 def _edges_sql() -> str:
     """The edge table as SQL, written out of the family list."""
     selects = []
-    for i, line in enumerate(routes.FAMILIES.strip().splitlines()):
-        conv, inputs, outputs, same, metadata, mult, streams, cost, mode, root = line.split("|")
-        src, out = inputs.split(), [(o.split(":") + ["0"])[:2] for o in outputs.split()]
-        costs = dict(c.split("=") for c in cost.split()) if "=" in cost else {}
+    for i, f in enumerate(routes.FAMILIES):
         values = []
-        for a, s in enumerate(src):
-            for b, (o, q) in enumerate(out):
-                if conv == "vips-image" and s in routes.NATIVE_IMAGES and o in routes.NATIVE_IMAGES:
+        for a, s in enumerate(f.inputs):
+            for b, (o, q) in enumerate(f.outputs.items()):
+                if f.engine == "vips-image" and s in routes.NATIVE_IMAGES and o in routes.NATIVE_IMAGES:
                     continue
-                meta = [m for m in metadata.split(";") if m]
-                if conv == "vips-image" and s == "heic":
+                meta = f.metadata
+                if f.engine == "vips-image" and s == "heic":
                     meta = routes.HEIC_LOSS
-                if conv == "subtitle-compat" and s == "ass" and o != "ass":
+                if f.engine == "subtitle-compat" and s == "ass" and o != "ass":
                     meta = routes.ASS_LOSS
-                quality = q if s != o or "image" in conv else same
-                price = costs.get(o, costs.get("*", cost))
-                stream = streams in ("*", o) and bool(streams)
-                score = (float(price) + float(quality) * 1000 + 25 * len(meta) + 5 * float(mult) + (0 if stream else 8))
-                values.append(f"({i * 1000 + a * 30 + b}, '{s}', '{o}', '{conv}', {round(score, 4)}, {root == '1'}, "
+                quality = q if s != o or "image" in f.engine else f.same
+                price = f.cost_of.get(o, f.cost)
+                stream = f.streams in ("all", o)
+                score = price + quality * 1000 + 25 * len(meta) + 5 * f.memory + (0 if stream else 8)
+                values.append(f"({i * 1000 + a * 30 + b}, '{s}', '{o}', '{f.engine}', {round(float(score), 4)}, {f.root_only}, "
                               f"{len(meta)}, {float(quality)})")
         selects.append(", ".join(values))
     return ("edges(eo, s, t, conv, cost, root_only, n_meta, quality) AS (VALUES " + ", ".join(selects) + ")")
@@ -292,7 +289,7 @@ def cheapest(spark, t):
 
 @query("r5_route_losses")
 def losses(spark, t):
-    """Losses on the way of every file to PDF, JSON or WebVTT, with the converters on the route."""
+    """Losses on the way of every file to PDF, JSON or WebVTT, with the engines on the route."""
     plan = routes.plan_routes(routes.conversion_edges(spark), preference="semantic").where(
         F.col("target").isin("pdf", "json-data", "vtt"))
     report = routes.analyze_loss(plan, formats.format_registry(spark)).select(
@@ -466,14 +463,14 @@ def tags(spark, t):
 
 @query("b12_classify_errors", """
 WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN ' OUTPUT_INVALID: bad ' || event_id
-  WHEN 'view' THEN 'SOMETHING_NEW:  odd ' || user_id WHEN 'error' THEN 'No local conversion route is available on this browser.'
+  WHEN 'view' THEN 'SOMETHING_NEW:  odd ' || user_id WHEN 'error' THEN 'No local conversion route is available.'
   WHEN 'signup' THEN 'Job cancelled' ELSE CASE WHEN event_id % 2 = 0 THEN '' ELSE 'plain words' END END AS msg FROM events)
 SELECT event_id, CASE WHEN msg LIKE '%OUTPUT_INVALID%' THEN 'OUTPUT_INVALID' WHEN msg LIKE 'SOMETHING%' THEN 'SOMETHING_NEW'
   WHEN msg LIKE 'No local%' THEN 'NO_LOCAL_ROUTE' WHEN msg LIKE '%cancel%' THEN 'CANCELLED' END AS code,
   CASE WHEN msg LIKE '%OUTPUT_INVALID%' THEN 'Output validation failed' WHEN msg LIKE 'No local%' THEN 'Conversion unavailable'
   WHEN msg LIKE '%cancel%' THEN 'Conversion cancelled' ELSE 'Conversion could not be completed' END AS title,
   CASE WHEN msg LIKE 'SOMETHING%' THEN 'odd ' || split_part(msg, 'odd ', 2) WHEN msg = 'plain words' THEN msg
-  WHEN msg = '' THEN 'An unexpected local conversion error occurred.' END AS own_message
+  WHEN msg = '' THEN 'The run ended with an error that names no cause.' END AS own_message
 FROM e
 """)
 def classify(spark, t):
@@ -481,7 +478,7 @@ def classify(spark, t):
     message = (
         F.when(kind == "click", F.concat(F.lit(" OUTPUT_INVALID: bad "), "event_id"))
         .when(kind == "view", F.concat(F.lit("SOMETHING_NEW:  odd "), "user_id"))
-        .when(kind == "error", "No local conversion route is available on this browser.")
+        .when(kind == "error", "No local conversion route is available.")
         .when(kind == "signup", "Job cancelled").when(F.col("event_id") % 2 == 0, "").otherwise("plain words"))
     found = batch.classify_errors(t.events.select("event_id", message.alias("msg")), "msg")
     return found.select("event_id", "code", "title", F.when(
@@ -647,14 +644,14 @@ def archive_summary(spark, t):
 
 # ---- whole runs ----
 
-@query("b1_convert_corpus", " UNION ALL ".join(f"""
+@query("b1_run_corpus", " UNION ALL ".join(f"""
 SELECT '{n}.parquet' AS source_name, 'parquet' AS format_id, 'completed' AS state, 'Complete' AS stage, '{n}.csv' AS output_name,
   (SELECT count(*) FROM {n}) AS rows, NULL AS error""" for n in sorted(TABLES)))
-def convert_tables(spark, t):
+def run_tables(spark, t):
     """All given tables, found by content and written as CSV under names from a template."""
-    from tablemill.plans.convert import convert_corpus
+    from tablemill.plans.run import run_corpus
 
-    done = convert_corpus(spark, [t.path(n) for n in TABLES], "csv", work_path(spark, "out"), {"template": "{name}"})
+    done = run_corpus(spark, [t.path(n) for n in TABLES], "csv", work_path(spark, "out"), {"template": "{name}"})
     return done.select("source_name", "format_id", "state", "stage", "output_name", "rows", "error")
 
 

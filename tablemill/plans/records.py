@@ -103,12 +103,12 @@ def clean(spark, t):
     return t.conversations.select("conv_id", "turn", clean_ass(raw).alias("text"))
 
 
-@query("t6_convert_srt_to_vtt", f"""
+@query("t6_translate_srt_to_vtt", f"""
 WITH {CUES_SQL} SELECT doc_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({clock_sql('start_ms', '.')} || ' --> ' ||
   {clock_sql('end_ms', '.')} || chr(10) || text || chr(10), chr(10) ORDER BY pos) AS text FROM norm GROUP BY doc_id
 """)
-def convert(spark, t):
-    return whole(subtitles.convert_subtitles(serialize_srt(spark, t), "srt", "vtt"), "doc_id")
+def translate(spark, t):
+    return whole(subtitles.translate_subtitles(serialize_srt(spark, t), "srt", "vtt"), "doc_id")
 
 
 # ---- pages ----

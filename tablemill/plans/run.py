@@ -1,4 +1,4 @@
-"""Conversion of a whole corpus: detect, route, convert per kind of file, check, report. A bad file fails alone."""
+"""Rewriting of a whole corpus: detect, route, write per kind of file, check, report. A bad file fails alone."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from tablemill.sources import tabular
 from tablemill.sources.sqlite import read_sqlite
 from tablemill.sources.workbook import workbook_cells
 
-NO_ROUTE = "No local conversion route is available on this browser."
+NO_ROUTE = "No local conversion route is available."
 UNKNOWN = "FORMAT_UNKNOWN: File format could not be identified."
 TABLES = ["csv", "tsv", "json-data", "jsonl", "parquet", "arrow", "sqlite"]
 FLAT = ["csv", "tsv", "json-data", "jsonl", "parquet"]
@@ -195,7 +195,7 @@ def _frame_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"output_name": [name, name], "value": [last, "]"]})
 
 
-def _convert_tables(spark: SparkSession, fmt: str, tasks: DataFrame, target: str, out: str, options: dict) -> DataFrame:
+def _run_tables(spark: SparkSession, fmt: str, tasks: DataFrame, target: str, out: str, options: dict) -> DataFrame:
     """Results ``(path, rows, error)`` of the tables of one source format."""
     layouts = work_path(spark, "layouts")
     _layouts(spark, fmt, tasks).write.parquet(layouts)
@@ -207,11 +207,11 @@ def _convert_tables(spark: SparkSession, fmt: str, tasks: DataFrame, target: str
     group = F.col("path") if query or fmt in ("arrow", "sqlite") else F.col("layout")
     for row in good.select(group.alias("g")).distinct().toLocalIterator():
         members = good.where(group == row["g"]).select("path")
-        results.append(_convert_group(spark, fmt, tasks.join(members, "path", "left_semi"), target, out, options, query))
+        results.append(_run_group(spark, fmt, tasks.join(members, "path", "left_semi"), target, out, options, query))
     return reduce(DataFrame.unionByName, results)
 
 
-def _convert_group(spark, fmt, tasks: DataFrame, target: str, out: str, options: dict, query: str) -> DataFrame:
+def _run_group(spark, fmt, tasks: DataFrame, target: str, out: str, options: dict, query: str) -> DataFrame:
     paths = [r["path"] for r in tasks.select("path").toLocalIterator()]
     try:
         df = _read_tables(spark, fmt, paths, options)
@@ -230,7 +230,7 @@ def _convert_group(spark, fmt, tasks: DataFrame, target: str, out: str, options:
         if len(paths) > 1:
             # find out which file it was: each one again by itself
             return reduce(DataFrame.unionByName, [
-                _convert_group(spark, fmt, tasks.where(F.col("path") == p), target, out, options, query) for p in paths])
+                _run_group(spark, fmt, tasks.where(F.col("path") == p), target, out, options, query) for p in paths])
         text = f"CONVERSION_FAILED: {str(error).strip().splitlines()[0]}"[:500]
         return spark.createDataFrame([(paths[0], None, text)], "path string, rows bigint, error string")
 
@@ -263,11 +263,11 @@ def _write_texts(parts: DataFrame, tasks: DataFrame, order: list[str], out: str)
     return parts.groupBy("path").agg(F.count("text").alias("rows"))
 
 
-def _convert_texts(spark: SparkSession, fmt: str, tasks: DataFrame, target: str, out: str, options: dict) -> DataFrame:
+def _run_texts(spark: SparkSession, fmt: str, tasks: DataFrame, target: str, out: str, options: dict) -> DataFrame:
     docs = _texts(spark, tasks)
     nothing = F.lit(None).cast("string")
     if fmt in subtitles.FORMATS:
-        parts = subtitles.convert_subtitles(docs, fmt, target, "path")
+        parts = subtitles.translate_subtitles(docs, fmt, target, "path")
         written = _write_texts(parts, tasks, ["part"], out)
         return parts.groupBy("path").agg(F.max("error").alias("error")).join(written, "path").select("path", "rows", "error")
     if fmt in ("obj", "stl", "ply"):
@@ -316,17 +316,17 @@ def _convert_texts(spark: SparkSession, fmt: str, tasks: DataFrame, target: str,
 
 def _handler(fmt: str, target: str):
     if fmt in TABLES and target in FLAT:
-        return _convert_tables
+        return _run_tables
     if fmt in subtitles.FORMATS and target in subtitles.FORMATS:
-        return _convert_texts
+        return _run_texts
     if fmt in ("obj", "stl", "ply") and target in ("obj", "ply"):
-        return _convert_texts
+        return _run_texts
     if (fmt, target) in (("fits", "json-data"), ("fb2", "html-doc")) or (fmt in BOOKS and target in ("csv", "tsv")):
-        return _convert_texts
+        return _run_texts
     return None
 
 
-def convert_corpus(spark: SparkSession, inbox: str | list[str], target: str, out: str, options: dict | None = None) -> DataFrame:
+def run_corpus(spark: SparkSession, inbox: str | list[str], target: str, out: str, options: dict | None = None) -> DataFrame:
     """Convert every file below ``inbox``; the outputs lie at ``out/output_name=<name>/``.
 
     Returns the task table ``(idx, source_name, format_id, state, stage, progress, output_name, rows, error, warnings)``.

@@ -3,7 +3,7 @@ import struct
 from pyspark.sql import functions as F
 
 from tablemill.operators import mesh, pages, science, subtitles
-from tablemill.plans.convert import convert_corpus
+from tablemill.plans.run import run_corpus
 from tablemill.streaming.ingest import ingest_available
 
 
@@ -19,7 +19,7 @@ def test_srt(frame):
     text = "\ufeff1\r\n00:00:01,250 --> 00:00:03,500\r\nHello\r\nworld\r\n\r\n00:05.0 --> 1:00:06\n tail \n\nno cue\n"
     srt = docs(frame, text)
     assert cues(subtitles.parse_srt(srt)) == [(1250, 3500, "Hello\nworld"), (5000, 3606000, "tail")]
-    vtt = subtitles.convert_subtitles(srt, "srt", "vtt")
+    vtt = subtitles.translate_subtitles(srt, "srt", "vtt")
     assert cues(subtitles.parse_vtt(vtt)) == cues(subtitles.parse_srt(srt))
 
 
@@ -31,7 +31,7 @@ def test_ass(frame):
 
 def test_broken_subtitles_are_isolated(frame):
     bad = docs(frame, "1\n00:00:01,000 --> 00:00:02,000\nok", "nothing", "1\n0:0:0:1 --> 00:02\nx")
-    out = {r["doc_id"]: r for r in subtitles.convert_subtitles(bad, "srt", "ass").collect()}
+    out = {r["doc_id"]: r for r in subtitles.translate_subtitles(bad, "srt", "ass").collect()}
     assert out[0]["error"] is None and out[0]["text"].endswith("Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,ok\n")
     assert "SUBTITLE_PARSE_FAILED" in out[1]["error"] and "SUBTITLE_TIME_INVALID" in out[2]["error"]
 
@@ -145,7 +145,7 @@ def test_corpus_conversion_isolates_failures(spark, tmp_path):
     (inbox / "bad.jsonl").write_text('{"a":1}\n{broken\n')
     (inbox / "what.bin").write_bytes(b"\1\2\3")
     (inbox / "fake.parquet").write_bytes(b"PAR1junk")
-    done = {r["source_name"]: r for r in convert_corpus(spark, str(inbox), "csv", str(tmp_path / "out"), {"template": "{name}"}).collect()}
+    done = {r["source_name"]: r for r in run_corpus(spark, str(inbox), "csv", str(tmp_path / "out"), {"template": "{name}"}).collect()}
     assert len(done) == 6 and len({r["output_name"].lower() for r in done.values() if r["output_name"]}) == 3
     assert (done["a.csv"]["state"], done["a.csv"]["rows"]) == ("completed", 2)
     assert done["what.bin"]["stage"] == "Cannot plan" and done["bad.jsonl"]["stage"] == "Failed" and done["fake.parquet"]["state"] == "failed"
@@ -159,7 +159,7 @@ def test_corpus_query_runs_per_file(spark, tmp_path):
     inbox.mkdir()
     (inbox / "a.csv").write_text("x\n1\n3\n")
     (inbox / "b.csv").write_text("x\n5\n")
-    done = convert_corpus(spark, str(inbox), "csv", str(tmp_path / "out"), {"query": "SELECT sum(x) AS s FROM data"})
+    done = run_corpus(spark, str(inbox), "csv", str(tmp_path / "out"), {"query": "SELECT sum(x) AS s FROM data"})
     assert {r["source_name"]: r["rows"] for r in done.collect()} == {"a.csv": 1, "b.csv": 1}
     sums = [p.read_text() for p in sorted((tmp_path / "out").glob("*/part-*"))]
     assert sums == ["s\n4\n", "s\n5\n"]
