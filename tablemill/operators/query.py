@@ -57,34 +57,91 @@ def audit_queries(df: DataFrame, sql_col: str, spark_rules: bool = True) -> Data
     )
 
 
+# Parsed nodes that only read and combine; every other kind is refused.
+READING = set("""
+    Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Join LateralJoin AsOfJoin Union Except Intersect
+    SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedHaving WithWindowDefinition Window Generate Pivot Unpivot
+    UnresolvedPivot OneRowRelation UnresolvedInlineTable LocalRelation UnresolvedRelation UnresolvedWith UnresolvedHint Sample
+    Expand UnresolvedTableValuedFunction UnresolvedTVFAliases GroupingAnalytics UnresolvedOrdinal RepartitionByExpression
+""".split())
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack",
+                   "json_tuple", "variant_explode", "variant_explode_outer"}
+JVM_CALLS = {"reflect", "try_reflect", "java_method"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check_plan(plan, names: set[str]) -> None:
+    """Walk a parsed plan; ``names`` are the views and the common table expressions in scope."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in READING:
+        raise ValueError(f"{RESTRICTED}: {kind} is not a plain read.")
+    if kind == "UnresolvedWith":
+        inner = set(names)
+        for entry in _items(plan.cteRelations()):
+            own = {entry._1().lower()}
+            _check_plan(entry._2(), inner | own if plan.allowRecursion() else inner)
+            inner |= own
+        _check_plan(plan.child(), inner)
+        return
+    if kind == "UnresolvedRelation":
+        parts = _items(plan.multipartIdentifier())
+        if len(parts) != 1 or parts[0].lower() not in names:
+            raise ValueError(f"{RESTRICTED}: Unknown relation {'.'.join(parts)}; only the given views can be read.")
+    if kind == "UnresolvedTableValuedFunction" and ".".join(_items(plan.name())).lower() not in TABLE_FUNCTIONS:
+        raise ValueError(f"{RESTRICTED}: This table function is blocked.")
+    for expression in _items(plan.expressions()):
+        _check_expression(expression, names)
+    for child in _items(plan.children()):
+        _check_plan(child, names)
+
+
+def _check_expression(expression, names: set[str]) -> None:
+    kind = expression.getClass().getSimpleName()
+    if "UnresolvedIdentifier" in kind:
+        raise ValueError(f"{RESTRICTED}: Names that are computed are blocked.")
+    if kind == "UnresolvedFunction" and _items(expression.nameParts())[-1].lower() in JVM_CALLS:
+        raise ValueError(f"{RESTRICTED}: JVM calls are blocked.")
+    if kind in SUBQUERIES:
+        _check_plan(expression.plan(), names)
+    for child in _items(expression.children()):
+        _check_expression(child, names)
+
+
 def _check_relations(spark: SparkSession, query: str, names: set[str]) -> None:
-    """Every table the parsed (not yet analysed) query names must be a given view or one of its own CTEs."""
+    """Every table that the parsed (not yet analysed) query names must be a given view or one of its own CTEs."""
     try:
-        tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     except Exception as error:
         raise ValueError(f"DATA_QUERY_INVALID: {str(error).strip().splitlines()[0]}") from error
-    if "ScriptTransformation" in tree:
-        raise ValueError(f"{RESTRICTED}: Script transforms are blocked.")
-    ctes = {name.lower() for name in re.findall(r"(?:\bwith\s+(?:recursive\s+)?|,\s*)`?(\w+)`?\s*(?:\([^()]*\)\s*)?"
-                                                r"(?:max\s+recursion\s+level\s+\d+\s*)?as\s*\(", query, re.I)}
-    for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-        if relation.strip().lower() not in names | ctes:
-            raise ValueError(f"{RESTRICTED}: Unknown relation {relation}; only the given views can be read.")
+    _check_plan(plan, names)
 
 
 def restricted_sql(views: Mapping[str, DataFrame], query: str = "") -> DataFrame:
-    """Validate ``query``, then run it as one Spark SQL statement over ``views``; empty means all of ``data``."""
+    """Validate ``query``, then run it as one Spark SQL statement over ``views``; empty means all of ``data``.
+
+    The views exist only while the statement is analysed; views of the caller with the same names are put back.
+    """
     spark = next(iter(views.values())).sparkSession
     text = validate_query(query) or "SELECT * FROM data"
     _check_relations(spark, text, {name.lower() for name in views})
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
+    temporary = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    hidden = {name: spark.table(name) for name in views if name.lower() in temporary}
     before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
         return spark.sql(text)
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", before)
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, df in hidden.items():
+            df.createOrReplaceTempView(name)
 
 
 def asof_join(

@@ -48,6 +48,27 @@ def test_only_given_views(spark, frame, tmp_path):
         restricted_sql({"data": data}, "SELECT ((")
 
 
+HIDDEN = ["SELECT ', hidden as (' AS s, v FROM hidden", "SELECT v /*, hidden as ( */ FROM hidden",
+          "SELECT v FROM IDENTIFIER('hidden')", "SELECT * FROM (WITH hidden AS (SELECT 1 AS v) SELECT v FROM hidden) JOIN hidden",
+          "SELECT a FROM data WHERE a IN (SELECT v FROM hidden)", "SELECT IDENTIFIER('a') FROM data", "TABLE hidden",
+          "SELECT * FROM data, LATERAL (SELECT v FROM hidden)", "WITH x AS (SELECT v FROM hidden) SELECT * FROM x"]
+
+
+@pytest.mark.parametrize("query", HIDDEN)
+def test_hidden_views_stay_hidden(frame, query):
+    frame([(7,)], "v int").createOrReplaceTempView("hidden")
+    with pytest.raises(ValueError, match="DATA_QUERY_RESTRICTED"):
+        restricted_sql({"data": frame([(1,)], "a int")}, query)
+
+
+def test_views_of_the_caller_stay(spark, frame):
+    frame([(5,)], "a int").createOrReplaceTempView("data")
+    assert restricted_sql({"data": frame([(1,)], "a int"), "extra": frame([(2,)], "b int")}, "SELECT a + b AS c FROM data JOIN extra").first()[0] == 3
+    assert spark.table("data").first()[0] == 5
+    assert not spark.catalog.tableExists("extra")
+    spark.catalog.dropTempView("data")
+
+
 def test_asof_join_against_brute_force(frame):
     rnd = random.Random(3)
     # one key holds most rows, and its times span many ranges
