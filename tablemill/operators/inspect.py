@@ -51,15 +51,15 @@ def preview(df: DataFrame, order_by: Sequence[str | Column], rows: int = 20, col
     return json_export_values(df.orderBy(*order_by).limit(rows).select(*df.columns[:cols]))
 
 
-def inspect_database(tables: Mapping[str, DataFrame], cap: int = 200) -> DataFrame:
+def inspect_database(tables: Mapping[str, DataFrame], cap: int | None = None) -> DataFrame:
     """Long catalogue over named tables in name order: one row per column, with the row count of its table.
 
-    At most ``cap`` tables are listed; ``warning`` says so when the cap is reached.
+    All tables are listed, or the first ``cap``; ``warning`` says so when that is reached.
     """
     names = sorted(tables)[:cap]
     if not names:
         raise ValueError("SQLITE_TABLE_REQUIRED: Database contains no user table.")
-    warning = f"Only the first {cap} tables/views are shown." if len(names) >= cap else None
+    warning = f"Only the first {cap} tables/views are shown." if cap is not None and len(names) >= cap else None
     counts = reduce(DataFrame.unionByName, [
         tables[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n in names])
     columns = [(n, i, f.name, sql_type_name(f.dataType), f.nullable)

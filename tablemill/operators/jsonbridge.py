@@ -12,8 +12,6 @@ from tablemill.functions.tables import once
 from tablemill.functions.text import js_number, js_trim
 
 MAX_COLUMNS = 2000
-AFFINITY_ROWS = 5_000
-AFFINITY_COLUMN_ROWS = 10_000
 MAX_SAFE_INTEGER = 2**53 - 1
 
 
@@ -142,20 +140,19 @@ def json_export_values(df: DataFrame, bigint_as_string: bool = True) -> DataFram
                        for f in df.schema.fields])
 
 
-def infer_affinity(rows: DataFrame, sample: int = AFFINITY_ROWS, index_col: str = "row_index") -> DataFrame:
-    """``(key, affinity)`` of the keys in the first 10,000 rows, typed by the first ``sample`` rows.
+def infer_affinity(rows: DataFrame, sample: int | None = None, index_col: str = "row_index") -> DataFrame:
+    """``(key, affinity)`` of every key, typed by all rows, or by the first ``sample`` rows where that is asked for.
 
     TEXT beats BLOB beats REAL beats INTEGER; booleans and whole numbers are INTEGER; all null is TEXT.
     """
     cells = (
-        rows.where(F.col(index_col) < AFFINITY_COLUMN_ROWS)
-        .select(F.col(index_col).alias("r"),
+        rows.select(F.col(index_col).alias("r"),
                 F.explode(F.from_json("row_json", T.MapType(T.StringType(), T.VariantType()))).alias("key", "v"))
         .select("r", "key", "v", F.schema_of_variant("v").alias("kind"))
     )
     number = F.try_variant_get("v", "$", "double")
     numeric = F.col("kind").rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    sampled = F.col("r") < sample
+    sampled = F.lit(True) if sample is None else F.col("r") < sample
     text = sampled & ~numeric & ~F.col("kind").isin("VOID", "BOOLEAN", "BINARY")
     flags = cells.groupBy("key").agg(
         F.bool_or(text).alias("text"),

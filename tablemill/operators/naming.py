@@ -23,12 +23,12 @@ def _base_name(path: Column) -> Column:
     return F.regexp_replace(path, r"^.*[/\\]", "")
 
 
-def sanitize_name(col: Column) -> Column:
-    """Unsafe characters to ``_``, white space collapsed, outer dots and blanks off, at most 180 characters."""
+def sanitize_name(col: Column, max_chars: int = MAX_NAME) -> Column:
+    """Unsafe characters to ``_``, white space collapsed, outer dots and blanks off, at most ``max_chars`` characters."""
     out = F.regexp_replace(col, r'[<>:"/\\|?*\x00-\x1f]', "_")
     out = F.regexp_replace(out, f"{JS_SPACE}+", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"^[. ]+", ""), r"[. ]+$", "")
-    out = F.substring(out, 1, MAX_NAME)
+    out = F.substring(out, 1, max_chars)
     return F.when(out == "", "output").otherwise(out)
 
 

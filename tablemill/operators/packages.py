@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import count_matches, match_values, xml_value
 from tablemill.operators.formats import utf8
 
-MIB = 1024 * 1024
 # Members whose text is read. Fixed names first, then patterns.
 MEMBERS = [
     r"word/(?:document|comments|footnotes|endnotes|fontTable)\.xml", r"docProps/core\.xml", r"mimetype",
     r"content\.xml", r"styles\.xml", r"meta\.xml", r"META-INF/container\.xml", r"(?i:ppt/slides/slide\d+\.xml)",
     r".*\.opf", r".*\.rels",
 ]
-RELS_BYTES, RELS_COUNT = 2 * MIB, 500
 
 # Counters per family. counter: (member name pattern, pattern in its text or None to count the members)
 FAMILIES: dict[str, dict[str, list[tuple[str, str | None]]]] = {
@@ -75,12 +73,10 @@ LEGACY_WARNING = "A binary container from before the package formats: only its f
 
 
 def external_relationships(members: DataFrame, archive: str = "archive_id") -> DataFrame:
-    """``(archive, external_links)``: external targets in the first 500 relationship parts of at most 2 MiB."""
-    parts = members.where(F.col("path").endswith(".rels") & (F.col("size") <= RELS_BYTES))
-    ranked = parts.withColumn("__n", F.row_number().over(Window.partitionBy(archive).orderBy("idx"))).where(
-        F.col("__n") <= RELS_COUNT)
+    """``(archive, external_links)``: external targets in all relationship parts."""
+    parts = members.where(F.col("path").endswith(".rels"))
     hits = count_matches(utf8(F.col("content")), r"""(?i)TargetMode\s*=\s*["']External["']""")
-    return ranked.groupBy(archive).agg(F.sum(hits).alias("external_links"))
+    return parts.groupBy(archive).agg(F.sum(hits).alias("external_links"))
 
 
 def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archive_id") -> DataFrame:

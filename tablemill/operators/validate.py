@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.text import js_trim, strip_bom
 from tablemill.operators import mesh, subtitles
-from tablemill.operators.formats import category_of
+from tablemill.operators.formats import PROBE, category_of, match_content
 from tablemill.operators.jsonbridge import MAX_COLUMNS, is_json
 
 
@@ -25,12 +25,18 @@ def validate_dataset(spark: SparkSession, path: str, fmt: str, **options) -> Dat
     }
     schema = "format_id string, valid boolean, rows bigint, columns int, size bigint, files bigint, error string"
     # _SUCCESS and other marker files are no data
-    bodies = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("n")).where("n NOT LIKE '\\_%' AND n NOT LIKE '.%'")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn(
+        "n", F.regexp_extract("path", r"([^/]+)$", 1)).where("n NOT LIKE '\\_%' AND n NOT LIKE '.%'")
+    bodies = files.select("length")
     try:
         found = bodies.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("files")).first()
         if not found["size"]:
             raise ValueError("Output is empty.")
+        heads = files.select(F.substring("content", 1, PROBE).alias("content"))
+        same = ["json-data", "jsonl"] if fmt in ("json-data", "jsonl") else [fmt]
+        other = match_content(heads).where(F.col("content_id").isNotNull() & ~F.col("content_id").isin(same)).first()
+        if other is not None:
+            raise ValueError(f"Content is {other['content_id']}, not {fmt}.")
         df = readers[fmt](spark, path, **options)
         row = (fmt, True, df.count(), len(df.columns), found["size"], found["files"], None)
     except Exception as error:
@@ -38,7 +44,8 @@ def validate_dataset(spark: SparkSession, path: str, fmt: str, **options) -> Dat
     return spark.createDataFrame([row], schema)
 
 
-def validate_json(docs: DataFrame, lines: bool, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def validate_json(docs: DataFrame, lines: bool, doc: str = "doc_id", text: str = "text",
+                  max_columns: int = MAX_COLUMNS) -> DataFrame:
     """``(doc, valid, rows, columns, error)``: re-parse of every JSON document or JSON Lines file in the table."""
     body = strip_bom(F.col(text))
     if lines:
@@ -65,7 +72,7 @@ def validate_json(docs: DataFrame, lines: bool, doc: str = "doc_id", text: str =
     error = (
         F.when(~F.col("whole_ok"), "Output JSON could not be reparsed: not one JSON value.")
         .when(~F.col("ok"), F.concat(F.lit("Output JSON could not be reparsed: row "), F.col("bad").cast("string")))
-        .when(F.col("columns") > MAX_COLUMNS,
+        .when(F.col("columns") > max_columns,
               "Output JSON could not be reparsed: DATA_COLUMN_LIMIT: JSON input contains too many distinct columns."))
     valid = error.isNull()
     return joined.select(doc, valid.alias("valid"), F.when(valid, F.col("rows")).alias("rows"),

@@ -23,7 +23,7 @@ def cues(t) -> DataFrame:
     raw = t.conversations.select(
         F.col("conv_id").alias("doc_id"), "turn", (F.col("turn") * 3_723_456 + F.col("conv_id") * 7).alias("start_ms"),
         (F.col("turn") * 3_723_456 + F.col("conv_id") * 7 + 1_505).alias("end_ms"),
-        F.concat(F.col("role"), F.lit(": "), F.regexp_replace(F.substring("text", 1, 1_000_000), r"\s*\n\s*", "\n"))
+        F.concat(F.col("role"), F.lit(": "), F.regexp_replace("text", r"\s*\n\s*", "\n"))
         .alias("text"))
     return running_index(raw, ["doc_id"], "turn", "pos").withColumn("text", F.trim("text"))
 
@@ -96,10 +96,10 @@ def parse_ass(spark, t):
 
 
 @query("t4_clean_ass", """
-SELECT conv_id, turn, role || chr(10) || ' ' || rtrim(text[:20], ' ' || chr(10)) AS text FROM conversations
+SELECT conv_id, turn, role || chr(10) || ' ' || rtrim(text, ' ' || chr(10)) AS text FROM conversations
 """)
 def clean(spark, t):
-    raw = F.concat(F.lit("{\\b1}"), "role", F.lit("\\N\\h{\\i0\\k}"), F.substring("text", 1, 20), F.lit("  "))
+    raw = F.concat(F.lit("{\\b1}"), "role", F.lit("\\N\\h{\\i0\\k}"), "text", F.lit("  "))
     return t.conversations.select("conv_id", "turn", clean_ass(raw).alias("text"))
 
 
@@ -114,12 +114,14 @@ def translate(spark, t):
 # ---- pages ----
 
 def conversation_pages(t) -> DataFrame:
-    short = F.when(F.col("turn") % 3 == 2, "  x ").otherwise(F.col("text"))
-    return t.conversations.select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).alias("page"), short.alias("text"))
+    """Every turn is a page; a nearly empty one follows after every third."""
+    turns = t.conversations.select(F.col("conv_id").alias("doc"), (2 * F.col("turn") + 1).alias("page"), "text")
+    return turns.unionByName(turns.where(F.col("page") % 6 == 5).select("doc", F.col("page") + 1, F.lit("  x ").alias("text")).toDF(
+        "doc", "page", "text"))
 
 
-PAGES_SQL = """pages_ AS (SELECT conv_id AS doc, turn + 1 AS page, CASE WHEN turn % 3 = 2 THEN '  x ' ELSE text END AS text
-  FROM conversations)"""
+PAGES_SQL = """pages_ AS (SELECT conv_id AS doc, 2 * turn + 1 AS page, text FROM conversations
+  UNION ALL SELECT conv_id, 2 * turn + 2, '  x ' FROM conversations WHERE turn % 3 = 2)"""
 
 
 @query("i16_page_coverage", f"""
@@ -258,16 +260,15 @@ def stl(spark, t):
 @query("m5_mesh_guard", f"""
 WITH {MESH_SQL}, v AS (SELECT mesh_id, count(*) AS vertices FROM pts GROUP BY mesh_id),
 t AS (SELECT mesh_id, count(*) AS triangles FROM tris GROUP BY mesh_id)
-SELECT mesh_id, vertices, coalesce(triangles, 0) AS triangles, CASE WHEN mesh_id % 9 = 0 THEN 'MESH_FACE_INVALID: Face index is out of range.'
+SELECT mesh_id, vertices, coalesce(triangles, 0) AS triangles, CASE WHEN mesh_id % 9 = 0 AND triangles IS NOT NULL THEN 'MESH_FACE_INVALID: Face index is out of range.'
   WHEN vertices > 6 THEN 'MESH_COMPLEXITY_LIMIT: Mesh exceeds the guarded vertex limit.'
   WHEN triangles IS NULL THEN 'MESH_PARSE_FAILED: No triangle geometry.' END AS error
-FROM v LEFT JOIN t USING (mesh_id) WHERE mesh_id % 9 <> 0 OR triangles IS NOT NULL
+FROM v LEFT JOIN t USING (mesh_id)
 """)
 def guard(spark, t):
     points = line_points(t)
     faces = strip(points).withColumn("c", F.when(F.col("mesh_id") % 9 == 0, F.col("c") + 100).otherwise(F.col("c")))
-    report = mesh.mesh_guard(points, faces, 6, 100)
-    return report.where((F.col("mesh_id") % 9 != 0) | (F.col("triangles") > 0))
+    return mesh.mesh_guard(points, faces, 6, 100)
 
 
 # ---- FITS, previews, books ----

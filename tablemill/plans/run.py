@@ -122,7 +122,7 @@ def _read_tables(spark: SparkSession, fmt: str, paths: list[str], options: dict)
     delimiter, header = options.get("delimiter", "auto"), options.get("header", True)
     place = F.monotonically_increasing_id().alias("__row")
     if fmt in ("csv", "tsv"):
-        df = tabular.read_csv(spark, paths, "\t" if fmt == "tsv" else delimiter, header, multiline=options.get("multiline", False))
+        df = tabular.read_csv(spark, paths, "\t" if fmt == "tsv" else delimiter, header, multiline=options.get("multiline", True))
         return df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
                          place)
     if fmt == "parquet":

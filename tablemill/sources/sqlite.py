@@ -124,10 +124,10 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None) -> Dat
     return (reader.option("table", table) if table else reader).load()
 
 
-def sqlite_catalogue(spark: SparkSession, path: str, cap: int = 200) -> DataFrame:
+def sqlite_catalogue(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """Tables and views of SQLite files: ``(path, name, type, rows, columns, user_version, application_id, warning)``.
 
-    One task per group of files; at most ``cap`` objects per file are listed, in (type, name) order.
+    One task per group of files; all objects, or the first ``cap`` per file, are listed in (type, name) order.
     """
     files = spark.createDataFrame([(p,) for p in list_files(path, (".sqlite", ".sqlite3", ".db", ".db3"))], "path string")
 
@@ -140,8 +140,8 @@ def sqlite_catalogue(spark: SparkSession, path: str, cap: int = 200) -> DataFram
                 with closing(_open(file)) as db:
                     version = db.execute("PRAGMA user_version").fetchone()[0]
                     app = db.execute("PRAGMA application_id").fetchone()[0]
-                    objects = db.execute(USER_OBJECTS.format(cap=cap)).fetchall()
-                    warning = f"Only the first {cap} tables/views are shown." if len(objects) >= cap else None
+                    objects = db.execute(USER_OBJECTS.format(cap=-1 if cap is None else cap)).fetchall()
+                    warning = f"Only the first {cap} tables/views are shown." if cap is not None and len(objects) >= cap else None
                     for name, kind in objects:
                         try:
                             rows = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,21 +14,20 @@ from tablemill.functions.text import js_trim, strip_bom
 from tablemill.operators.jsonbridge import is_json, normalize_rows, ordered_columns, retype_text, rows_to_table
 
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_LINES = 64
 
 
-def sniff_delimiter(lines: list[str]) -> str:
-    """The candidate whose count outside quotes is the most regular over the lines; comma when none occurs."""
-    best, score = ",", (0.0, 0)
-    for candidate in DELIMITERS:
-        counts = []
-        for line in lines:
-            outside = line.split('"')[::2]
-            counts.append(sum(part.count(candidate) for part in outside))
-        width, votes = Counter(counts).most_common(1)[0] if counts else (0, 0)
-        if width and (votes / len(counts), width) > score:
-            best, score = candidate, (votes / len(counts), width)
-    return best
+def sniff_delimiter(lines: DataFrame, value: str = "value") -> str:
+    """The candidate whose count outside quotes is the most regular over all lines; comma when none occurs.
+
+    One pass that counts; a single row per candidate reaches the driver.
+    """
+    outside = F.regexp_replace(F.col(value), r'"[^"]*(?:"|$)', "")
+    counts = lines.select(F.posexplode(F.array(*[
+        F.length(F.regexp_replace(outside, rf"[^\{c}]", "")) for c in DELIMITERS])).alias("i", "width"))
+    votes = counts.groupBy("i", "width").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("i").agg(F.max(F.struct("n", "width")).alias("most")).where(F.col("most.width") > 0).orderBy(
+        F.desc("most.n"), F.desc("most.width"), "i").first()
+    return DELIMITERS[best["i"]] if best else ","
 
 
 def _widen(df: DataFrame) -> DataFrame:
@@ -40,14 +38,15 @@ def _widen(df: DataFrame) -> DataFrame:
 
 def read_csv(
     spark: SparkSession, path: str | list[str], delimiter: str = "auto", header: bool = True,
-    schema: T.StructType | str | None = None, multiline: bool = False,
+    schema: T.StructType | str | None = None, multiline: bool = True,
 ) -> DataFrame:
-    """CSV scan. ``auto`` sniffs the delimiter from the first lines. A ``schema`` saves the inference pass.
+    """CSV scan. ``auto`` finds the delimiter in a pass over the lines; a ``schema`` saves the inference pass.
 
-    ``multiline`` reads quoted line breaks; such files cannot be split over tasks.
+    Line breaks in quotes are part of a cell, so a file is read by one task. Where no cell holds any, ``multiline=False``
+    lets large files be split.
     """
     if delimiter == "auto":
-        delimiter = sniff_delimiter([r.value for r in spark.read.text(path).limit(SNIFF_LINES).collect()])
+        delimiter = sniff_delimiter(spark.read.text(path))
     reader = spark.read.options(
         sep=delimiter, header=header, quote='"', escape='"', multiLine=multiline, preferDate="true",
         timestampType="TIMESTAMP_NTZ")
@@ -63,7 +62,7 @@ def read_csv(
 
 
 def read_tsv(spark: SparkSession, path: str | list[str], header: bool = True,
-             schema: T.StructType | str | None = None, multiline: bool = False) -> DataFrame:
+             schema: T.StructType | str | None = None, multiline: bool = True) -> DataFrame:
     return read_csv(spark, path, "\t", header, schema, multiline)
 
 

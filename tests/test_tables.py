@@ -76,7 +76,7 @@ def test_row_guard(frame):
 
 def test_delimiter_sniffing(spark, tmp_path):
     (tmp_path / "semi.csv").write_text('a;b\n1;"2,5"\n3;4\n')
-    assert tabular.sniff_delimiter(["a;b", '1;"2,5"', "3;4"]) == ";"
+    assert tabular.sniff_delimiter(spark.createDataFrame([("a;b",), ('1;"2,5"',), ("3;4",)], "value string")) == ";"
     assert rows(tabular.read_csv(spark, str(tmp_path / "semi.csv"))) == [(1, "2,5"), (3, "4")]
 
 
@@ -165,3 +165,29 @@ def test_validate_json_fixtures(frame):
     found = {r["doc_id"]: r for r in validate.validate_json(docs, lines=False).collect()}
     assert (found[1]["valid"], found[1]["rows"], found[1]["columns"]) == (True, 2, 2)
     assert not found[2]["valid"] and "JSON" in found[2]["error"] and not found[3]["valid"]
+
+
+def test_quoted_line_breaks_need_no_option(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,"x\ny"\n2,"p ""q"""\n')
+    assert rows(tabular.read_csv(spark, str(tmp_path / "q.csv"))) == [(1, "x\ny"), (2, 'p "q"')]
+    found = validate.validate_dataset(spark, str(tmp_path / "q.csv"), "csv").first()
+    assert (found["valid"], found["rows"]) == (True, 2)
+
+
+def test_a_dataset_must_be_what_it_claims(spark, tmp_path):
+    (tmp_path / "j.csv").write_text('[{"a": 1}, {"a": 2}]')
+    found = validate.validate_dataset(spark, str(tmp_path / "j.csv"), "csv").first()
+    assert not found["valid"] and "json-data" in found["error"]
+    (tmp_path / "j.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert validate.validate_dataset(spark, str(tmp_path / "j.json"), "json-data").first()["valid"]
+
+
+def test_delimiter_of_late_lines(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("title\n" * 100 + "a;b;c\n" * 400)
+    assert tabular.sniff_delimiter(spark.read.text(str(tmp_path / "late.csv"))) == ";"
+
+
+def test_keys_and_types_of_late_rows(spark):
+    late = spark.range(12_000).select(F.col("id").alias("row_index"), F.when(
+        F.col("id") == 11_999, '{"a": "text", "late": 1.5}').otherwise('{"a": 1}').alias("row_json"))
+    assert dict(rows(jsonbridge.infer_affinity(late))) == {"a": "TEXT", "late": "REAL"}
