@@ -86,7 +86,9 @@ def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archi
         family_of = F.when(F.col("format_id") == fmt, name).otherwise(family_of)
     known = files.select(archive, "format_id", family_of.alias("family"))
     path, text = F.col("path"), utf8(F.col("content"))
-    joined = members.where("error IS NULL").join(known, archive)
+    # members that were too large to read count as entries; the profile says that it lacks them
+    unread = F.col("error").startswith("PACKAGE_MEMBER_LIMIT")
+    joined = members.where(F.col("error").isNull() | unread).join(known, archive)
 
     # the package document of an EPUB: the one its container names, else the first
     rootfile = F.max(F.when(path == "META-INF/container.xml",
@@ -115,7 +117,7 @@ def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archi
         F.count(F.lit(1)).alias("package_entries"), F.sum("size").cast("bigint").alias("expanded_size"),
         *[tally(c) for c in [*COUNTERS, "macro_parts"]],
         F.max(F.when(core, xml_value(text, "dc:title"))).alias("title"), F.max(F.when(core, author)).alias("author"),
-        F.max(fonts).alias("fonts"))
+        F.max(fonts).alias("fonts"), F.sort_array(F.collect_set(F.when(unread, F.col("error")))).alias("unread"))
     links = external_relationships(joined.where(F.col("family").isin("writer", "presentation")), archive).withColumnRenamed(
         "external_links", "rel_links")
     merged = known.join(totals, archive, "left").join(links, archive, "left")
@@ -140,8 +142,8 @@ def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archi
     macros = (F.coalesce("macro_parts", F.lit(0)) > 0) & F.col("family").isin("writer", "presentation")
     what = F.when(F.col("family") == "odf", " link(s) point outside the package and were left alone.").otherwise(
         " relationship(s) point outside the package and were left alone.")
-    return out.withColumn("macros", legacy | F.coalesce(macros, F.lit(False))).withColumn("warnings", F.array_compact(F.array(
+    return out.withColumn("macros", legacy | F.coalesce(macros, F.lit(False))).withColumn("warnings", F.concat(F.coalesce("unread", F.array().cast("array<string>")), F.array_compact(F.array(
         F.when(legacy, LEGACY_WARNING), F.when(macros, MACRO_WARNING),
-        F.when(F.col("external_links") > 0, F.concat(F.col("external_links").cast("string"), what))))).withColumn(
+        F.when(F.col("external_links") > 0, F.concat(F.col("external_links").cast("string"), what)))))).withColumn(
         "fonts", F.coalesce("fonts", F.array().cast("array<string>"))).select(
         archive, "format_id", "package_entries", "expanded_size", *COUNTERS, "macros", "fonts", "title", "author", "warnings")

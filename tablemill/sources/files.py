@@ -163,10 +163,17 @@ def extract_archives(files: DataFrame, selected: DataFrame | None = None, archiv
 
 def package_members(files: DataFrame, names: list[str], max_bytes: int = 32 * 1024 * 1024, archive: str = "archive_id"
                     ) -> DataFrame:
-    """Every member of ZIP packages, with ``content`` for those whose name fits one of the patterns and the size cap."""
+    """Every member of ZIP packages, with ``content`` for those whose name fits one of the patterns.
+
+    A member that fits but is larger than ``max_bytes`` is not read and says so in ``error``.
+    """
     pattern = re.compile("|".join(f"(?:{n})" for n in names))
 
     def wanted(name: str, size: int) -> bool:
         return size <= max_bytes and pattern.fullmatch(name) is not None
 
-    return _decode(files.withColumn("__zip", F.lit("zip")), archive, wanted, "__zip")
+    members = _decode(files.withColumn("__zip", F.lit("zip")), archive, wanted, "__zip")
+    large = F.col("error").isNull() & (F.col("size") > max_bytes) & F.col("path").rlike(f"^(?:{pattern.pattern})$")
+    return members.withColumn("error", F.when(large, F.concat(
+        F.lit("PACKAGE_MEMBER_LIMIT: "), "path", F.lit(f" is larger than {max_bytes} bytes and was not read."))).otherwise(
+        F.col("error")))

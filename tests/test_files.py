@@ -268,3 +268,15 @@ def test_retry_rules(frame):
     snap = batch.batch_snapshot(tasks).first()
     assert (snap["failed"], snap["completed"], snap["stage"], snap["resumable"], snap["progress"]) == (2, 1, "Batch complete", True, 1.0)
     assert sorted(r["error"] for r in batch.batch_failures(tasks).collect()) == ["Conversion failed.", "e"]
+
+
+def test_members_that_are_too_large_are_reported(frame):
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as out:
+        out.writestr("word/document.xml", "<w:p>" * 1000)
+        out.writestr("docProps/core.xml", "<dc:title>T</dc:title>")
+    files = frame([("a", "docx", bytearray(body.getvalue()))], "archive_id string, format_id string, content binary")
+    members = sources.package_members(files, packages.MEMBERS, max_bytes=500)
+    found = packages.inspect_packages(members, files).first()
+    assert found["package_entries"] == 2 and found["title"] == "T"
+    assert [w.split(":")[0] for w in found["warnings"]] == ["PACKAGE_MEMBER_LIMIT"]
