@@ -12,7 +12,9 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablemill.functions.text import js_trim, strip_bom
 from tablemill.operators.jsonbridge import is_json, normalize_rows, ordered_columns, retype_text, rows_to_table
+from tablemill.session import work_path
 
+CELLS_PER_FILE = 100_000
 DELIMITERS = [",", ";", "\t", "|"]
 
 
@@ -108,10 +110,22 @@ def json_document_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _table(rows: DataFrame, retype: bool, columns: list[str] | None, types: dict[str, str] | None) -> DataFrame:
+    """Keys need no full parse, so the rows are checked and parsed once; types are then found on the parsed cells."""
+    if columns is None:
+        text = js_trim(F.col("json"))
+        shape = F.when(text.startswith("{"), text).otherwise(F.lit('{"value": null, "row_index": 0}'))
+        columns = ordered_columns(rows.select("row_index", shape.alias("row_json")))
     checked = normalize_rows(rows, "json", "row_index").withColumn("row_json", F.coalesce(
         "row_json", F.raise_error(F.concat(F.lit("JSON_INVALID: row "), F.col("row_index"))).cast("string")))
-    table = rows_to_table(checked, columns or ordered_columns(checked))
-    return retype_text(table, types) if retype else table
+    table = rows_to_table(checked, columns)
+    if not retype:
+        return table
+    if types is None:
+        spark, path = rows.sparkSession, work_path(rows.sparkSession, "cells")
+        # files of bounded length, so that one unsplit document does not stay one task
+        table.toDF(*[f"c{i}" for i in range(len(columns))]).write.option("maxRecordsPerFile", CELLS_PER_FILE).parquet(path)
+        table = spark.read.parquet(path).toDF(*columns)
+    return retype_text(table, types)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], retype: bool = True, columns: list[str] | None = None,
