@@ -11,6 +11,11 @@ from tablemill.functions.tables import let
 JS_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def plain_path(col: Column) -> Column:
+    """A path as the file system spells it, from one that is percent-encoded (as the file metadata of a scan is)."""
+    return F.url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
+
+
 def js_trim(col: Column) -> Column:
     """Trim every kind of white space at both ends (Spark's ``trim`` strips spaces only)."""
     return F.regexp_replace(col, f"^{JS_SPACE}+|{JS_SPACE}+$", "")

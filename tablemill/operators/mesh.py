@@ -127,7 +127,12 @@ def parse_stl(files: DataFrame, mesh: str = "mesh_id", content: str = "content")
     triangles = vertices.where(corner % 3 == 2).select(
         mesh, F.floor(corner / 3).cast("bigint").alias("idx"), (corner - 2).alias("a"), (corner - 1).alias("b"),
         corner.alias("c"))
-    return vertices, triangles
+    # corners that make no whole triangle are a triangle that points nowhere, which the guard refuses
+    last = vertices.groupBy(mesh).agg(F.max("idx").alias("last")).where((F.col("last") + 1) % 3 != 0)
+    nowhere = F.lit(None).cast("bigint")
+    torn = last.select(mesh, F.floor(F.col("last") / 3).cast("bigint").alias("idx"), F.col("last").alias("a"),
+                       nowhere.alias("b"), nowhere.alias("c"))
+    return vertices, triangles.unionByName(torn)
 
 
 def _ply_arrays(docs: DataFrame, mesh: str, text: str) -> DataFrame:

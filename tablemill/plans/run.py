@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions.ordering import running_index
+from tablemill.functions.text import plain_path
 from tablemill.operators import formats, jsonbridge, mesh, naming, routes, science, subtitles, workbook
 from tablemill.operators.query import restricted_sql, validate_query
 from tablemill.session import work_path
@@ -123,11 +124,11 @@ def _read_tables(spark: SparkSession, fmt: str, paths: list[str], options: dict)
     place = F.monotonically_increasing_id().alias("__row")
     if fmt in ("csv", "tsv"):
         df = tabular.read_csv(spark, paths, "\t" if fmt == "tsv" else delimiter, header, multiline=options.get("multiline", True))
-        return df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
+        return df.select("*", plain_path(F.col("_metadata.file_path")).alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
                          place)
     if fmt == "parquet":
         return tabular.read_parquet(spark, paths).select(
-            "*", F.col("_metadata.file_path").alias("__path"), F.lit(0).alias("__block"), F.col("_metadata.row_index").alias("__row"))
+            "*", plain_path(F.col("_metadata.file_path")).alias("__path"), F.lit(0).alias("__block"), F.col("_metadata.row_index").alias("__row"))
     if fmt in ("json-data", "jsonl"):
         rows = tabular.json_line_rows(spark, paths) if fmt == "jsonl" else tabular.json_document_rows(spark, paths)
         checked = jsonbridge.normalize_rows(rows, "json", "row_index").withColumn("__path", F.col("file")).withColumn(

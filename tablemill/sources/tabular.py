@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tablemill.functions.text import js_trim, strip_bom
+from tablemill.functions.text import js_trim, plain_path, strip_bom
 from tablemill.operators.jsonbridge import is_json, normalize_rows, ordered_columns, retype_text, rows_to_table
 from tablemill.session import work_path
 
@@ -80,7 +80,7 @@ def json_line_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     lines = (
         spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .select("value", plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"))
         .withColumn("json", js_trim(F.when(F.col("block") == 0, strip_bom(F.col("value"))).otherwise(F.col("value"))))
         .where(F.col("json") != "")
         .select("file", "block", "json", F.monotonically_increasing_id().alias("seq"))
@@ -98,7 +98,7 @@ def json_document_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A JSON document cannot be split, so each file is read by one task and must fit a Spark string (2 GiB).
     """
     docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), js_trim(strip_bom(F.col("value"))).alias("value"))
+        plain_path(F.col("_metadata.file_path")).alias("file"), js_trim(strip_bom(F.col("value"))).alias("value"))
     texts = F.from_json("value", T.ArrayType(T.StringType()))
     typed = F.from_json("value", T.ArrayType(T.VariantType()))
     # string elements lose their quotes on the way out of the array and get them back here

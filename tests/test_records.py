@@ -77,6 +77,12 @@ def test_stl(frame):
     assert len(data) == 134 and data[80:84] == b"\x01\0\0\0" and data[96:132] == binary[96:132]
 
 
+def test_torn_stl_is_refused(frame):
+    torn = b"solid x\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\nvertex 2 2 2"
+    vertices, triangles = mesh.parse_stl(frame([(1, bytearray(torn))], "mesh_id int, content binary"))
+    assert mesh.mesh_guard(vertices, triangles).first()["error"].startswith("MESH_FACE_INVALID")
+
+
 def test_ply_header_errors(frame):
     head = "ply\nformat {}\nelement vertex 1\nproperty float x\nproperty float y\nproperty float {}\nelement face {}\nend_header\n0 0 0\n3 0 0 0\n"
     data = frame([(1, head.format("ascii 1.0", "z", 1)), (2, head.format("binary_little_endian 1.0", "z", 1)), (3, head.format("ascii 1.0", "w", 1)),
@@ -154,6 +160,15 @@ def test_corpus_conversion_isolates_failures(spark, tmp_path):
     assert text == "a,value,row_index\n1,,\n,42,1\n"
 
 
+def test_corpus_names_with_blanks_and_accents(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name in ("c d.csv", "é+%20.csv", "q r.jsonl"):
+        (inbox / name).write_text('{"x":1}\n{"x":2}\n' if name.endswith("jsonl") else 'x,y\n1,"a\nb"\n2,c\n')
+    done = {r["source_name"]: r for r in run_corpus(spark, str(inbox), "csv", str(tmp_path / "out"), {"template": "{name}"}).collect()}
+    assert {n: (r["state"], r["rows"]) for n, r in done.items()} == dict.fromkeys(("c d.csv", "é+%20.csv", "q r.jsonl"), ("completed", 2))
+
+
 def test_corpus_query_runs_per_file(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
