@@ -7,8 +7,8 @@ number), is equal or alike; so the earliest of any group stays, and a text keeps
 2. Of two lines that one edit turns into each other, the first or the last half is the same. Lines are keyed by both
    halves, for their own length and the next one; only lines that share a key with another line go on. Nothing that has a
    neighbour is lost, and ordinary prose ends here.
-3. Those lines emit their deletion neighbourhood as hashed keys: the line itself and every variant without one character,
-   with the place of that character. Lines that meet in one variant at one place differ in that character; a line that is
+3. Those lines emit their deletion neighbourhood as hashed keys: the line itself and every variant without one character
+   (of the half that is not shared), with the place of that character. Lines that meet in one variant at one place differ in that character; a line that is
    the variant itself has one character less. Either way the earliest of those that meet is found by a minimum per key,
    never by listing the pairs of a group.
 4. Each line is verified against that earlier one by edit distance.
@@ -32,7 +32,9 @@ MIN_CHARS = 10
 HALVES = ", ".join(
     f"xxhash64({c}, '{side}', {side}(line, {size.format(c=c)}))"
     for c in ("n", "n + 1") for side, size in (("left", "({c} - 1) div 2"), ("right", "{c} - 1 - ({c} - 1) div 2")))
-VARIANTS = ("concat(array(struct(xxhash64(line) AS variant, 0 AS place)), transform(sequence(1, n), i -> "
+# Lines that share the first half differ behind it, lines that share the last half before it; both meet in the middle.
+VARIANTS = ("concat(array(struct(xxhash64(line) AS variant, 0 AS place)), transform(sequence("
+            "IF(same_end, 1, (n - 1) div 2 + 1), IF(same_start, n, (n - 1) div 2 + 1)), i -> "
             "struct(xxhash64(concat(left(line, i - 1), substr(line, i + 1))) AS variant, i AS place)))")
 
 
@@ -50,17 +52,19 @@ def lines_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 def _alike(df: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
     """``hash`` of the distinct lines that an earlier line is alike to."""
-    keyed = lines.select("hash", F.explode(F.array_distinct("halves")).alias("half"))
+    # a short name of the line is enough here: a clash lets one more line go on, and loses none
+    keyed = lines.select(F.xxhash64("hash").alias("short"), F.posexplode("halves").alias("side", "half"))
     shared = keyed.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    near = keyed.join(shared, "half", "left_semi").select("hash").distinct()
-    wanted = lines.join(near, "hash").select("hash", "first")
+    near = keyed.join(shared, "half", "left_semi").groupBy("short").agg(
+        F.bool_or(F.col("side") % 2 == 0).alias("same_start"), F.bool_or(F.col("side") % 2 == 1).alias("same_end"))
+    wanted = lines.select("hash", "first", F.xxhash64("hash").alias("short")).join(near, "short").drop("short")
     spots = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("spots"))
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(spots, F.col("id").eqNullSafe(F.col("doc_id")))
     held = texts.select("doc_id", F.posexplode(F.transform("spots", lambda i: F.get(F.split("text", "\n", -1), i))), "spots").select(
         "doc_id", F.col("col").alias("line"), F.get("spots", F.col("pos")).alias("line_no"))
     held = held.where(F.col("line").isNotNull()).select(
         "line", F.unhex(F.md5("line")).alias("hash"), F.length("line").alias("n"), F.struct("doc_id", "line_no").alias("first"))
-    near = _saved(held.join(wanted.select("hash"), "hash", "left_semi").dropDuplicates(["hash"]), "near-lines")
+    near = _saved(held.join(wanted.drop("first"), "hash").dropDuplicates(["hash"]), "near-lines")
 
     keys = near.select("hash", "first", F.inline(F.expr(VARIANTS)))
     by_variant, by_place = Window.partitionBy("variant"), Window.partitionBy("variant", "place")
