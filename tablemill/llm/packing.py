@@ -15,6 +15,7 @@ columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ END = (0).to_bytes(4, "little")
 TASK_ITEMS = 20_000
 SLACK = 8
 JOINED = 2000  # unknown units encoded by one call of the library
+CACHED = 500_000  # units that a Python worker holds
+# A word of Latin letters, and signs that can only be a piece of their own.
+PLAIN = re.compile(r"( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]{0,4})")
 SPACE = "\u0120"  # how the vocabulary spells a leading space
 
 PIECES = "doc_id {key}, piece int, start bigint, length bigint, piece_id bigint, ids binary"
@@ -72,11 +76,38 @@ def library_encoder(vocabulary: str) -> TextEncoder:
     opens = np.zeros(max(names.values()) + 1, bool)
     for name, number in names.items():
         opens[number] = name.startswith(SPACE)
+    # byte-level vocabularies spell visible bytes as themselves and the others as the letters from 256 on
+    hidden = (b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))
+    spelling = [chr(b) for b in range(256)]
+    for n, b in enumerate(hidden):
+        spelling[b] = chr(256 + n)
+    ends: dict[str, bytes] = {}
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(text: str) -> bytes:
+        spelled = "".join(map(spelling.__getitem__, text.encode()))
+        return np.array([token.id for token in tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+
     def many(units: list[str]) -> list[bytes]:
+        """Plain words, which are one piece and perhaps a second of signs, go to the model itself; others through all."""
+        out: list[bytes] = [b""] * len(units)
+        others = []
+        for i, unit in enumerate(units):
+            found = PLAIN.fullmatch(unit)
+            if found:
+                word, signs = found.groups()
+                if signs and signs not in ends:
+                    ends[signs] = piece(signs)
+                out[i] = piece(word) + ends[signs] if signs else piece(word)
+            else:
+                others.append(i)
+        for i, ids in zip(others, joined([units[i] for i in others])):
+            out[i] = ids
+        return out
+
+    def joined(units: list[str]) -> list[bytes]:
         # a text of units has exactly one token that opens with the space for each of them
         out: list[bytes] = []
         for at in range(0, len(units), JOINED):
@@ -86,7 +117,7 @@ def library_encoder(vocabulary: str) -> TextEncoder:
             out += [data[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    return TextEncoder(whole, many)
+    return TextEncoder(whole, many, CACHED)
 
 
 def _batch(out: list[list], key: pa.DataType) -> pa.RecordBatch:

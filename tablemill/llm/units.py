@@ -23,8 +23,8 @@ class TextEncoder:
     ``whole`` encodes one text, ``many`` a list of units that each start with a space.
     """
 
-    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]]):
-        self.whole, self.many = whole, many
+    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]], cached: int = CACHED):
+        self.whole, self.many, self.cached = whole, many, cached
         self.cache: dict[str, bytes | None] = {}  # None: not a unit by itself
 
     def __call__(self, text: str | None) -> bytes:
@@ -50,7 +50,7 @@ class TextEncoder:
 
     def _learn(self, tokens: set[str]) -> None:
         new = tokens - self.cache.keys()
-        if len(self.cache) + len(new) > CACHED:
+        if len(self.cache) + len(new) > self.cached:
             self.cache.clear()
             new = tokens
         units = [t for t in new if t and not t[0].isspace() and not t[-1].isspace()]
