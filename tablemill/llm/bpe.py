@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,10 @@ from pyspark.sql import types as T
 from tablemill.llm.units import TextEncoder, id_lists, slices
 
 
+# Held by a Python worker: matches with their ids, and space-separated units with theirs.
+PIECES, UNITS = 300_000, 700_000
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """The lines of a rank file: base64 of a token, blank, rank."""
     with open(path, "rb") as lines:
@@ -57,17 +62,20 @@ class Merger:
         for i in range(n - 1):
             tree[width + i] = leaf(i)
         for node in range(width - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+            left, right = tree[2 * node], tree[2 * node + 1]
+            tree[node] = left if left < right else right
 
         def put(i: int, value: int) -> None:
             node = width + i
             tree[node] = value
-            while node > 1:
-                node >>= 1
-                least = min(tree[2 * node], tree[2 * node + 1])
+            node >>= 1
+            while node:
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
                 if tree[node] == least:
                     break
                 tree[node] = least
+                node >>= 1
 
         while tree[1] < none:
             i = tree[1] % width
@@ -75,7 +83,8 @@ class Merger:
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-            put(j, none)
+            if tree[width + j] != none:
+                put(j, none)
             put(i, leaf(i))
             if before[i] >= 0:
                 put(before[i], leaf(before[i]))
@@ -93,13 +102,15 @@ def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
 
     split, merge = regex.compile(pattern), Merger(load_ranks(ranks_path))
 
+    @functools.lru_cache(PIECES)
+    def match_ids(match: str) -> bytes:
+        ids = merge(match.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(text: str) -> bytes:
-        ids: list[int] = []
-        for match in split.finditer(text):
-            ids += merge(match.group().encode())
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(match_ids, split.findall(text)))
 
-    return TextEncoder(encode, lambda units: [encode(u) for u in units])
+    return TextEncoder(encode, lambda units: [encode(u) for u in units], UNITS)
 
 
 def _without(df: DataFrame, column: str) -> DataFrame:
