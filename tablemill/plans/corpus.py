@@ -452,13 +452,19 @@ def redact(spark, t):
 
 
 @query("b11_tag_policy", """
-SELECT event_id, 'artist,title' AS privacy, '' AS strip, 4 AS preserved FROM events
+SELECT event_id, 'artist=a' || CASE WHEN event_id % 2 = 0 THEN ',genre=' || user_id ELSE '' END || ',title=' || event_type AS privacy,
+  '' AS strip, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 4 END AS preserved FROM events
 """)
 def tags(spark, t):
-    def keys(policy: str) -> Column:
-        return F.array_join(F.array_sort(F.map_keys(batch.tag_policy(_tags(), policy))), ",")
-    return t.events.select("event_id", keys("privacy").alias("privacy"), keys("strip").alias("strip"),
-                           F.size(batch.tag_policy(_tags(), "preserve")).alias("preserved"))
+    """Tags that differ from row to row, under each policy."""
+    genre = F.create_map(F.lit("genre"), F.col("user_id").cast("string"))
+    held = F.when(F.col("event_id") % 2 == 0, F.map_concat(_tags(), genre)).otherwise(_tags())
+
+    def entries(policy: str) -> Column:
+        kept = F.array_sort(F.map_entries(batch.tag_policy(held, policy)))
+        return F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return t.events.select("event_id", entries("privacy").alias("privacy"), entries("strip").alias("strip"),
+                           F.size(batch.tag_policy(held, "preserve")).alias("preserved"))
 
 
 @query("b12_classify_errors", """
