@@ -8,14 +8,17 @@ rows is never shuffled. All other digests are grouped by an ordinary shuffle.
 
 Defined results: null text counts as empty; empty texts form one group; of equal texts the row with the most code points
 stays, then the smallest id (a null id comes last); rows repeated in full are copies, each is returned, and all of them
-name the same id; an empty table gives an empty result; other columns, whatever their names, pass through ``keep_first``.
+name the same id; an empty table gives an empty result; other columns, whatever their names, pass through ``keep_first``,
+which leaves exactly one row per digest: null or repeated ids do not touch rows with other texts, and of rows that tie in
+digest, length and id any one stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.functions.tables import once
 from tablemill.session import work_path
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,9 +74,12 @@ def duplicate_groups(df: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns. ``key`` names rows; rows repeated in full leave one."""
-    dropped = duplicate_groups(df, text, key).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = df.join(dropped, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
-    # the join has dealt and sorted the rows by the key already
-    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    return left.withColumn("__row", number).where("__row = 1").drop("__row")
+    """The rows of ``df`` that stay, one per digest, with all their columns."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    winners = _thin(df, text, key).groupBy("digest").agg(best.alias("best")).select(
+        F.struct("digest", "best.n", "best.id").alias("__pick"))
+    own = F.struct(digest(F.col(text)).alias("digest"), (-F.length(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("n"),
+                   F.col(key).alias("id"))
+    # ties leave on the map side, so no group of them meets in one task; inside structs nulls are equal
+    single = once(df, __pick=own).dropDuplicates(["__pick"])
+    return single.join(winners, "__pick", "left_semi").select(*df.columns)

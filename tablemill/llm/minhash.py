@@ -1,7 +1,7 @@
 """Near-dedup: SuperMinHash signatures, banding, verification on full sets, union of links.
 
 1. ``signatures``: every text becomes its shingle set (see ``shingles``), a SuperMinHash signature, and band keys.
-   Texts with the same set are one class, named by its smallest id; only classes go on.
+   Texts with the same set are one class with a number of its own; only classes go on.
 2. Banding: classes that share a band key are a bucket. Each is verified against the first of its bucket (a star, never
    all pairs), on full sets. Verified links are united.
 3. A bucket may still hold several groups. For all classes of such buckets an exact search follows, across groups only:
@@ -13,9 +13,9 @@
 With 120 slots in bands of 5, two texts at similarity 0.85 share no bucket with probability 8e-7.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; fewer than five words are one
-element; a null id takes no part and is its own (null) component; rows repeated in full get the same component, and each
-row of the smallest id counts as kept; an empty table gives an empty result; only id and text are read, so other columns
-cannot clash.
+element; a null id takes no part and is its own (null) component; a component is named by its smallest id, and of its rows
+with that id those of one text are kept; rows repeated in full share their fate; rows that share an id and not a text are
+told apart; an empty table gives an empty result; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm import superminhash
@@ -50,8 +50,13 @@ def _bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _mark(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def signatures(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands``; the bands of an empty set are null."""
+    """``doc_id, mark, n_shingles, digest, bands``; the bands of an empty set are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -65,15 +70,16 @@ def signatures(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int
             offsets = np.concatenate([[0], np.cumsum(filled * (SLOTS // rows))])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[filled].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_digest(s) for s in sets], pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([_digest(s) for s in sets], pa.binary()), lists],
+                names=["doc_id", "mark", "n_shingles", "digest", "bands"])
 
-    return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), _mark(F.col(text)).alias("mark")).mapInArrow(
+        run, "doc_id bigint, mark binary, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """``node, elements``: the set of each wanted class, from the text of its smallest id."""
+    """``node, elements``: the set of each wanted class, from the text that gave it its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 2 << 20):
@@ -85,8 +91,9 @@ def _sets(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), lists],
                                              names=["node", "elements"])
 
-    texts = df.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("text"))
-    return wanted.join(texts, "node").select("node", "digest", "text").mapInArrow(
+    texts = df.select(F.struct(F.col(key).cast("bigint").alias("doc_id"), _mark(F.col(text)).alias("mark")).alias("name"),
+                      F.col(text).alias("text"))
+    return wanted.join(texts, "name").select("node", "digest", "text").mapInArrow(
         run, "node bigint, elements array<bigint>").dropDuplicates(["node"])
 
 
@@ -156,18 +163,24 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id", rows: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; linked at a Jaccard similarity of ``percent`` or more."""
+    return _groups(df, percent, text, key, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _groups(df: DataFrame, percent: int, text: str, key: str, rows: int = 4) -> DataFrame:
+    """``near_groups`` with the ``name`` of every row, its id and the mark of its text."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     drawn = _saved(signatures(df, text, key, rows), "signatures")
     classes = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    classes = _saved(classes, "classes")
+        F.min(F.struct("doc_id", "mark")).alias("name"), F.first("bands").alias("bands"))
+    # an id may stand for several texts, so it cannot be the node; the numbers are settled by being written
+    classes = _saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = keyed.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     members = _saved(keyed.join(buckets.select("bucket", "first"), "bucket"), "members")
     stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = members.select("node").distinct().join(classes.select("node", "digest"), "node")
+    wanted = members.select("node").distinct().join(classes.select("node", "digest", "name"), "node")
     sets = _saved(_sets(df, wanted, text, key), "sets")
     links = _saved(_verified(stars, sets, percent), "stars")
     first = components(links)
@@ -182,17 +195,21 @@ def near_groups(df: DataFrame, percent: int = 80, text: str = "text", key: str =
     merged = components(more.join(labelled.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
         labelled.withColumnsRenamed({"node": "b", "label": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
-    final = classes.select("digest", "node").join(first, "node", "left").select(
-        "digest", F.coalesce("label", "node").alias("node")).join(merged, "node", "left").select(
-        "digest", F.coalesce("label", "node").alias("component_id"))
-    linked = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").join(final, "digest")
-    alone = drawn.where("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
-    return linked.select(*columns).unionByName(alone.select(*columns)).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    placed = classes.select("digest", "node", "name").join(first, "node", "left").select(
+        "digest", "name", F.coalesce("label", "node").alias("node")).join(merged, "node", "left").select(
+        "digest", "name", F.coalesce("label", "node").alias("label"))
+    placed = _saved(placed, "placed")
+    final = placed.join(placed.groupBy("label").agg(F.min("name").alias("winner")), "label").select("digest", "winner")
+    named = drawn.withColumn("name", F.struct("doc_id", "mark"))
+    linked = named.where("n_shingles > 0 AND doc_id IS NOT NULL").join(final, "digest").select(
+        "doc_id", "n_shingles", F.col("winner.doc_id").alias("component_id"), (F.col("name") == F.col("winner")).alias("kept"), "name")
+    alone = named.where("n_shingles = 0 OR doc_id IS NULL").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "name")
+    return linked.unionByName(alone)
 
 
 def keep_one(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that stay, one document per group, with all their columns."""
-    dropped = near_groups(df, percent, text, key).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(dropped, F.col(key) == F.col("__gone"), "left_anti")
+    dropped = _groups(df, percent, text, key).where(~F.col("kept")).select(F.col("name").alias("__gone")).distinct()
+    name = F.struct(F.col(key).cast("bigint").alias("doc_id"), _mark(F.col(text)).alias("mark"))
+    return df.join(dropped, name == F.col("__gone"), "left_anti")

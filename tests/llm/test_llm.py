@@ -69,6 +69,17 @@ def test_exact_dedup_heavy_and_empty(spark, empty):
     assert exactdedup.duplicate_groups(empty).count() == 0 and exactdedup.keep_first(empty).count() == 0
 
 
+def test_exact_dedup_keeps_rows_not_ids(spark):
+    rows = [(None, "one"), (None, "two"), (None, "o ne"), (None, "three"), (None, "three"), (7, "four"), (7, "five"), (7, "six"),
+            (1, "six"), (8, "two"), (9, "seven"), (9, "se ven"), (9, "sev en"), (None, None), (None, " ")]
+    kept = exactdedup.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    got = collections.Counter(((r.doc_id, re.sub(" ", "", r.text or "")) for r in kept.collect()))
+    assert got == {(None, "one"): 1, (8, "two"): 1, (None, "three"): 1, (7, "four"): 1, (7, "five"): 1, (1, "six"): 1,
+                   (9, "seven"): 1, (None, ""): 1}
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    assert exactdedup.keep_first(hot).count() == 3000
+
+
 # sharding
 
 def test_sharding_against_brute_force(spark):
@@ -268,6 +279,16 @@ def test_near_groups_odd_rows(docs, empty):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
+def test_near_groups_keep_rows_not_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words), " ".join([*words, "end"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, a), (5, b), (5, c), (5, "quite another text of some words"), (6, c + " end"), (None, a), (None, "x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(str, map(tuple, minhash.keep_one(df).collect()))) == sorted(map(str, [r for r in rows if r not in ((5, b), (6, c + " end"))]))
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_groups(df).collect())
+    assert got == [(0, 0, True)] * 3 + [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (6, 5, False)]
+
+
 def test_long_text_is_cut_without_effect():
     data = ("Ab cd\tef " * 300_000).encode()
     words = np.concatenate([shingles.word_hashes(p)[0] for p in shingles._slices(data)])
