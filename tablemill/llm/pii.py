@@ -10,7 +10,7 @@ The work is an expression per row: the text is split at the matches of one patte
 the pieces are joined. No shuffle, no Python.
 
 Defined results: null text stays null with no findings; empty text stays empty; texts of any length are read whole; what
-looks like a number but fails its check stays as it is; equal values in any document get equal pseudonyms under one key;
+looks like a number but fails its check stays as it is, and the groups of digits inside it are looked at again; equal values in any document get equal pseudonyms under one key;
 rows repeated in full give equal rows; an empty table gives an empty result; other columns pass through, but one
 called ``n_private`` gives way.
 """
@@ -34,8 +34,18 @@ IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
-ABROAD = r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+# A group that starts one of these belongs to it, not to the number before it.
+OTHER = "|".join(f"(?:{p})" for p in (EMAIL, IP, DATE, SSN))
+# Look-behinds need a plain sequence. ABROAD: at most 15 digits; a year after 11 of them stands beside the number.
+_AFTER = r"\d[ .()-]{0,3}"
+ABROAD = (rf"(?<![\w+])\+[2-9]\d{{0,2}}(?:(?!(?<={_AFTER * 11}) (?:19|20)\d\d(?!\w))(?! (?:{OTHER}))[ .-]?\(?\d{{1,4}}\)?){{2,5}}"
+          rf"(?<!{_AFTER * 16})(?![\w-])")
+# A whole run of digit groups, however long; ``cards`` looks for the cards inside. A telephone number ends it after 13 digits.
+CARD = (r"(?<![\w-])(?=\d(?:[ -]?\d){12})\d++(?!\w|-(?!\d))"
+        rf"(?:[ -](?!{OTHER}|(?<={r'\d[ -]?' * 12}\d[ -])(?:{PHONE}))\d++(?!\w|-(?!\d)))*+")
+# (groups, how they look together), tried in this order: 16 digits come before 17 to 19, as a check code often follows.
+SHAPES = [(4, r"^\d{4}(?:[ -]\d{4}){3}$"), (3, r"^\d{4}[ -]\d{6}[ -]\d{4,5}$"), (1, r"^\d{13,19}$"),
+          (5, r"^\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}$")]
 KINDS = {"email": EMAIL, "key": ACCESS_KEY, "secret": SECRET, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE,
          "abroad": ABROAD, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -117,6 +127,77 @@ def card(found: Column, key: str) -> Column:
     return let(_digits(found), lambda d: F.when(F.length(d).between(13, 19) & (_luhn(d) % 10 == 0), _fill(found, build(d))))
 
 
+def _span(groups: Column, at: Column, size: Column | int) -> Column:
+    """The text of ``size`` groups from the 0-based ``at`` on."""
+    return F.regexp_replace(F.array_join(F.slice(groups, at + 1, size), ""), "[ -]$", "")
+
+
+def _valid(found: Column) -> Column:
+    return _luhn(_digits(found)) % 10 == 0
+
+
+def _chosen(groups: Column) -> Column:
+    """``i, k``: first group and number of groups of each card in a run, from the left.
+
+    At each group the usual shapes come first; where none is valid, the longest span of at most 19 digits in any grouping
+    is tried, as long as no card of a usual shape starts inside it.
+    """
+    indices = F.sequence(F.lit(0), F.size(groups) - 1)
+
+    def shaped(i: Column) -> Column:
+        def one(k: int, look: str) -> Column:
+            return let(_span(groups, i, k), lambda s: F.when(s.rlike(look) & _valid(s), F.lit(k)))
+
+        return F.coalesce(*[one(k, look) for k, look in SHAPES], F.lit(0))
+
+    def longest(i: Column) -> Column:
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("d"), F.lit(True).alias("open"))
+
+        def grow(a: Column, g: Column) -> Column:
+            d = a["d"] + F.length(_digits(g))
+            return F.when(a["open"] & (d <= 19), F.struct((a["k"] + 1).alias("k"), d.alias("d"), F.lit(True).alias("open"))).otherwise(
+                F.struct(a["k"].alias("k"), a["d"].alias("d"), F.lit(False).alias("open")))
+
+        return F.aggregate(F.slice(groups, i + 1, 19), start, grow)
+
+    def fold(takes: Column) -> Column:
+        def state(free: Column, chunk: Column, at: Column) -> Column:
+            return F.struct(free.alias("free"), chunk.alias("chunk"), at.alias("at"))
+
+        def step(a: Column, i: Column) -> Column:
+            def take(k: Column) -> Column:
+                return state(i + k, i + k, F.concat(a["at"], F.array(F.struct(i.alias("i"), k.alias("k")))))
+
+            k = F.get(takes, i)
+            loose = let(longest(i), lambda c: F.when((c["d"] < 13) | F.exists(F.slice(takes, i + 1, F.greatest(c["k"], F.lit(1))), lambda t: t > 0), a)
+                        .when(_valid(_span(groups, i, c["k"])), take(c["k"])).otherwise(state(a["free"], i + c["k"], a["at"])))
+            return F.when(i < a["free"], a).when(k > 0, take(k)).when(i < a["chunk"], a).otherwise(loose)
+
+        return F.aggregate(indices, state(F.lit(0), F.lit(0), F.array().cast("array<struct<i:int,k:int>>")), step)["at"]
+
+    return let(F.transform(indices, shaped), fold)
+
+
+def cards(found: Column, key: str) -> Column:
+    """``text, n``: a run of digit groups with its valid cards replaced, and their number; null without one."""
+    def build(groups: Column) -> Column:
+        def fill(at: Column) -> Column:
+            end = lambda c: F.coalesce(c["i"] + c["k"], F.lit(0))
+
+            def piece(c: Column, j: Column) -> Column:
+                last = end(F.get(at, j - 1))
+                return F.concat(F.array_join(F.slice(groups, last + 1, c["i"] - last), ""), card(_span(groups, c["i"], c["k"]), key),
+                                F.regexp_extract(F.get(groups, end(c) - 1), "[ -]$", 0))
+
+            last = end(F.get(at, F.size(at) - 1))
+            text = F.concat(F.array_join(F.transform(at, piece), ""), F.array_join(F.slice(groups, last + 1, F.size(groups)), ""))
+            return F.when(F.size(at) > 0, F.struct(text.alias("text"), F.size(at).alias("n")))
+
+        return let(_chosen(groups), fill)
+
+    return let(F.split(found, r"(?<=[ -])"), build)
+
+
 def phone(found: Column, key: str) -> Column:
     """Ten digits after an optional country code: area and exchange from 200, four digits."""
     def build(d: Column) -> Column:
@@ -212,13 +293,17 @@ def secret(found: Column, key: str) -> Column:
     return F.concat(head, F.substring(F.repeat(digest, (F.length(value) / 64 + 1).cast("int")), F.lit(1), F.length(value)))
 
 
-RULES = {"email": email, "key": access_key, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "abroad": abroad, "card": card}
+RULES = {"email": email, "key": access_key, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "abroad": abroad}
 
 
 def replacement(found: Column, key: str) -> Column:
-    """The pseudonym of one match; the match itself where no rule accepts it."""
-    tried = [F.when(found.rlike(f"^(?:{KINDS[kind]})$"), rule(found, key)) for kind, rule in RULES.items()]
-    return F.coalesce(*tried, found)
+    """``text, n``: the pseudonym of one match and the values it replaces; the match itself where no rule accepts it."""
+    def of(new: Column) -> Column:
+        return F.when(new.isNotNull(), F.struct(new.alias("text"), (new != found).cast("int").alias("n")))
+
+    tried = [let(F.when(found.rlike(f"^(?:{KINDS[kind]})$"), rule(found, key)), of) for kind, rule in RULES.items()]
+    run = F.when(found.rlike(f"^(?:{CARD})$"), cards(found, key))
+    return F.coalesce(*tried, run, F.struct(found.alias("text"), F.lit(0).alias("n")))
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -230,8 +315,8 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     marked = once(marked, __new=F.when(F.size("__found") > 0, F.transform("__found", lambda m: replacement(m, key))))
     rest = F.when(F.size("__found") > 0, F.split(body, ANY, -1))
     joined = F.array_join(F.transform(F.arrays_zip(rest.alias("r"), F.col("__new").alias("n")), lambda z: F.concat(
-        z["r"], F.coalesce(z["n"], F.lit("")))), "")
-    changed = F.size(F.filter(F.arrays_zip(F.col("__found").alias("f"), F.col("__new").alias("n")), lambda z: z["f"] != z["n"]))
+        z["r"], F.coalesce(z["n"]["text"], F.lit("")))), "")
+    changed = F.aggregate("__new", F.lit(0), lambda a, n: a + n["n"])
     done = once(marked, __text=F.when(F.size("__found") > 0, joined).otherwise(body),
                 n_private=F.when(F.size("__found") > 0, changed).otherwise(0).cast("bigint"))
     return done.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in df.columns], "n_private")

@@ -368,6 +368,28 @@ def test_pseudonyms(spark, docs, empty):
     assert out.columns == [*docs.columns, "n_private"] and out.count() == 11 and pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_numbers_beside_numbers(spark):
+    card, phone = "4111 1111 1111 1111", "+44 20 7946 0958"
+    beside = ["%s", "%s 12/27", "%s 123", "row 12 %s", "12 345 2024 %s", "order 2024 %s 12 27 123", "%s 2024", "see %s, 7"]
+    texts = [b % card for b in beside] + [b % phone for b in ("%s", "%s 2024", "row 12 %s", "%s 12.05.2024")] + [
+        f"{card} 5500 0000 0000 0004 77", f"{card} 12.05.1984", f"{card} 988 555 2485", "+49 30 1234567", "+49 30 1234567 12.05.2024",
+        "+49 30 1234567 2024", "3782 822463 10005 1234", "1 2 3 4 " * 20_000, "41 11 11 11 11 11 11 11", "4111-1111-1111-1111-12x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    new = got[0].text
+    assert re.fullmatch(r"\d{4}( \d{4}){3}", new) and new != card
+    assert [got[k].text for k in range(8)] == [b % new for b in beside] and all(got[k].n_private == 1 for k in range(8))
+    abroad = got[8].text
+    assert abroad != phone and [got[k].text for k in (9, 10)] == [f"{abroad} 2024", f"row 12 {abroad}"]
+    assert got[11].text.startswith(abroad + " ") and "12.05.2024" not in got[11].text and got[11].n_private == 2
+    assert got[12].text.startswith(new + " ") and "5500" not in got[12].text and got[12].text.endswith(" 77") and got[12].n_private == 2
+    assert got[13].text.startswith(new + " ") and "1984" not in got[13].text and got[13].n_private == 2
+    assert got[14].text.startswith(new + " ") and "988 555" not in got[14].text and got[14].n_private == 2
+    assert got[16].text.startswith(got[15].text + " ") and got[16].n_private == 2 and got[17].text == f"{got[15].text} 2024"
+    assert got[18].text.endswith(" 1234") and "822463" not in got[18].text and got[18].n_private == 1
+    assert got[20].n_private == 1 and got[21].text == f"{new.replace(' ', '-')}-12x"
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(17 * 50).select((F.col("id") / 17).cast("bigint").alias("h"), (F.col("id") % 17).alias("l"))
     for key in ("a", "b"):
