@@ -310,8 +310,8 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with pseudonyms in ``text`` and their number in ``n_private``."""
     df = df.select(*[c for c in df.columns if c.lower() != "n_private"])
     body = F.col(text)
-    # every kind holds one of these signs, so most texts end here
-    marked = once(df, __found=F.when(body.rlike("[0-9@=:]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))))
+    # every kind holds one of these signs, access keys perhaps letters alone, so most texts end here
+    marked = once(df, __found=F.when(body.rlike("[0-9@=:]|AKIA|ASIA"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))))
     marked = once(marked, __new=F.when(F.size("__found") > 0, F.transform("__found", lambda m: replacement(m, key))))
     rest = F.when(F.size("__found") > 0, F.split(body, ANY, -1))
     joined = F.array_join(F.transform(F.arrays_zip(rest.alias("r"), F.col("__new").alias("n")), lambda z: F.concat(
