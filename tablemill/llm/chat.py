@@ -10,7 +10,9 @@ one more backslash between them, so no text can hold a control string, and takin
 
 Defined results: null or missing texts and roles are empty; a record without turns formats as the empty text; a record
 whose fingerprint is unknown, a null and a malformed record have a null ``layout`` and no turns; line breaks in a role
-become blanks; equal records get equal results; a record is one row, however long; other columns pass through, but the
+become blanks; equal records get equal results; a record is one row, however long: its texts are left out before its shape
+is taken, so the limits of the JSON parser and of variants do not bound them, and a record that is still too large for these
+is an error and not lost (a row itself holds less than 2 GiB); other columns pass through, but the
 names ``layout, fingerprint, turns, formatted, loss_spans`` are taken.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.functions.tables import once
+from tablemill.functions.tables import let, once
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -51,9 +53,27 @@ KNOWN = sorted({n for _, *names in LISTS for n in names} | {n for _, turns in FI
 LEAF = r"(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|BINARY|DATE|TIMESTAMP_NTZ|TIMESTAMP|UUID|VARIANT|DECIMAL\(\d+,\d+\))"
 
 
+# What a well-formed JSON string holds; anything else is left for the parser to refuse.
+SIGNS = r"""(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"""
+# A variant holds 128 MiB, and fewer signs than this never fill it. Jackson's limit for one text, raised to what Spark holds.
+ROOM, READ = 16_000_000, {"maxStringLen": "2147483647"}
+
+
+def outline(record: Column) -> Column:
+    """The record with its texts emptied and equal neighbours in lists merged; its shape is the same."""
+    bare = F.regexp_replace(record, rf'("{SIGNS}"\s*+:)|("){SIGNS}(")', "$1$2$3")
+    return F.regexp_replace(bare, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
+def _schema(record: Column) -> Column:
+    parsed = F.schema_of_variant(F.try_parse_json(record))
+    lost = parsed.isNull() & (F.length(record) > ROOM) & record.rlike(r"^\s*+\{") & record.rlike(r"\}\s*$")
+    return F.when(lost, F.raise_error(F.lit("RECORD_TOO_LARGE: the outline of a chat record exceeds what a variant holds.")).cast("string")).otherwise(parsed)
+
+
 def shape(record: Column) -> Column:
     """The nested field paths of a JSON record as text, names sorted; null when it is not JSON."""
-    full = F.schema_of_variant(F.try_parse_json(record))
+    full = let(outline(record), _schema)
     full = F.regexp_replace(full, rf"(?<=[<,] ?)(?!(?:{'|'.join(KNOWN)}): )(?:\w+|`[^`]*`): {LEAF}(?:, |(?=>))", "")
     full = F.regexp_replace(full, r", >", ">")
     return F.regexp_replace(F.regexp_replace(full, rf": {LEAF}(?=[,>])", ""), rf"ARRAY<{LEAF}>", "ARRAY")
@@ -120,7 +140,7 @@ def to_turns(df: DataFrame, record: str = "record") -> DataFrame:
     for name, paths, schema, read in reversed(layouts()):
         here = F.col("fingerprint") == F.xxhash64(F.lit(paths))
         layout = F.when(here, F.lit(name)).otherwise(layout)
-        turns = F.when(here, read(F.from_json(F.col(record), schema))).otherwise(turns)
+        turns = F.when(here, read(F.from_json(F.col(record), schema, READ))).otherwise(turns)
     return once(marked, layout=layout, turns=_canonical(turns))
 
 

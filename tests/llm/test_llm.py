@@ -144,6 +144,23 @@ def test_chat_rows_and_empty(spark):
     assert chat.format_chats(chat.records_from_turns(rows.where("false"))).count() == 0
 
 
+def test_chat_long_turns_and_outlines(spark):
+    records = ['{"messages": [{"role": "a\\"b", "content": "x: {\\\\"}, {"role": "", "content": null}], "k": "v"}', '{"messages": ["a", ""]}',
+               '{"prompt": "bad \\x", "completion": "c"}', '{"prompt": "tab \t", "completion": "c"}']
+    df = spark.createDataFrame(list(enumerate(records)), "id int, record string")
+    got = [r.layout for r in chat.to_turns(df).orderBy("id").collect()]
+    assert got == ["messages", "messages", None, None]
+    size = 20_000_100
+    long = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id bigint, turn bigint, role string").withColumn(
+        "text", F.when(F.col("turn") == 0, F.expr(f"repeat('x', {size})")).otherwise("y"))
+    out = chat.format_chats(chat.records_from_turns(long))
+    row = out.select(F.transform("turns", lambda t: F.length(t["text"])).alias("n"), F.length("formatted").alias("f")).first()
+    assert row.n == [size, 1] and row.f == size + 1 + 2 * 24 + len("userassistant")
+    many = spark.range(1).select(F.concat(F.lit('{"messages":['), F.expr("array_join(array_repeat('{\"role\":\"user\",\"content\":\"abc\"}', 30000), ',')"), F.lit("]}")).alias("record"))
+    assert many.select(F.length(chat.outline(F.col("record")))).first()[0] < 60
+    assert chat.to_turns(many).select(F.size("turns")).first()[0] == 30_000
+
+
 # packing and BPE
 
 def test_packing_places_every_token(docs, empty):
