@@ -101,8 +101,8 @@ def inspect_sheets(cells: DataFrame) -> DataFrame:
 
 
 WORKBOOK_MEMBERS = [r"xl/workbook\.xml", r"docProps/(?:core|app)\.xml", r"meta\.xml"]
-MACROS = "VBA macro payload detected. Macros are never executed."
-FORMULAS = "Formula cells are parsed, but workbook formulas are not calculated."
+MACROS = "The workbook holds macros; they are ignored."
+FORMULAS = "Formulas are kept as text; their stored results are used."
 
 
 def inspect_workbooks(cells: DataFrame, members: DataFrame, archive: str = "archive_id") -> DataFrame:

@@ -589,10 +589,10 @@ WITH {ENTRIES_SQL}, u AS (SELECT *, regexp_matches(raw, '^(?:[/\\\\]|[A-Za-z]:[/
   string_split(slashed, '/'), '..') AS unsafe FROM safe)
 SELECT archive_id, count(*) AS entries, count(*) FILTER (WHERE unsafe) AS unsafe_names,
   sum(size) <= 8589934592 AND sum(size) / sum(compressed_size) <= 500 AND count(*) FILTER (WHERE unsafe) = 0 AS safe,
-  concat_ws(' ', 'Unsafe package path detected: ' || arg_min(raw, idx) FILTER (WHERE unsafe),
-   CASE WHEN count(*) <> 17 THEN 'ZIP entry count did not match the central-directory declaration.' END,
+  concat_ws(' ', 'A member name leaves the package: ' || arg_min(raw, idx) FILTER (WHERE unsafe),
+   CASE WHEN count(*) <> 17 THEN 'The number of members differs from the one that the directory states.' END,
    CASE WHEN sum(size) > 8589934592 OR sum(size) / sum(compressed_size) > 500
-     THEN 'Package expansion ratio/size is suspicious; conversion is blocked.' END) AS warnings
+     THEN 'The package would grow beyond the allowed size or ratio.' END) AS warnings
 FROM u GROUP BY archive_id
 """)
 def package_verdict(spark, t):
@@ -604,7 +604,7 @@ def package_verdict(spark, t):
 @query("a6_extraction_budget", f"""
 WITH {ENTRIES_SQL}
 SELECT archive_id, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files, CASE
-  WHEN sum(size) > 134217728 THEN 'ARCHIVE_EXTRACTION_BUDGET: Extract-all would materialize more than 128 MiB. Select fewer entries.'
+  WHEN sum(size) > 134217728 THEN 'ARCHIVE_EXTRACTION_BUDGET: The chosen members hold more than 128 MiB.'
   WHEN count(*) > 15 THEN 'ARCHIVE_EXTRACTION_BUDGET: Too many files for one extraction result.' END AS error
 FROM entries WHERE NOT directory GROUP BY archive_id
 """)

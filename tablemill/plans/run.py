@@ -328,7 +328,7 @@ def _handler(fmt: str, target: str):
 
 
 def run_corpus(spark: SparkSession, inbox: str | list[str], target: str, out: str, options: dict | None = None) -> DataFrame:
-    """Convert every file below ``inbox``; the outputs lie at ``out/output_name=<name>/``.
+    """Rewrite all files below ``inbox`` as ``target``; the outputs lie at ``out/output_name=<name>/``.
 
     Returns the task table ``(idx, source_name, format_id, state, stage, progress, output_name, rows, error, warnings)``.
     Options: ``query, delimiter, header, multiline, table, sheet_policy, sheet, template, date, route_preference``.

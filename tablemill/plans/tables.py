@@ -408,7 +408,7 @@ def sheet_summary(spark, t):
 
 @query("i6_workbook_summary", """
 SELECT p_partkey AS file, 2 AS sheets, 1 AS named_ranges, FALSE AS macros, FALSE AS date1904, 'Ann' AS author, p_name AS title, NULL AS company,
-  'Formula cells are parsed, but workbook formulas are not calculated.' AS warnings FROM part
+  'Formulas are kept as text; their stored results are used.' AS warnings FROM part
 """)
 def workbook_summary(spark, t):
     books = workbooks(t)
