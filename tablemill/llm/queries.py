@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablemill.functions.tables import once
-from tablemill.llm import bpe, chat, exactdedup, linededup, minhash, packing, pii, sharding, topk, toxicity
+from tablemill.llm import bpe, chat, codes, exactdedup, lexical, linededup, minhash, packing, pii, sharding, topk, toxicity
 from tablemill.plans.registry import query
 
 
@@ -154,3 +154,60 @@ def op4(spark, t):
     return counted.join(gone, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"))
+
+
+# One assignment of every part, and one replacement of the entries, as often as there are rounds.
+_ASSIGN = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, min(ROW(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e)) AS best
+  FROM p JOIN c{r} USING (part) GROUP BY vec_id, label, part, x)"""
+_REPLACE = """,
+m{r} AS (SELECT part, best[2] AS e, k, CAST(floor(sum(x[k])::DOUBLE / count(*)) AS BIGINT) AS y
+         FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS k) GROUP BY 1, 2, 3),
+c{n} AS MATERIALIZED (
+  SELECT part, e, coalesce(n.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT part, e, list(y ORDER BY k) AS c FROM m{r} GROUP BY 1, 2) n USING (part, e)),"""
+
+
+@query("op13_vector_codes", """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 64),"""
+       + "".join(_ASSIGN.format(r=r) + _REPLACE.format(r=r, n=r + 1) for r in range(codes.ROUNDS))
+       + _ASSIGN.format(r=codes.ROUNDS) + f""",
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{codes.ROUNDS}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+      FROM a{codes.ROUNDS} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, s""")
+def op13(spark, t):
+    """Every usable vector as 16 bytes, with its error and that of its label."""
+    rows, books = codes.compress(t.embeddings, label="label")
+    by_label = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return rows.join(by_label, F.col("label").eqNullSafe(F.col("of"))).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_lexical_search", r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, len(w) AS n, w FROM t WHERE len(w) > 0),
+k AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+q AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+h AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM h, k),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN g USING (term), k GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def op12(spark, t):
+    """The ten best documents of every benchmark item."""
+    return lexical.search(t.documents, t.benchmark)

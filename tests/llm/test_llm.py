@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tablemill.llm import (bpe, chat, exactdedup, linededup, minhash, packing, pii, sharding, shingles, superminhash, topk,
+from tablemill.llm import (bpe, chat, codes, exactdedup, lexical, linededup, minhash, packing, pii, sharding, shingles, superminhash, topk,
                            toxicity)
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,7 +42,7 @@ def empty(docs):
 
 def test_queries_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == sorted({*range(1, 11), 12, 13})
     assert "pipeline" in entry.queries()
 
 
@@ -477,3 +477,108 @@ def test_pipeline_stages(spark, tmp_path):
             assert set(rows) == set(was) and not any(re.search(r"AKIA|@mail", t or "") for t in rows.values())
         held = out
     assert corpus_pipeline.run(spark, FOLDER).select("doc_id").distinct().count() == held.count()
+
+
+# vector codes
+
+def _lloyd(vectors, parts, entries, rounds):
+    """Plain full scans with Python integers."""
+    x = [[v[i * len(v) // parts:(i + 1) * len(v) // parts] for i in range(parts)] for v in vectors]
+    books = [[list(row[p]) for row in x[:entries]] for p in range(parts)]
+
+    def near(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, c)), e) for e, c in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            mine = collections.defaultdict(list)
+            for row in x:
+                mine[near(row[p], books[p])[1]].append(row[p])
+            for e, held in mine.items():
+                books[p][e] = [sum(c) // len(held) for c in zip(*held)]
+    final = [[near(row[p], books[p]) for p in range(parts)] for row in x]
+    return [bytes(e for _, e in f) for f in final], [sum(d for d, _ in f) for f in final], books
+
+
+def test_vector_codes(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([0.0, 0.5, -0.5, rng.random()]) for _ in range(8)]) for i in range(150)]
+    rows += [(i, rows[0][1]) for i in range(150, 160)]  # copies, so ties
+    odd = [(900, None), (901, [float("nan")] * 8), (902, [None] + [0.0] * 7), (903, [float("inf")] * 8), (904, []), (None, rows[3][1])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in [*rows, *odd, rows[7]]], "vec_id bigint, embedding array<float>, code string, far int")
+    order = sorted([*rows, rows[7]], key=lambda r: r[0]) + [(None, rows[3][1])]
+    ints = [[int(np.floor(256 * float(np.float32(x)))) for x in v] for _, v in order]
+    for entries, rounds in ((5, 2), (20, 3), (200, 1)):
+        got, books = codes.compress(df, parts=4, entries=entries, rounds=rounds)
+        code, error, want = _lloyd(ints, 4, entries, rounds)
+        assert books.tolist() == want
+        assert sorted((str(r.id), bytes(r.code), r.error) for r in got.collect()) == sorted(
+            (str(i), c, e) for (i, _), c, e in zip(order, code, error))
+    back = {r.id: r.v for r in codes.decompress(got, books).collect()}
+    assert all(sum((a - b) ** 2 for a, b in zip(back[i], v)) == e for (i, _), v, e in zip(order, ints, error))
+
+
+def test_vector_codes_look_at_moved_entries_only():
+    rng = np.random.default_rng(2)
+    x, books = rng.integers(-50, 50, (300, 2, 3)), rng.integers(-50, 50, (2, 9, 3))
+    code, far = np.zeros((300, 2), np.int64), np.zeros((300, 2), np.int64)
+    codes.assign(x, books, np.ones((2, 9), bool), code, far)
+    books2 = books.copy()
+    books2[0, 4] += 7
+    books2[1, [2, 3]] = books2[1, 5]  # equal entries: the lower index wins
+    moved = (books2 != books).any(axis=2)
+    codes.assign(x, books2, moved, code, far)
+    full, d = np.zeros_like(code), np.zeros_like(far)
+    codes.assign(x, books2, np.ones((2, 9), bool), full, d)
+    assert (code == full).all() and (far == d).all()
+
+
+def test_vector_codes_bounds(spark, empty):
+    none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    rows, books = codes.compress(none)
+    assert rows.count() == 0 and books.size == 0 and rows.columns == ["id", "label", "code", "error"]
+    for vectors, word in (([[0.5] * 4, [0.5] * 8], "VECTOR_LENGTH"), ([[0.5] * 3], "VECTOR_LENGTH"), ([[1e30] * 4], "VECTOR_OUT_OF_RANGE")):
+        with pytest.raises(Exception, match=word):
+            codes.compress(spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>"), parts=4)[0].count()
+
+
+# lexical search
+
+def _ranking(docs, items, k):
+    """Plain scores of every document for every query."""
+    split = lambda text: [t for t in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(
+        str.maketrans(lexical.UPPER, lexical.LOWER))) if t]
+    bags = [(i, collections.Counter(split(text))) for i, text in docs]
+    bags = [(i, b) for i, b in bags if b]
+    n, total, df = len(bags), sum(sum(b.values()) for _, b in bags), collections.Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        found = []
+        for i, b in bags:
+            m = 100 - 90 + 90 * sum(b.values()) * n // total
+            score = sum(lexical.weight(n, df[t]) * (1000000000 * b[t] // (1000 * b[t] + 8 * m)) for t in set(split(text)) if t in b)
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, rank, f[3], -f[0]) for rank, f in enumerate(sorted(found)[:k], 1)]
+    return sorted(map(str, out))
+
+
+def test_lexical_search(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(lexical, "BUCKET", 16)
+    monkeypatch.setattr(lexical, "FIRST", 2)
+    monkeypatch.setattr(lexical, "GROWTH", 3)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["Über", "naïve", "ÄB", "日本", "x9"]
+    pick = lambda n: rng.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=n)
+    rows = [(i, rng.choice([" ", ", ", "-\n"]).join(pick(rng.randint(1, 60)))) for i in range(700)]
+    rows += [(i + 1000, rows[4][1]) for i in range(30)]  # ties
+    rows += [(r.doc_id, r.text) for r in docs.collect()] + [(1 << 60, rows[4][1]), ((1 << 60) + 1, rows[4][1])]
+    items = [(i, " ".join(pick(rng.randint(2, 25)))) for i in range(25)] + [
+        (30, None), (31, ""), (32, "!?"), (33, "unseen words"), (34, rows[4][1]), (34, rows[4][1]), (35, "WORD and LINE text"), (None, "über")]
+    made = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, score int")
+    asked = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, rank int")
+    for k in (1, 10, 5000):
+        assert sorted(str(tuple(r)) for r in lexical.search(made, asked, k).collect()) == _ranking(rows, items, k)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 60)  # queries in several blocks
+    assert sorted(str(tuple(r)) for r in lexical.search(made, asked, 10).collect()) == _ranking(rows, items, 10)
+    assert lexical.search(empty, asked).count() == 0 and lexical.search(made, asked.where("false")).count() == 0
