@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablemill.functions.tables import once
-from tablemill.llm import bpe, chat, codes, exactdedup, lexical, linededup, minhash, packing, pii, sharding, topk, toxicity
+from tablemill.llm import bpe, chat, codes, exactdedup, lexical, linededup, minhash, packing, pii, sharding, substrings, topk, toxicity
 from tablemill.plans.registry import query
 
 
@@ -211,3 +211,18 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""")
 def op12(spark, t):
     """The ten best documents of every benchmark item."""
     return lexical.search(t.documents, t.benchmark)
+
+
+@query("op11_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i)),
+f AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
+r AS (SELECT DISTINCT g.doc_id, unnest(range(i, i + 50)) AS pos FROM g JOIN f USING (h) WHERE low < g.doc_id),
+k AS (
+  SELECT doc_id, pos FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS pos) WHERE (doc_id, pos) NOT IN (SELECT doc_id, pos FROM r))
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - count(k.pos) AS n_removed,
+       sha256(coalesce(string_agg(d.w[k.pos], ' ' ORDER BY k.pos), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.w""")
+def op11(spark, t):
+    """Every document with the words left that no earlier document holds in a run of fifty."""
+    return substrings.decide(t.documents)

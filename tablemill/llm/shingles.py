@@ -16,7 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = _BYTES.copy()
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
@@ -47,17 +48,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word."""
+    return _hashed(data, _LOWER)[:2]
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word of a text of any length, with its letters unchanged."""
+    found, at = [], 0
+    with np.errstate(over="ignore"):
+        for part in text_slices(data):
+            hashes, start, end = _hashed(part, _BYTES)
+            found.append((hashes, start + at, end + at))
+            at += len(part)
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def _hashed(data: bytes, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     solid = ~_SPACE[raw]
     edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     power, inverse = _table(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start]), start
+    np.cumsum((fold[raw].astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start]), start, end
 
 
-def _slices(data: bytes) -> list[bytes]:
+def text_slices(data: bytes) -> list[bytes]:
     """Parts of about ``SLICE`` bytes, cut at white space."""
     out, at = [], 0
     while len(data) - at > SLICE:
@@ -103,7 +119,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
                 group, held = [], 0
             if i < len(texts):
                 if size > SLICE:
-                    words = np.concatenate([word_hashes(part)[0] for part in _slices(text)])
+                    words = np.concatenate([word_hashes(part)[0] for part in text_slices(text)])
                     out[i] = np.unique(_runs(words))
                 else:
                     group.append(i)
