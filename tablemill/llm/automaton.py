@@ -1,14 +1,12 @@
 """Suffix automaton of many word sequences, with the least document of every substring.
 
-It is built word by word, then frozen into sorted arrays that travel to the tasks. ``least`` streams sequences through it,
-all of a batch side by side: every state is the longest suffix so far that some reference holds, and its matching statistic
+It is built word by word, then frozen into sorted arrays. ``least`` streams sequences through it, all of a batch side by
+side: every state is the longest suffix so far that some reference holds, and its matching statistic
 is that suffix's length.
 """
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 from tablemill.llm.shingles import mix
@@ -59,24 +57,6 @@ class Builder:
             if document < self.low[at]:
                 self.low[at] = document
 
-    def freeze(self) -> bytes:
-        length = np.array(self.length, np.int32)
-        low, link = self.low, self.link
-        # what ends a long string ends its suffixes
-        for state in np.argsort(-length, kind="stable").tolist():
-            up = link[state]
-            if up >= 0 and low[state] < low[up]:
-                low[up] = low[state]
-        degree = [len(n) for n in self.next]
-        state = np.repeat(np.arange(len(degree), dtype=np.int32), degree)
-        word = np.array([w for n in self.next for w in n], np.uint64)
-        target = np.array([t for n in self.next for t in n.values()], np.int32)
-        order = np.argsort(_key(state, word))
-        out = io.BytesIO()
-        np.savez(out, link=np.array(link, np.int32), length=length, low=np.array(low, np.int64), state=state[order],
-                 word=word[order], target=target[order])
-        return out.getvalue()
-
 
 def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -84,11 +64,21 @@ def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    def __init__(self, data: bytes):
-        with np.load(io.BytesIO(data)) as held:
-            self.link, self.length, self.low = held["link"], held["length"], held["low"]
-            self.state, self.word, self.target = held["state"], held["word"], held["target"]
-        self.key = _key(self.state, self.word)
+    def __init__(self, built: Builder):
+        low, link = built.low, built.link
+        self.link, self.length = np.array(link, np.int32), np.array(built.length, np.int32)
+        # what ends a long string ends its suffixes
+        for state in np.argsort(-self.length, kind="stable").tolist():
+            up = link[state]
+            if up >= 0 and low[state] < low[up]:
+                low[up] = low[state]
+        self.low = np.array(low, np.int64)
+        state = np.repeat(np.arange(len(low), dtype=np.int32), [len(n) for n in built.next])
+        word = np.array([w for n in built.next for w in n], np.uint64)
+        target = np.array([t for n in built.next for t in n.values()], np.int32)
+        key = _key(state, word)
+        order = np.argsort(key)
+        self.key, self.state, self.word, self.target = key[order], state[order], word[order], target[order]
 
     def _follow(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The next state, or -1."""

@@ -10,10 +10,11 @@ with a smaller id; so the first document with a passage keeps it, and maximal re
 3. An anchor at the border of a popular passage meets as many different segments as documents. Where an anchor has more
    than ``MANY``, its segments are first trimmed to windows that more than one document holds, counted by an ordinary
    aggregate; what is left are parts of the passage, few of them different.
-4. The different segments are the reference. They are dealt by anchor into shards of about ``SHARD_WORDS``; each shard
-   becomes a suffix automaton whose states know the least document of their strings.
-5. Automata are broadcast where all of them together stay within ``BROADCAST_BYTES``. Beyond that each goes only to the tasks
-   that stream segments of its anchors, in blocks of ``BLOCK``, so a shard in great demand is read by many tasks.
+4. The different segments are the reference, but for those that no later document can hold. They are dealt by anchor into
+   shards of about ``SHARD_WORDS``; a shard is a suffix automaton whose states know the least document of their strings.
+5. Automata travel as the words they are made of, a tenth of their size, and are built where they are used. They are broadcast
+   where all of them together stay within ``BROADCAST_BYTES``. Beyond that each goes only to the tasks that stream segments
+   of its anchors, in blocks of ``BLOCK``, so a shard in great demand is read by many tasks.
 6. Streaming gives the matching statistics and with them the least document of every window of a segment. Documents look up
    their segments, and the covered words go.
 
@@ -188,20 +189,22 @@ def _trimmed(contents: DataFrame, window: int) -> DataFrame:
         parts, "anchor bigint, low bigint, content binary")
 
 
-def _built(table: pa.Table) -> pa.Table:
+def _built(reference: pa.StructArray) -> Automaton:
     builder = Builder()
-    for low, content in zip(table.column("low").to_pylist(), table.column("content").to_pylist()):
+    for low, content in zip(reference.field("low").to_pylist(), reference.field("content").to_pylist()):
         builder.add(word_spans(content)[0].tolist(), low)
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "automaton": [builder.freeze()]})
+    return Automaton(builder)
 
 
 def _streamed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, automaton = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                held = batch.column(0)[row].values
+                held, known = batch.column(1)[row].values, batch.column(2)[row].values
                 digest, high, content = (held.field(f).to_pylist() for f in ("digest", "high", "content"))
-                automaton = Automaton(batch.column(1)[row].as_py())
+                if shard != batch.column(0)[row].as_py():
+                    shard, automaton = batch.column(0)[row].as_py(), _built(known)
                 words = [word_spans(c)[0] for c in content]
                 sizes = np.array(list(map(len, words)))
                 table = np.zeros((len(words), sizes.max()), np.uint64)
@@ -224,34 +227,32 @@ def _streamed(window: int):
     return run
 
 
-def _automata(reference: DataFrame) -> tuple[DataFrame, int]:
-    """One automaton for each shard of the reference, and the number of shards."""
-    words = reference.agg(F.sum(F.octet_length("content") - F.octet_length(F.regexp_replace(
-        F.col("content").cast("string"), " ", "")) + 1)).first()[0] or 0
-    shards = max(1, -(-words // SHARD_WORDS))
-    dealt = reference.select(_shard(shards), "low", "content")
-    return _saved(dealt.groupBy("shard").applyInArrow(_built, "shard int, automaton binary"), "automata"), shards
-
-
 def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
 
 
 def _least(contents: DataFrame, window: int) -> DataFrame:
     """The least document of the windows of the different segments, where one of their documents is greater."""
-    many = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("anchor")
-    few = contents.join(many, "anchor", "left_anti").select("anchor", "low", "content")
-    trimmed = _trimmed(contents.join(many, "anchor", "left_semi"), window)
-    reference = few.unionByName(trimmed.groupBy("anchor", "content").agg(F.min("low").alias("low")).select(*few.columns))
-    automata, shards = _automata(_saved(reference, "reference"))
-
-    streams = contents.select(_shard(shards), "digest", "high", "content")
+    anchors = contents.groupBy("anchor").agg(
+        F.min("low").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("n"))
+    contents = _saved(contents.join(anchors, "anchor"), "compared")
+    # what no later document can hold is no reference, and what no earlier one can hold is not looked up
+    useful = contents.where("low < last")
+    few = useful.where(F.col("n") <= MANY).select("anchor", "low", "content")
+    trimmed = _trimmed(contents.where(F.col("n") > MANY), window)
+    reference = _saved(few.unionByName(trimmed.groupBy("anchor", "content").agg(F.min("low").alias("low")).select(*few.columns)),
+                       "reference")
+    size, words = reference.agg(F.sum(F.octet_length("content")), F.sum(F.octet_length("content") - F.octet_length(
+        F.translate(F.col("content").cast("string"), " ", "")) + 1)).first()
+    shards = max(1, -(-(words or 0) // SHARD_WORDS))
+    known = reference.groupBy(_shard(shards)).agg(F.collect_list(F.struct("low", "content")).alias("reference"))
+    known = F.broadcast(known) if (size or 0) <= BROADCAST_BYTES else known
+
+    streams = contents.where("first < high").select(_shard(shards), "digest", "high", "content")
     blocks = streams.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = streams.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks"))).groupBy(
         "shard", "block").agg(F.collect_list(F.struct("digest", "high", "content")).alias("segments"))
-    held = automata.agg(F.sum(F.octet_length("automaton"))).first()[0] or 0
-    known = F.broadcast(automata) if held <= BROADCAST_BYTES else automata
-    return dealt.join(known, "shard").select("segments", "automaton").mapInArrow(_streamed(window), LEAST)
+    return dealt.join(known, "shard").select("shard", "segments", "reference").mapInArrow(_streamed(window), LEAST)
 
 
 def _edited(texts: DataFrame, window: int) -> DataFrame:

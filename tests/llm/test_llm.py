@@ -598,7 +598,7 @@ def test_automaton():
         table = np.zeros((9, max(map(len, asked))), np.uint64)
         for line, words in zip(table, asked):
             line[:len(words)] = words
-        low = automaton.Automaton(builder.freeze()).least(table, np.array(list(map(len, asked))), window)
+        low = automaton.Automaton(builder).least(table, np.array(list(map(len, asked))), window)
         for words, got in zip(asked, low.tolist()):
             for k in range(len(words) - window + 1):
                 run = words[k:k + window]
