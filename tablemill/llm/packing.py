@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,11 @@ END = (0).to_bytes(4, "little")
 TASK_ITEMS = 20_000
 SLACK = 8
 JOINED = 2000  # unknown units encoded by one call of the library
-CACHED = 500_000  # units that a Python worker holds
-# A word of Latin letters, and signs that can only be a piece of their own.
-PLAIN = re.compile(r"( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]{0,4})")
+CACHED = 800_000  # units that a Python worker holds
+WORDS = 400_000  # words and runs of signs that it holds
+# A word of Latin letters and signs that can only be a piece of their own, and perhaps the same on the next line.
+LETTERS, SIGNS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[.,;:!?]{0,4}"
+PLAIN = re.compile(rf"( {LETTERS})({SIGNS})(?:(\n)({LETTERS})({SIGNS}))?")
 SPACE = "\u0120"  # how the vocabulary spells a leading space
 
 PIECES = "doc_id {key}, piece int, start bigint, length bigint, piece_id bigint, ids binary"
@@ -72,6 +75,7 @@ def library_encoder(vocabulary: str) -> TextEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
+    tokenize = tokenizer.model.tokenize
     names = tokenizer.get_vocab(with_added_tokens=True)
     opens = np.zeros(max(names.values()) + 1, bool)
     for name, number in names.items():
@@ -81,26 +85,24 @@ def library_encoder(vocabulary: str) -> TextEncoder:
     spelling = [chr(b) for b in range(256)]
     for n, b in enumerate(hidden):
         spelling[b] = chr(256 + n)
-    ends: dict[str, bytes] = {}
-
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @functools.lru_cache(WORDS)
     def piece(text: str) -> bytes:
-        spelled = "".join(map(spelling.__getitem__, text.encode()))
-        return np.array([token.id for token in tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = SPACE + text[1:] if text.isascii() and text[0] == " " else "".join(map(spelling.__getitem__, text.encode()))
+        return array("I", [token.id for token in tokenize(spelled)]).tobytes()
 
     def many(units: list[str]) -> list[bytes]:
-        """Plain words, which are one piece and perhaps a second of signs, go to the model itself; others through all."""
+        """Plain words and their signs, which are pieces each, go to the model itself; others through all."""
         out: list[bytes] = [b""] * len(units)
         others = []
         for i, unit in enumerate(units):
             found = PLAIN.fullmatch(unit)
             if found:
-                word, signs = found.groups()
-                if signs and signs not in ends:
-                    ends[signs] = piece(signs)
-                out[i] = piece(word) + ends[signs] if signs else piece(word)
+                word, signs, line, more, last = found.groups()
+                ids = piece(word) + piece(signs) if signs else piece(word)
+                out[i] = b"".join([ids, piece(line), piece(more), piece(last) if last else b""]) if line else ids
             else:
                 others.append(i)
         for i, ids in zip(others, joined([units[i] for i in others])):

@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20  # characters looked at together, so that a very long text needs no list of all its units
-GROUP = 2 << 20  # characters of short texts looked at together
-CACHED = 1_500_000  # units held by a Python worker; the cache starts anew beyond that
+GROUP = 6 << 20  # characters of short texts looked at together
+CACHED = 1_500_000  # units held by a Python worker
 
 
 class TextEncoder:
@@ -26,6 +27,7 @@ class TextEncoder:
     def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]], cached: int = CACHED):
         self.whole, self.many, self.cached = whole, many, cached
         self.cache: dict[str, bytes | None] = {}  # None: not a unit by itself
+        self.old: dict[str, bytes | None] = {}
 
     def __call__(self, text: str | None) -> bytes:
         return self.batch([text])[0]
@@ -48,30 +50,48 @@ class TextEncoder:
                 group, held = [], 0
         return out + self._group(group)
 
-    def _learn(self, tokens: set[str]) -> None:
-        new = tokens - self.cache.keys()
-        if len(self.cache) + len(new) > self.cached:
-            self.cache.clear()
-            new = tokens
-        units = [t for t in new if t and not t[0].isspace() and not t[-1].isspace()]
-        self.cache.update(dict.fromkeys(new))
-        self.cache.update(zip(units, self.many([" " + u for u in units])))
+    def _learn(self, tokens: Sequence[str]) -> None:
+        """Hold all the tokens. A full cache becomes the old one, from which what is met again comes back."""
+        new = [t for t in tokens if t not in self.cache]
+        if len(self.cache) + len(new) > self.cached // 2:
+            self.old, self.cache, new = self.cache, {}, tokens
+        unknown = []
+        for t in new:
+            if t in self.old:
+                self.cache[t] = self.old[t]
+            elif t and not t[0].isspace() and not t[-1].isspace():
+                unknown.append(t)
+            else:
+                self.cache[t] = None
+        self.cache.update(zip(unknown, self.many([" " + u for u in unknown])))
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        self._learn({t for tokens in split for t in tokens[1:]})
-        look, out = self.cache.__getitem__, []
-        for text, tokens in zip(texts, split):
-            first, rest = tokens[0], tokens[1:]
-            try:
-                tail = b"".join(map(look, rest))
-            except TypeError:  # a token that is no unit
-                out.append(self.whole(text))
-                continue
-            if rest and (not first or first[-1].isspace()):
+        """Short texts together: each different token is looked up once, ids are gathered by number."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        tokens, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._learn(tokens)
+        ids = list(map(self.cache.__getitem__, tokens))
+        size = np.array([-1 if i is None else len(i) // 4 for i in ids])
+        pool = np.frombuffer(b"".join(i or b"" for i in ids), "<u4")
+        begin = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        many = size[number]
+        many[ends[:-1]] = 0  # the first token of a text follows no space
+        odd = np.add.reduceat(many < 0, ends[:-1])
+        many = np.maximum(many, 0)
+        stop = np.cumsum(many)
+        flat = pool[np.repeat(begin[number] - (stop - many), many) + np.arange(stop[-1])].tobytes()
+        cut = [0, *(stop[ends[1:] - 1] * 4).tolist()]
+        out = []
+        for k, text in enumerate(texts):
+            first = text[:text.find(" ")] if ends[k + 1] - ends[k] > 1 else text
+            if odd[k] or (ends[k + 1] - ends[k] > 1 and (not first or first[-1].isspace())):
                 out.append(self.whole(text))
             else:
-                out.append((self.whole(first) if first else b"") + tail)
+                out.append((self.whole(first) if first else b"") + flat[cut[k]:cut[k + 1]])
         return out
 
     def _long(self, text: str) -> bytes:
@@ -84,7 +104,7 @@ class TextEncoder:
             end = text.find(" ", at + SLICE) if end < 0 else end
             end = len(text) if end < 0 else end
             tokens = text[at + 1:end].split(" ")
-            self._learn(set(tokens))
+            self._learn(list(set(tokens)))
             try:
                 parts.append(b"".join(map(self.cache.__getitem__, tokens)))
             except TypeError:
