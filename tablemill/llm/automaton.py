@@ -42,20 +42,26 @@ class Builder:
         return target if self.length[target] == self.length[state] + 1 else self._split(state, word, target)
 
     def add(self, words: list[int], document: int) -> None:
+        follow, link, length, low = self.next, self.link, self.length, self.low
         at = 0
         for word in words:
-            if word in self.next[at]:
-                at = self._target(at, word)
-            else:
-                new, up = self._state(self.length[at] + 1), at
-                while up >= 0 and word not in self.next[up]:
-                    self.next[up][word] = new
-                    up = self.link[up]
+            target = follow[at].get(word)
+            if target is None:
+                new, up = len(follow), at
+                follow.append({})
+                link.append(0)
+                length.append(length[at] + 1)
+                low.append(document)
+                while up >= 0 and word not in follow[up]:
+                    follow[up][word] = new
+                    up = link[up]
                 if up >= 0:
-                    self.link[new] = self._target(up, word)
+                    link[new] = self._target(up, word)
                 at = new
-            if document < self.low[at]:
-                self.low[at] = document
+            else:
+                at = target if length[target] == length[at] + 1 else self._split(at, word, target)
+                if document < low[at]:
+                    low[at] = document
 
 
 def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:

@@ -163,7 +163,7 @@ def _trimmed(contents: DataFrame, window: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3, 1 << 20):
-            runs = [_runs_of(word_spans(c)[0], window).view(np.int64) for c in batch.column(3).to_pylist()]
+            runs = [_runs_of(words, window).view(np.int64) for words in _words_of(batch.column(3).to_pylist())]
             owner = pa.array(np.repeat(np.arange(len(runs)), list(map(len, runs))))
             at = pa.array(np.concatenate([np.arange(len(r), dtype=np.int32) for r in runs] or [np.empty(0, np.int32)]))
             yield pa.RecordBatch.from_arrays(
@@ -189,10 +189,16 @@ def _trimmed(contents: DataFrame, window: int) -> DataFrame:
         parts, "anchor bigint, low bigint, content binary")
 
 
+def _words_of(contents: list[bytes]) -> list[np.ndarray]:
+    """The hashed words of every content, hashed together."""
+    words, begin, _ = word_spans(b" ".join(contents))
+    return np.split(words, np.searchsorted(begin, np.cumsum([len(c) + 1 for c in contents])[:-1])) if contents else []
+
+
 def _built(reference: pa.StructArray) -> Automaton:
     builder = Builder()
-    for low, content in zip(reference.field("low").to_pylist(), reference.field("content").to_pylist()):
-        builder.add(word_spans(content)[0].tolist(), low)
+    for low, words in zip(reference.field("low").to_pylist(), _words_of(reference.field("content").to_pylist())):
+        builder.add(words.tolist(), low)
     return Automaton(builder)
 
 
@@ -205,7 +211,7 @@ def _streamed(window: int):
                 digest, high, content = (held.field(f).to_pylist() for f in ("digest", "high", "content"))
                 if shard != batch.column(0)[row].as_py():
                     shard, automaton = batch.column(0)[row].as_py(), _built(known)
-                words = [word_spans(c)[0] for c in content]
+                words = _words_of(content)
                 sizes = np.array(list(map(len, words)))
                 table = np.zeros((len(words), sizes.max()), np.uint64)
                 for line, w in zip(table, words):
