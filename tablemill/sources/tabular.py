@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from tablemill.functions.tables import local_table
 from tablemill.functions.text import js_trim, plain_path, strip_bom
 from tablemill.operators.jsonbridge import is_json, normalize_rows, ordered_columns, retype_text, rows_to_table
 from tablemill.session import work_path
+from tablemill.sources.csvrecords import csv_lines, csv_records, line_blocks
 
 CELLS_PER_FILE = 100_000
 DELIMITERS = [",", ";", "\t", "|"]
@@ -38,27 +40,57 @@ def _widen(df: DataFrame) -> DataFrame:
                        else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def _parsed(reader: DataFrameReader, records: DataFrame) -> DataFrame:
+    """CSV records given as rows, by the reader that parses files."""
+    spark = records.sparkSession
+    strings = getattr(records.select("record")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(strings), spark)
+
+
+def _read_records(spark: SparkSession, records: DataFrame, reader: Callable[[], DataFrameReader], header: bool,
+                  schema: T.StructType | str | None) -> DataFrame:
+    place = F.struct("block", "seq")
+    firsts = records.groupBy("file").agg(F.min(place).alias("first"), F.min_by("record", place).alias("head"))
+    body = records
+    if header:
+        body = records.join(firsts.select("file", "first"), "file").where(place > F.col("first"))
+    if schema is None:
+        # the first record of the first file names the columns
+        head = firsts.orderBy("file").select("head").first()
+        named = local_table(spark, [(head[0] if head else "",)], "record string")
+        schema = _parsed(reader().options(header=header, inferSchema=True), named.unionByName(body.select("record"))).schema
+    return _parsed(reader().option("header", False).schema(schema), body)
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], delimiter: str = "auto", header: bool = True,
     schema: T.StructType | str | None = None, multiline: bool = True,
 ) -> DataFrame:
     """CSV scan. ``auto`` finds the delimiter in a pass over the lines; a ``schema`` saves the inference pass.
 
-    Line breaks in quotes are part of a cell, so a file is read by one task. Where no cell holds any, ``multiline=False``
-    lets large files be split.
+    Line breaks in quotes are part of a cell. Large files are split all the same: a pass over the lines looks for cells that
+    go on in the next line, and where there are any, records are put together from lines (see ``csvrecords``).
+    ``multiline=False`` saves that pass where no cell holds a line break.
     """
     if delimiter == "auto":
         delimiter = sniff_delimiter(spark.read.text(path))
-    reader = spark.read.options(
-        sep=delimiter, header=header, quote='"', escape='"', multiLine=multiline, preferDate="true",
-        timestampType="TIMESTAMP_NTZ")
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    with_types = reader.option("inferSchema", True)
+
+    def reader() -> DataFrameReader:
+        return spark.read.options(
+            sep=delimiter, quote='"', escape='"', preferDate="true", timestampType="TIMESTAMP_NTZ")
+
     spark_conf = spark.conf.get("spark.sql.timestampType", "TIMESTAMP_LTZ")
     spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
     try:
-        return _widen(with_types.csv(path))
+        if multiline:
+            lines = csv_lines(spark, path, delimiter)
+            blocks = line_blocks(lines)
+            if not blocks.where("opens = 1").isEmpty():
+                table = _read_records(spark, csv_records(lines, blocks), reader, header, schema)
+                return table if schema is not None else _widen(table)
+        if schema is not None:
+            return reader().option("header", header).schema(schema).csv(path)
+        return _widen(reader().options(header=header, inferSchema=True).csv(path))
     finally:
         spark.conf.set("spark.sql.timestampType", spark_conf)
 
