@@ -68,24 +68,26 @@ def ordered_columns(rows: DataFrame, max_columns: int = MAX_COLUMNS, index_col:
     return [r["key"] for r in found] or ["value"]
 
 
+# Only numbers with a fraction, an exponent or many digits may print differently from how they are written.
+ODD = r"[0-9](?:\.[0-9]|[eE])|[0-9]{16}"
+TEXTS, VALUES = T.MapType(T.StringType(), T.StringType()), T.MapType(T.StringType(), T.VariantType())
+
+
+def _printed(raw: Column, value: Column) -> Column:
+    """The text of a cell from its own text and its typed value."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    renders = raw.rlike(r"^-?[0-9](?:.*[.eE]|[0-9]{15})") & kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT|BIGINT)") & (
+        (kind != "BIGINT") | (F.abs(number) > MAX_SAFE_INTEGER))
+    return F.when(renders, js_number(number)).otherwise(raw)
+
+
 def rows_to_table(rows: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One text column per key, each value as the text its CSV cell would hold (null for null and for missing)."""
-    # only numbers with a fraction, an exponent or many digits may print differently from how they are written
-    odd = F.col("row_json").rlike(r"[0-9](?:\.[0-9]|[eE])|[0-9]{16}")
     parsed = once(
-        rows.select(*keep, "row_json"),
-        __text=F.from_json("row_json", T.MapType(T.StringType(), T.StringType())),
-        __typed=F.when(odd, F.from_json("row_json", T.MapType(T.StringType(), T.VariantType()))))
-
-    def cell(name: str) -> Column:
-        raw, value = F.col("__text")[name], F.col("__typed")[name]
-        kind = F.schema_of_variant(value)
-        number = F.try_variant_get(value, "$", "double")
-        renders = raw.rlike(r"^-?[0-9](?:.*[.eE]|[0-9]{15})") & kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT|BIGINT)") & (
-            (kind != "BIGINT") | (F.abs(number) > MAX_SAFE_INTEGER))
-        return F.when(renders, js_number(number)).otherwise(raw)
-
-    return parsed.select(*keep, *[cell(c).alias(c) for c in columns])
+        rows.select(*keep, "row_json"), __text=F.from_json("row_json", TEXTS),
+        __typed=F.when(F.col("row_json").rlike(ODD), F.from_json("row_json", VALUES)))
+    return parsed.select(*keep, *[_printed(F.col("__text")[c], F.col("__typed")[c]).alias(c) for c in columns])
 
 
 def _cell_text(col: Column, dtype: T.DataType) -> Column:
@@ -189,27 +191,58 @@ COVERS = [("bigint", {"bigint"}), ("double", {"bigint", "double"}), ("boolean",
           ("timestamp_ntz", {"date", "timestamp_ntz"})]
 
 
+def _shape(value: Column) -> Column:
+    """A bit for the shape of a text value; none for null and empty text, the last one for plain text."""
+    value = F.nullif(value, F.lit(""))
+    # every shape but plain text starts with one of these
+    bit = F.when(value.isNull(), 0).when(~F.substring(value, 1, 1).rlike(r"[0-9+\-.tTfF]"), 1 << len(SHAPES))
+    for i, (dtype, pattern) in enumerate(SHAPES):
+        bit = bit.when(value.rlike(pattern) & value.try_cast(dtype).isNotNull(), 1 << i)
+    return bit.otherwise(1 << len(SHAPES))
+
+
+def _covering(bits: int) -> str:
+    """The narrowest type for the union of some shapes."""
+    seen = {dtype for j, (dtype, _) in enumerate(SHAPES) if bits >> j & 1}
+    plain = bits >> len(SHAPES) & 1
+    return next((t for t, covered in COVERS if seen and not plain and seen <= covered), "string")
+
+
 def text_types(df: DataFrame) -> dict[str, str]:
     """The narrowest type of every text column, from one pass that returns a single row with a bit set per column."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return {}
+    row = df.agg(*[F.bit_or(_shape(F.col(f"`{n}`"))).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    return {name: _covering(row[f"c{i}"] or 0) for i, name in enumerate(names)}
+
+
+PLACES = 1 << 16  # keys of one row that are told apart by place; more are beyond any limit of columns
+
+
+def infer_columns(rows: DataFrame, max_columns: int = MAX_COLUMNS, index_col: str = "row_index") -> dict[str, str]:
+    """Columns in first-seen order with the narrowest type of their values, in one pass.
+
+    Both are small values that merge in any order: the least place of a key, and the union of its values' shapes. They are
+    folded on the map side, so one row per task and key is shuffled, and one row per key reaches the driver.
+    """
+    # the typed values are parsed for rows with numbers that may print differently
+    odd = F.col("row_json").rlike(ODD)
+    texts = F.from_json("row_json", TEXTS)
+    cells = F.when(odd, F.map_zip_with(texts, F.from_json("row_json", VALUES), lambda k, s, v: _printed(s, v))).otherwise(texts)
+    seen = rows.select(F.col(index_col).alias("r"), F.posexplode(cells).alias("p", "key", "cell")).groupBy("key").agg(
+        F.min(F.col("r") * PLACES + F.least(F.col("p"), F.lit(PLACES - 1))).alias("place"), F.bit_or(_shape(F.col("cell"))).alias("bits"))
+    found = seen.limit(max_columns + 1).collect()
+    if len(found) > max_columns:
+        raise ValueError("DATA_COLUMN_LIMIT: JSON input contains too many distinct columns.")
+
+    def order(row) -> tuple:
+        key, (r, p) = row["key"], divmod(row["place"], PLACES)
+        # array indexes come first and ascending, as ECMAScript lists them
+        index = key.isascii() and key.isdigit() and str(int(key)) == key and int(key) < 2**32 - 1
+        return (r, 0, int(key)) if index else (r, 1, p)
 
-    def shape(name: str) -> Column:
-        value = F.nullif(F.col(f"`{name}`"), F.lit(""))
-        bit = F.when(value.isNull(), 0)
-        for i, (dtype, pattern) in enumerate(SHAPES):
-            bit = bit.when(value.rlike(pattern) & value.try_cast(dtype).isNotNull(), 1 << i)
-        return F.bit_or(bit.otherwise(1 << len(SHAPES)))
-
-    row = df.agg(*[shape(n).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    types = {}
-    for i, name in enumerate(names):
-        bits = row[f"c{i}"] or 0
-        seen = {dtype for j, (dtype, _) in enumerate(SHAPES) if bits >> j & 1}
-        plain = bits >> len(SHAPES) & 1
-        types[name] = next((t for t, covered in COVERS if seen and not plain and seen <= covered), "string")
-    return types
+    return {r["key"]: _covering(r["bits"]) for r in sorted(found, key=order)} or {"value": "string"}
 
 
 def retype_text(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:

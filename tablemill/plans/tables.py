@@ -66,6 +66,17 @@ def json_document(spark, t):
     return tabular.read_json(spark, path)
 
 
+@query("s3_split_document", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def split_document(spark, t):
+    """One large array, cut by byte ranges; the elements are parsed under a known schema."""
+    path = work_path(spark, "json")
+    writers.write_json_array(t.documents, path)
+    rows = tabular.json_document_rows(spark, path, split_over=64 << 10)
+    fields = "doc_id string, text string, lang string, source string, n_chars string"
+    cells = rows.select(F.from_json("json", fields).alias("r")).select("r.*")
+    return cells.withColumns({c: F.col(c).cast("bigint") for c in ("doc_id", "n_chars")})
+
+
 @query("s5_k4_parquet_round_trip", "SELECT * FROM orders")
 def parquet(spark, t):
     path = work_path(spark, "parquet")

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablemill.functions.tables import local_table
 from tablemill.functions.text import js_trim, plain_path, strip_bom
-from tablemill.operators.jsonbridge import is_json, normalize_rows, ordered_columns, retype_text, rows_to_table
+from tablemill.operators.jsonbridge import infer_columns, is_json, normalize_rows, ordered_columns, retype_text, rows_to_table
 from tablemill.session import work_path
 from tablemill.sources.csvrecords import csv_lines, csv_records, line_blocks
+from tablemill.sources.jsonparts import array_elements, numbered
 
-CELLS_PER_FILE = 100_000
+SPLIT_OVER = 128 << 20  # bytes of a JSON document
 DELIMITERS = [",", ";", "\t", "|"]
 
 
@@ -124,47 +125,67 @@ def json_line_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "file", (F.col("seq") - F.col("first") + F.col("offset")).alias("row_index"), "json")
 
 
-def json_document_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _elements(value: Column) -> Column:
+    """The elements of the text of a JSON array, with their own text."""
+    texts = F.from_json(value, T.ArrayType(T.StringType()))
+    typed = F.from_json(value, T.ArrayType(T.VariantType()))
+    # string elements lose their quotes on the way out of the array and get them back here
+    return F.zip_with(texts, typed, lambda s, v: F.when(v.isNull() | s.isNull(), F.lit("null"))
+                      .when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(s))
+
+
+def json_document_rows(spark: SparkSession, path: str | list[str], split_over: int = SPLIT_OVER) -> DataFrame:
     """``(file, row_index, json)``: the elements of a top-level array, or the one value, with their own text.
 
-    A JSON document cannot be split, so each file is read by one task and must fit a Spark string (2 GiB).
+    Arrays in files of more than ``split_over`` bytes are cut by many tasks (see ``jsonparts``). Other files are read by one
+    task each; so is a large document that is not one array of JSON values, as it is one row: it must fit a Spark string (2 GiB).
     """
     docs = spark.read.text(path, wholetext=True).select(
-        plain_path(F.col("_metadata.file_path")).alias("file"), js_trim(strip_bom(F.col("value"))).alias("value"))
-    texts = F.from_json("value", T.ArrayType(T.StringType()))
-    typed = F.from_json("value", T.ArrayType(T.VariantType()))
-    # string elements lose their quotes on the way out of the array and get them back here
-    element = F.zip_with(texts, typed, lambda s, v: F.when(v.isNull() | s.isNull(), F.lit("null"))
-                         .when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(s))
-    items = F.when(F.col("value").startswith("[") & is_json(F.col("value")), element).otherwise(F.array("value"))
-    return docs.select("file", F.posexplode(items).alias("row_index", "json")).withColumn(
-        "row_index", F.col("row_index").cast("bigint"))
+        plain_path(F.col("_metadata.file_path")).alias("file"), js_trim(strip_bom(F.col("value"))).alias("value"),
+        F.col("_metadata.file_size").alias("size"))
+    items = F.when(F.col("value").startswith("[") & is_json(F.col("value")), _elements(F.col("value"))).otherwise(F.array("value"))
+
+    def one_task(some: DataFrame) -> DataFrame:
+        return some.select("file", F.posexplode(items).alias("row_index", "json")).withColumn(
+            "row_index", F.col("row_index").cast("bigint"))
+
+    sizes = spark.read.format("binaryFile").load(path).where(F.col("length") > split_over)
+    if sizes.select("path").isEmpty():
+        return one_task(docs)
+    elements = array_elements(spark, path, split_over)
+    empty = F.col("first") & F.col("closed") & (js_trim(F.col("text")) == "")
+    path_cut = work_path(spark, "json-elements")
+    elements.withColumn("sound", F.col("sound") & (empty | is_json(F.col("text")))).withColumn("empty", empty).write.option(
+        "compression", "zstd").parquet(path_cut)
+    elements = spark.read.parquet(path_cut)
+    odd = elements.groupBy("file").agg(F.bool_and("sound").alias("sound"), F.sum(F.col("closed").cast("int")).alias("ends")).where(
+        "NOT sound OR ends <> 1").select("file")
+    good = numbered(elements.join(odd, "file", "left_anti").where("NOT empty")).select(
+        "file", "row_index", F.get(_elements(F.concat(F.lit("["), "text", F.lit("]"))), F.lit(0)).alias("json"))
+    rows = one_task(docs.where(F.col("size") <= split_over)).unionByName(good)
+    return rows if odd.isEmpty() else rows.unionByName(one_task(docs.where(F.col("size") > split_over).join(odd, "file")))
 
 
 def _table(rows: DataFrame, retype: bool, columns: list[str] | None, types: dict[str, str] | None) -> DataFrame:
-    """Keys need no full parse, so the rows are checked and parsed once; types are then found on the parsed cells."""
-    if columns is None:
-        text = js_trim(F.col("json"))
-        shape = F.when(text.startswith("{"), text).otherwise(F.lit('{"value": null, "row_index": 0}'))
-        columns = ordered_columns(rows.select("row_index", shape.alias("row_json")))
+    """One pass finds what is not given of columns and types; the next one checks and parses each row once."""
+    text = js_trim(F.col("json"))
+    if columns is None or (retype and types is None):
+        wrapped = F.concat(F.lit('{"value":'), text, F.lit(',"row_index":'), F.col("row_index").cast("string"), F.lit("}"))
+        rows_seen = rows.select("row_index", F.when(text.startswith("{"), text).otherwise(wrapped).alias("row_json"))
+        found = infer_columns(rows_seen) if retype and types is None else dict.fromkeys(ordered_columns(rows_seen))
+        columns = list(found) if columns is None else columns
+        types = {c: found.get(c, "string") for c in columns} if types is None and retype else types
     checked = normalize_rows(rows, "json", "row_index").withColumn("row_json", F.coalesce(
         "row_json", F.raise_error(F.concat(F.lit("JSON_INVALID: row "), F.col("row_index"))).cast("string")))
     table = rows_to_table(checked, columns)
-    if not retype:
-        return table
-    if types is None:
-        spark, path = rows.sparkSession, work_path(rows.sparkSession, "cells")
-        # files of bounded length, so that one unsplit document does not stay one task
-        table.toDF(*[f"c{i}" for i in range(len(columns))]).write.option("maxRecordsPerFile", CELLS_PER_FILE).parquet(path)
-        table = spark.read.parquet(path).toDF(*columns)
-    return retype_text(table, types)
+    return retype_text(table, types) if retype else table
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], retype: bool = True, columns: list[str] | None = None,
                types: dict[str, str] | None = None) -> DataFrame:
     """JSON Lines as a table: columns in first-seen order, values re-typed from their text; broken lines are an error.
 
-    Each of the two inferences is a pass over the data; known ``columns`` and ``types`` save it.
+    Columns and types are found in one pass over the data; known ``columns`` and ``types`` save it.
     """
     return _table(json_line_rows(spark, path), retype, columns, types)
 

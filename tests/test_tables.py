@@ -191,3 +191,23 @@ def test_keys_and_types_of_late_rows(spark):
     late = spark.range(12_000).select(F.col("id").alias("row_index"), F.when(
         F.col("id") == 11_999, '{"a": "text", "late": 1.5}').otherwise('{"a": 1}').alias("row_json"))
     assert dict(rows(jsonbridge.infer_affinity(late))) == {"a": "TEXT", "late": "REAL"}
+
+
+def test_columns_and_types_in_one_pass(frame):
+    import json
+    import random
+
+    from tablemill.operators import jsonbridge as bridge
+
+    rng = random.Random(1)
+    values = [1, 2.5, 1.0, 1e21, 12345678901234567890, "3", "x", "", None, True, "true", "2024-01-02", "2024-01-02T03:04:05", [1], {"a": 1}, "-7", "+1", ".5"]
+    keys = ["b", "a", "10", "2", "07", "4294967295", "Ä", "long key"]
+    pools = {k: rng.sample(values, rng.randint(1, 3)) for k in keys}
+    rows = [(i, json.dumps({k: rng.choice(pools[k]) for k in rng.sample(keys, rng.randint(0, 8))})) for i in range(200)]
+    df = frame(rows, "row_index bigint, row_json string").repartition(5)
+    columns = bridge.ordered_columns(df)
+    assert bridge.infer_columns(df) == {c: t for c, t in bridge.text_types(bridge.rows_to_table(df, columns)).items()}
+    assert list(bridge.infer_columns(df)) == columns
+    assert bridge.infer_columns(df.where("false")) == {"value": "string"}
+    with pytest.raises(ValueError, match="DATA_COLUMN_LIMIT"):
+        bridge.infer_columns(df, max_columns=3)
