@@ -3,7 +3,8 @@
 Two lines are alike when their edit distance is at most one. A line is dropped when an earlier line, by (document id, line
 number), is equal or alike; so the earliest of any group stays, and a text keeps its other lines in order.
 
-1. Lines become distinct lines with their earliest place; equal lines are settled there.
+1. Lines become distinct lines with their earliest place; equal lines of any length are settled there. The ``FREQUENT`` lines
+   with the most copies are broadcast, so their copies are found on the map side.
 2. Of two lines that one edit turns into each other, the first or the last half is the same. Lines are keyed by both
    halves, for their own length and the next one; only lines that share a key with another line go on. Nothing that has a
    neighbour is lost, and ordinary prose ends here.
@@ -13,8 +14,9 @@ number), is equal or alike; so the earliest of any group stays, and a text keeps
    never by listing the pairs of a group.
 4. Each line is verified against that earlier one by edit distance.
 
-Defined results: null texts have no lines; empty lines and lines shorter than ``MIN_CHARS`` code points carry layout, not
-content, and stay; lines of any length take part whole; a null id sorts first; rows repeated in full share their places,
+Defined results: null texts have no lines; empty lines carry layout, not content, and stay; lines of fewer than ``min_chars``
+code points go where an earlier line is equal, not where one is alike, as one edit turns "12" into "13"; lines of any length
+take part whole; a null id sorts first; rows repeated in full share their places,
 so a line is kept or dropped in all of them alike; an empty table gives an empty result; ``drop_lines`` passes other
 columns through.
 """
@@ -24,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.functions.tables import let
 from tablemill.session import work_path
 
 MIN_CHARS = 10
+FREQUENT = 512
 
 # For the longer length c of a pair: the first (c - 1) div 2 characters and the last c - 1 less that many.
 HALVES = ", ".join(
@@ -45,9 +49,9 @@ def _saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def lines_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, line_no, line, n, hash`` of all lines that can be dropped; numbers start at 0."""
+    """``doc_id, line_no, line, n, hash`` of all lines that are not empty; numbers start at 0."""
     rows = df.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return rows.withColumn("n", F.length("line")).where(F.col("n") >= MIN_CHARS).withColumn("hash", F.unhex(F.md5("line")))
+    return rows.withColumn("n", F.length("line")).where("n > 0").withColumn("hash", F.unhex(F.md5("line")))
 
 
 def _alike(df: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
@@ -60,9 +64,9 @@ def _alike(df: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
     wanted = lines.select("hash", "first", F.xxhash64("hash").alias("short")).join(near, "short").drop("short")
     spots = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("spots"))
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(spots, F.col("id").eqNullSafe(F.col("doc_id")))
-    held = texts.select("doc_id", F.posexplode(F.transform("spots", lambda i: F.get(F.split("text", "\n", -1), i))), "spots").select(
-        "doc_id", F.col("col").alias("line"), F.get("spots", F.col("pos")).alias("line_no"))
-    held = held.where(F.col("line").isNotNull()).select(
+    spot_lines = let(F.split("text", "\n", -1), lambda all_: F.transform(
+        "spots", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))
+    held = texts.select("doc_id", F.inline(spot_lines)).where(F.col("line").isNotNull()).select(
         "line", F.unhex(F.md5("line")).alias("hash"), F.length("line").alias("n"), F.struct("doc_id", "line_no").alias("first"))
     near = _saved(held.join(wanted.drop("first"), "hash").dropDuplicates(["hash"]), "near-lines")
 
@@ -81,23 +85,29 @@ def _alike(df: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
         F.levenshtein("line", "line_2", 1) >= 0).select("hash").distinct()
 
 
-def line_decisions(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def line_decisions(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, dropped``: the numbers of the lines to drop, for every document that loses one."""
     rows = lines_of(df, text, key)
     lines = _saved(rows.groupBy("hash").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"),
-        F.first(F.expr(f"array({HALVES})")).alias("halves")), "lines")
-    alike = _alike(df, lines, text, key).withColumn("alike", F.lit(True))
-    fate = lines.join(alike, "hash", "left").where("copies > 1 OR alike").select("hash", "first", F.coalesce("alike", F.lit(False)).alias("alike"))
-    gone = rows.select("doc_id", "line_no", "hash").join(fate, "hash").where(
-        F.col("alike") | (F.struct("doc_id", "line_no") > F.col("first")))
+        F.first(F.when(F.col("n") >= min_chars, F.expr(f"array({HALVES})"))).alias("halves")), "lines")
+    alike = _alike(df, lines.where("halves IS NOT NULL"), text, key).withColumn("alike", F.lit(True))
+    fate = lines.join(alike, "hash", "left").where("copies > 1 OR alike").select(
+        "hash", "first", "copies", F.coalesce("alike", F.lit(False)).alias("alike"))
+    fate = _saved(fate, "fate")
+    frequent = fate.orderBy(F.desc("copies"), "hash").limit(FREQUENT).select("hash", F.struct("first", "alike").alias("known"))
+    marked = rows.select("doc_id", "line_no", "hash").join(F.broadcast(frequent), "hash", "left")
+    settled = marked.where("known IS NOT NULL").select("doc_id", "line_no", "known.first", "known.alike")
+    others = marked.where("known IS NULL").join(fate, "hash").select("doc_id", "line_no", "first", "alike")
+    gone = settled.unionByName(others).where(F.col("alike") | (F.struct("doc_id", "line_no") > F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def drop_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """``df`` with the dropped lines taken out of ``text``."""
-    gone = line_decisions(df, text, key).withColumnsRenamed({"doc_id": "__id", "dropped": "__gone"})
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+    gone = line_decisions(df, text, key, min_chars).withColumnsRenamed({"doc_id": "__id", "dropped": "__gone"})
+    kept = let(F.split(F.col(text), "\n", -1), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i)), "\n"))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
     joined = df.join(gone, F.col(key).eqNullSafe(F.col("__id")), "left")
     return joined.select(*[new.alias(c) if c == text else F.col(c) for c in df.columns])

@@ -134,9 +134,9 @@ WITH r AS (
   SELECT doc_id, t.i - 1 AS line_no, t.l AS line FROM (
     SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) AS z FROM documents
     WHERE text IS NOT NULL) s, LATERAL (SELECT z[1] AS l, z[2] AS i) t),
-k AS (SELECT *, length(line) AS n FROM r WHERE length(line) >= {linededup.MIN_CHARS}),
+k AS (SELECT *, length(line) AS n FROM r WHERE length(line) > 0),
 d AS (SELECT line, n, min(ROW(doc_id, line_no)) AS place FROM k GROUP BY line, n),
-s AS (SELECT line, n, place, (n + e - 1) // 2 AS p, n + e AS c FROM d, (SELECT unnest([0, 1]) AS e)),
+s AS (SELECT line, n, place, (n + e - 1) // 2 AS p, n + e AS c FROM d, (SELECT unnest([0, 1]) AS e) WHERE n >= {linededup.MIN_CHARS}),
 h AS (SELECT *, c || 'l' || left(line, p) AS key FROM s UNION ALL SELECT *, c || 'r' || right(line, c - 1 - p) FROM s),
 a AS (
   SELECT DISTINCT x.line FROM h x JOIN h y ON x.key = y.key AND y.place < x.place AND abs(x.n - y.n) <= 1
