@@ -25,6 +25,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 # Candidates that the sketch returns and counters that it holds: both bound what is broadcast, neither changes a result.
 HEAVY = 512
 COUNTERS = 65_536
+BITS = 1 << 27  # of the bitmap that tells which digests may occur twice: 16 MiB
 
 
 def normalised(text: Column) -> Column:
@@ -73,13 +74,37 @@ def duplicate_groups(df: DataFrame, text: str = "text", key: str = "doc_id") ->
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+def _seen(digests: DataFrame) -> DataFrame:
+    """``slot, bits``: a bitmap of the digests by hash, ``BITS`` bits in all whatever their number."""
+    spot = F.pmod(F.xxhash64("digest"), F.lit(BITS))
+    return digests.groupBy(F.bitmap_bucket_number(spot).alias("slot")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+
+
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay, one per digest, with all their columns."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    winners = _thin(df, text, key).groupBy("digest").agg(best.alias("best")).select(
-        F.struct("digest", "best.n", "best.id").alias("__pick"))
-    own = F.struct(digest(F.col(text)).alias("digest"), (-F.length(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("n"),
-                   F.col(key).alias("id"))
-    # ties leave on the map side, so no group of them meets in one task; inside structs nulls are equal
-    single = once(df, __pick=own).dropDuplicates(["__pick"])
-    return single.join(winners, "__pick", "left_semi").select(*df.columns)
+    """The rows of ``df`` that stay, one per digest, with all their columns.
+
+    Copies of frequent digests leave on the map side. Whether a digest may occur twice is read from a bitmap of bounded size;
+    most rows are alone and stay where they are, and only the others are shuffled with their text.
+    """
+    rows = _thin(df, text, key)
+    heavy = _heavy(rows).select(F.col("digest").alias("__heavy"), F.struct(
+        F.col("keep_n").alias("n"), F.col("keep_id").isNull().alias("none"), F.col("keep_id").alias("id")).alias("__best"))
+    rest = rows.join(F.broadcast(heavy.select("__heavy")), F.col("digest") == F.col("__heavy"), "left_anti")
+    bitmap = _seen(rest.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    bitmap = bitmap.select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits"))
+
+    place = F.struct((-F.length(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("n"), F.col(key).isNull().alias("none"),
+                     F.col(key).alias("id"))
+    spot = F.pmod(F.xxhash64("__digest"), F.lit(BITS))
+    marked = once(df, __digest=digest(F.col(text)), __place=place).join(
+        F.broadcast(heavy), F.col("__digest") == F.col("__heavy"), "left").join(
+        F.broadcast(bitmap), F.bitmap_bucket_number(spot) == F.col("__slot"), "left")
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    twice = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    alone = marked.where(F.col("__best").isNull() & ~twice)
+    # the best row of each digest, combined on the map side, so no group of ties meets in one task
+    some = marked.where((F.col("__place") == F.col("__best")) | (F.col("__best").isNull() & twice)).groupBy("__digest").agg(
+        F.min_by(F.struct(*df.columns), "__place").alias("__row"))
+    return alone.select(*df.columns).unionByName(some.select("__row.*"))

@@ -185,6 +185,19 @@ def test_packing_places_every_token(docs, empty):
     assert packing.pack(packing.tokenise(empty, path)).count() == 0
 
 
+def test_units_against_the_library():
+    """Words, signs and line breaks in every order, through a cache that is often full."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(vocabulary), packing.library_encoder.__wrapped__(vocabulary)
+    encode.cached = 300
+    rng = random.Random(3)
+    words = ["the", "Over", "naïve", "Été", "x", "don't", "it's", "A1", "日本", "zqxjv", "ſt", "œuvre", "\u01c5a", "<|endoftext|>", "é"]
+    glue = [" "] * 8 + [".\n", ", ", "!\n", "\n", "\n\n", "  ", "?!;:. ", "...... ", "\t", "\r\n", "\u00a0", " \n", "-", ".", ".,\n"]
+    texts = ["", " ", "\n", None] + ["".join(w + rng.choice(glue) for w in rng.choices(words, k=rng.randint(1, 40))) for _ in range(400)]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode.batch(texts) == want
+
+
 def test_packing_rounds_are_tight(spark, monkeypatch):
     monkeypatch.setattr(packing, "TASK_ITEMS", 300)
     rows = spark.range(4000).select(F.col("id").alias("piece_id"), (1 + F.pmod(F.xxhash64("id"), F.lit(900))).alias("length"))
@@ -288,6 +301,28 @@ def test_near_groups_against_brute_force(spark, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_near_groups_of_one_large_group(spark, monkeypatch):
+    """Variants of one text, of which the smallest id is far from most: rounds of stars leave few pairs to search."""
+    rng = random.Random(4)
+    base, rows = [f"w{k}" for k in range(110)], []
+    for i in range(500):
+        words = list(base)
+        for _ in range(9 if i % 50 == 0 else rng.randint(0, 4)):
+            words[rng.randrange(110)] = rng.choice(["", "ed", f"y{rng.randint(0, 99)}"])
+        rows.append((i, " ".join(words)))
+    searched, pairs = [], minhash._prefix_pairs
+
+    def counted(*args):
+        found = pairs(*args)
+        searched.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "_prefix_pairs", counted)
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 85, rows=5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_by_hand(rows, 85)
+    assert searched[0] < 10 * len(rows)
+
+
 def test_near_groups_odd_rows(docs, empty):
     got = minhash.near_groups(docs).collect()
     assert len(got) == 11
@@ -308,7 +343,7 @@ def test_near_groups_keep_rows_not_ids(spark):
 
 def test_long_text_is_cut_without_effect():
     data = ("Ab cd\tef " * 300_000).encode()
-    words = np.concatenate([shingles.word_hashes(p)[0] for p in shingles._slices(data)])
+    words = np.concatenate([shingles.word_hashes(p)[0] for p in shingles.text_slices(data)])
     assert len(words) == 900_000 and len(np.unique(words)) == 3
     assert len(shingles.shingle_sets([data])[0]) == 3
 
@@ -322,6 +357,18 @@ def test_signatures_estimate_similarity():
     assert (s[2] == s[3]).all() and (s[4] == superminhash.EMPTY).all() and (s[2] < superminhash.EMPTY).all()
 
 
+def test_exact_dedup_bitmap_of_any_size(spark, monkeypatch):
+    """Also where most digests share bits, and where no digest is called frequent."""
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.when(F.col("id") % 3 == 0, F.col("id") % 30).otherwise(
+        F.col("id"))).alias("text"), F.lit(7).alias("digest"))
+    want = sorted({(i % 30 if i % 3 == 0 else i): i for i in range(1999, -1, -1)}.values())
+    for bits, heavy in ((1 << 27, 512), (64, 512), (1 << 15, 1)):
+        monkeypatch.setattr(exactdedup, "BITS", bits)
+        monkeypatch.setattr(exactdedup, "HEAVY", heavy)
+        got = exactdedup.keep_first(rows)
+        assert got.columns == rows.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
 # line dedup
 
 def test_lines_against_brute_force(spark, empty, docs):
@@ -333,7 +380,7 @@ def test_lines_against_brute_force(spark, empty, docs):
         for _ in range(random.randint(0, 5)):
             line = random.choice(base)
             k = random.randrange(len(line))
-            lines.append(random.choice([line, line[:k] + line[k + 1:], line[:k] + "x" + line[k:], line[:k] + "y" + line[k + 1:], "", "short"]))
+            lines.append(random.choice([line, line[:k] + line[k + 1:], line[:k] + "x" + line[k:], line[:k] + "y" + line[k + 1:], "", "short", "shore", "ok"]))
         rows.append((i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
 
@@ -348,8 +395,9 @@ def test_lines_against_brute_force(spark, empty, docs):
     seen, want = [], collections.defaultdict(list)
     for i, text in rows:
         for n, line in enumerate(text.split("\n")):
-            if len(line) >= linededup.MIN_CHARS:
-                if any(distance(line, s) <= 1 for s in seen):
+            if line:
+                if line in seen or len(line) >= linededup.MIN_CHARS and any(
+                        len(s) >= linededup.MIN_CHARS and distance(line, s) <= 1 for s in seen):
                     want[i].append(n)
                 seen.append(line)
     assert {r.doc_id: list(r.dropped) for r in linededup.line_decisions(df).collect()} == want
@@ -360,6 +408,20 @@ def test_lines_against_brute_force(spark, empty, docs):
     assert odd.columns == docs.columns and odd.count() == 11
 
 
+def test_lines_of_a_long_text_and_a_frequent_line(spark, monkeypatch):
+    """A text of many alike lines, one line in every text, and a floor given by the caller."""
+    monkeypatch.setattr(linededup, "FREQUENT", 1)
+    long = "\n".join(f"the line with number {n % 50_000:05d} of many" for n in range(100_000))
+    rows = [(0, long), *[(i, f"read on\nown text of document {i * 977}\nshare") for i in range(1, 400)], (400, "share\nread on"), (401, "aaaa\naaab")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = {r.doc_id: list(r.dropped) for r in linededup.line_decisions(df, min_chars=1000).collect()}
+    assert gone[0] == list(range(50_000, 100_000)) and 401 not in gone and gone[400] == [0, 1]
+    assert all(gone[i] == [0, 2] for i in range(2, 400)) and 1 not in gone
+    out = {r.doc_id: r.text for r in linededup.drop_lines(df, min_chars=1000).collect()}
+    assert out[0] == "\n".join(long.split("\n")[:50_000]) and out[400] == "" and out[2] == "own text of document 1954"
+    assert {r.doc_id: list(r.dropped) for r in linededup.line_decisions(df.where("doc_id = 401"), min_chars=4).collect()} == {401: [1]}
+
+
 # private data
 
 def test_pseudonyms(spark, docs, empty):
