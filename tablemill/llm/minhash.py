@@ -2,8 +2,10 @@
 
 1. ``signatures``: every text becomes its shingle set (see ``shingles``), a SuperMinHash signature, and band keys.
    Texts with the same set are one class with a number of its own; only classes go on.
-2. Banding: classes that share a band key are a bucket. Each is verified against the first of its bucket (a star, never
-   all pairs), on full sets. Verified links are united.
+2. Banding: classes that share a band key are a bucket. Each is verified against the most central of its bucket, the one
+   that meets most others in all its buckets (a star, never all pairs), on full sets, and verified links are united. Variants
+   of one text, of which most are far from each other, are nearest to that text, so they become one group at a cost in
+   proportion to their number. Buckets that still hold several groups take another star, around another class.
 3. A bucket may still hold several groups. For all classes of such buckets an exact search follows, across groups only:
    two sets with similarity ``t`` share an element among the first ``n - ceil(t n) + 1`` of each, elements ordered by how
    many sets hold them. Rare elements come first, so variants of one popular text, whose differences fill that prefix,
@@ -13,9 +15,9 @@
 With 120 slots in bands of 5, two texts at similarity 0.85 share no bucket with probability 8e-7.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; fewer than five words are one
-element; a null id takes no part and is its own (null) component; a component is named by its smallest id, and of its rows
-with that id those of one text are kept; rows repeated in full share their fate; rows that share an id and not a text are
-told apart; an empty table gives an empty result; only id and text are read, so other columns cannot clash.
+element; a null id takes no part and is its own (null) component; a component is named by its smallest id, and the rows with
+that id are kept in ``near_groups``; ``keep_one`` leaves those of one text alone; rows repeated in full share their fate; rows
+that share an id and not a text are told apart; an empty table gives an empty result; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from tablemill.llm.units import slices
 from tablemill.session import work_path
 
 SLOTS = 120
+STARS = 2
 
 
 def _saved(df: DataFrame, label: str) -> DataFrame:
@@ -137,6 +140,27 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _relabelled(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """``df`` with the groups that ``merged (label, new)`` unites under one label."""
+    return df.join(merged, "label", "left").withColumn("label", F.coalesce("new", "label")).select(*df.columns)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of ``members (bucket, node, label)`` whose bucket holds several groups."""
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return members.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _spokes(members: DataFrame, turn: int) -> DataFrame:
+    """``a, b, label_a, label_b``: in every bucket one class, the most central or a random one, and those of other groups."""
+    draw = F.xxhash64("node", F.lit(turn)) if turn else -F.col("centre")
+    drawn = F.struct(draw.alias("draw"), F.col("node").alias("node"), F.col("label").alias("label"))
+    hubs = members.groupBy("bucket").agg(F.min(drawn).alias("hub"))
+    pairs = members.join(hubs, "bucket").where(F.col("label") != F.col("hub.label"))
+    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.label").alias("label_a"),
+                        F.col("label").alias("label_b")).distinct()
+
+
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups among ``open_ (node, label)`` that may be similar enough; none that is gets lost."""
     elements = open_.join(sets, "node").select("node", F.size("elements").alias("n"), F.explode("elements").alias("e"))
@@ -163,7 +187,8 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id", rows: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; linked at a Jaccard similarity of ``percent`` or more."""
-    return _groups(df, percent, text, key, rows).select("doc_id", "n_shingles", "component_id", "kept")
+    return _groups(df, percent, text, key, rows).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _groups(df: DataFrame, percent: int, text: str, key: str, rows: int = 4) -> DataFrame:
@@ -177,21 +202,29 @@ def _groups(df: DataFrame, percent: int, text: str, key: str, rows: int = 4) ->
     classes = _saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    members = _saved(keyed.join(buckets.select("bucket", "first"), "bucket"), "members")
-    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = members.select("node").distinct().join(classes.select("node", "digest", "name"), "node")
+    buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = keyed.join(buckets.select("bucket", "size"), "bucket")
+    nodes = met.groupBy("node").agg(F.sum("size").alias("centre"))
+    members = _saved(met.join(nodes, "node").select("bucket", "node", "centre", F.col("node").alias("label")), "members")
+    nodes = nodes.select("node")
+    wanted = nodes.join(classes.select("node", "digest", "name"), "node")
     sets = _saved(_sets(df, wanted, text, key), "sets")
-    links = _saved(_verified(stars, sets, percent), "stars")
-    first = components(links)
+    first, open_ = nodes.withColumn("label", F.col("node")), members
+    for turn in range(STARS):
+        spokes = _saved(_spokes(open_, turn), "spokes")
+        links = _verified(spokes.select("a", "b"), sets, percent).join(spokes, ["a", "b"]).select(
+            F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        links = _saved(links.distinct(), "stars")
+        if links.isEmpty():
+            break
+        merged = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
+        first = _saved(_relabelled(first, merged), "groups")
+        open_ = _saved(_mixed(_relabelled(open_, merged)), "open")
 
     # classes of buckets that still hold several groups
-    grouped = members.select("bucket", "node").join(first, "node", "left").select(
-        "bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_ = _saved(grouped.join(mixed.select("bucket"), "bucket").select("node", "label").distinct(), "open")
+    open_ = _saved(_mixed(open_).select("node", "label").distinct(), "open")
     more = _verified(_prefix_pairs(open_, sets, percent), sets, percent)
-    labelled = open_.select("node", "label")
+    labelled = open_
     merged = components(more.join(labelled.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
         labelled.withColumnsRenamed({"node": "b", "label": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
