@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20  # characters looked at together, so that a very long text needs no list of all its units
-GROUP = 6 << 20  # characters of short texts looked at together
+GROUP = 4 << 20  # characters of short texts looked at together
 CACHED = 1_500_000  # units held by a Python worker
 
 
