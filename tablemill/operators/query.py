@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablemill.functions.ordering import running
+from tablemill.functions.ordering import RANGE_ROWS, running
+from tablemill.operators.ranges import clock, equal_ranges
 from tablemill.functions.text import js_trim
 
 RESTRICTED = "DATA_QUERY_RESTRICTED"
@@ -150,12 +151,12 @@ def asof_join(
     on: Sequence[str],
     left_ts: str,
     right_ts: str,
-    width_seconds: int = 86_400,
+    rows: int = RANGE_ROWS,
     suffix: str = "_right",
 ) -> DataFrame:
     """Each left row with the latest right row of the same key at or before it (nulls where there is none).
 
-    Keys are cut into time ranges of ``width_seconds`` (plain units for numeric clocks), so that a hot key is spread
+    Keys of more than ``rows`` rows are cut into ranges of about equal size, wherever their times crowd, so a hot key is spread
     over tasks; the last right row of each range is carried forward. Rows with a null key or time find no partner.
     """
     on = list(on)
@@ -168,11 +169,8 @@ def asof_join(
     for c in [*on, "__ts"]:
         tagged_right = tagged_right.where(F.col(c).isNotNull())
     both = tagged_left.unionByName(tagged_right, allowMissingColumns=True)
-    clock = F.col("__ts")
-    if isinstance(both.schema["__ts"].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        clock = F.unix_micros(clock.cast("timestamp")) / F.lit(1_000_000)
-    found = running(both, on, ["__ts", "__side"], {"__m": ("last", F.col("__r"))},
-                    F.floor(clock / F.lit(width_seconds)).cast("bigint"))
+    ranged = equal_ranges(both, on, clock(both, "__ts"), "__part", rows)
+    found = running(ranged, on, ["__ts", "__side"], {"__m": ("last", F.col("__r"))}, F.col("__part"))
     usable = F.col("__ts").isNotNull()
     for c in on:
         usable = usable & F.col(c).isNotNull()
@@ -189,3 +187,17 @@ def sample_by_hash(df: DataFrame, key: str, mod: int, keep: int) -> DataFrame:
     """A repeatable ``keep``-out-of-``mod`` sample by a hash of ``key``; equal keys go in or out together."""
     bits = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
     return df.where(bits % mod < keep)
+
+
+def sample_by_weight(df: DataFrame, strata: Sequence[str], k: int, weight: Column, identity: Sequence[str], seed: int = 0) -> DataFrame:
+    """``k`` rows of every stratum, drawn without replacement with chances in proportion to ``weight`` (all, if it has fewer).
+
+    Every row draws ``u ** (1 / weight)``, with u from a hash of the seed and ``identity``, and the greatest stay (Efraimidis and
+    Spirakis), so a sample is repeatable and does not depend on how the rows are spread. Rows beyond a task's first ``k`` of a
+    stratum leave before the shuffle. Rows of a weight that is null or not above 0 are never drawn; nulls are a stratum.
+    """
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity])), 1, 12)
+    drawn = (F.conv(digits, 16, 10).cast("bigint") + 0.5) / float(1 << 48)
+    weighted = df.withColumn("__w", weight.cast("double")).where("__w > 0").withColumn("__draw", F.ln(drawn) / F.col("__w"))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(F.desc("__draw"), *identity))
+    return weighted.withColumn("__place", place).where(F.col("__place") <= k).select(*df.columns)

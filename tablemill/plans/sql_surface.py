@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablemill.operators.query import asof_join, audit_queries, restricted_sql, sample_by_hash, top_k_per_group
+from tablemill.operators.query import asof_join, audit_queries, restricted_sql, sample_by_hash, sample_by_weight, top_k_per_group
+from tablemill.operators.ranges import ntile, range_join, ranks, rows_frames, shifted
 from tablemill.plans.registry import query, sql_query
 
 PRICING = """
@@ -104,6 +105,19 @@ ON s_nationkey >= n_nationkey AND s_nationkey < n_nationkey + 3 GROUP BY s_natio
 """, "supplier nation")
 
 
+@query("q4_range_join", """
+SELECT e.event_id, c.event_id AS click_id FROM events e JOIN events c
+ON e.user_id = c.user_id AND c.ts >= e.ts - INTERVAL 86400 SECOND AND c.ts < e.ts
+WHERE e.event_type = 'error' AND c.event_type = 'click'
+""")
+def clicks_before_errors(spark, t):
+    """Clicks of the day before an error of the same user, by equal keys."""
+    errors = t.events.where("event_type = 'error'").select(
+        "event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 86400 SECONDS")).alias("since"), F.col("ts").alias("until"))
+    clicks = t.events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked"))
+    return range_join(clicks, errors, "clicked", "since", "until", ["user_id"]).select("event_id", "click_id")
+
+
 @query("q5_asof_join", """
 SELECT e.event_id, e.user_id, c.event_id AS click_id, c.ts AS click_ts
 FROM (SELECT * FROM events WHERE event_type = 'error') e
@@ -169,6 +183,35 @@ SELECT event_id, lag(value) OVER w AS prev, lead(value) OVER w AS next, first_va
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """, "events")
 
+# Few keys, each with a large share of all rows.
+HOT_ROWS = 5_000
+
+
+@query("q8_hot_frames", """
+SELECT event_id, round(sum(value) OVER (w ROWS BETWEEN 9 PRECEDING AND 2 FOLLOWING), 4) AS around,
+       count(*) OVER (w ROWS BETWEEN 9 PRECEDING AND 2 FOLLOWING) AS n, lag(event_id, 3) OVER w AS third
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
+""")
+def hot_frames(spark, t):
+    """Frames and a shift along keys that are cut into blocks with halos."""
+    events, order = t.events.select("event_id", "event_type", "ts", "value"), ["ts", "event_id"]
+    framed = rows_frames(events, ["event_type"], order, {"around": F.sum("value"), "n": F.count(F.lit(1))}, 9, 2, HOT_ROWS)
+    return shifted(framed, ["event_type"], order, "event_id", -3, "third", HOT_ROWS).select(
+        "event_id", F.round("around", 4).alias("around"), "n", "third")
+
+
+@query("q8_hot_ranks", """
+SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS rank,
+       dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS dense_rank,
+       CAST(ntile(100) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS tile FROM events
+""")
+def hot_ranks(spark, t):
+    """Ranks and tiles from positions and prefix counts."""
+    events = t.events.select("event_id", "event_type", "ts", "user_id")
+    ranked = ranks(events, ["event_type"], "user_id", rows=HOT_ROWS)
+    return ntile(ranked, ["event_type"], ["ts", "event_id"], 100, rows=HOT_ROWS).select("event_id", "rank", "dense_rank", "tile")
+
+
 sql_query("q9_sort_limit_offset", """
 SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 10
@@ -241,6 +284,17 @@ def sample(spark, t):
     return sample_by_hash(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 10, 3)
 
 
+@query("q13_weighted_sample", """
+SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 0
+QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY
+  ln((('0x' || substr(md5('7|' || o_orderkey), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE) / o_totalprice DESC, o_orderkey) <= 50
+""")
+def weighted_sample(spark, t):
+    """Fifty orders of every priority, by price."""
+    return sample_by_weight(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], 50,
+                            F.col("o_totalprice"), ["o_orderkey"], 7)
+
+
 sql_query("q14_scalars", """
 SELECT o_orderkey, upper(o_orderstatus) AS up, lower(o_orderpriority) AS lo, substr(o_orderpriority, 3) AS tail,
        concat(o_orderstatus, '-', o_orderpriority) AS tag, length(o_orderpriority) AS len,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.operators import inspect, jsonbridge, validate, workbook
+from tablemill.operators.proof import compare_rows
 from tablemill.plans.registry import TABLES, query
 from tablemill.session import work_path
 from tablemill.sinks import writers
@@ -447,3 +448,24 @@ def dataset_check(spark, t):
     for one in out[1:]:
         report = report.unionByName(one)
     return report.select("format_id", "valid", "rows", "columns", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
+@query("v1_rows_proof", """
+SELECT f AS format, true AS equal, count(*) AS source_rows, count(*) AS output_rows, '' AS different
+FROM orders, (SELECT unnest(['csv', 'parquet', 'damaged']) AS f) WHERE f <> 'damaged' GROUP BY f
+UNION ALL SELECT 'damaged', false, count(*), count(*), 'o_totalprice' FROM orders""")
+def rows_proof(spark, t):
+    """What was written holds the rows of its source; a changed cell is found."""
+    csv, parquet, orders = work_path(spark, "csv"), work_path(spark, "parquet"), t.orders
+    writers.write_csv(orders, csv)
+    writers.write_parquet(orders, parquet)
+    back = {"csv": tabular.read_csv(spark, csv, ",", schema=orders.schema), "parquet": tabular.read_parquet(spark, parquet)}
+    first = orders.agg(F.min("o_orderkey").alias("least"))
+    back["damaged"] = orders.join(F.broadcast(first)).withColumn("o_totalprice", F.when(
+        F.col("o_orderkey") == F.col("least"), F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))).drop("least")
+    out = None
+    for name, df in back.items():
+        row = compare_rows(orders, df).select(F.lit(name).alias("format"), "equal", "source_rows", "output_rows",
+                                              F.array_join("different", ",").alias("different"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -45,32 +45,69 @@ TAR_MODES = {"tar": "r:", "tar-gzip": "r:gz", "tar-bzip2": "r:bz2", "tar-xz": "r
 ENTRY_COLUMNS = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
 
 
-def _zip_entries(data: bytes, wanted) -> Iterator[tuple]:
+CHUNK = 1 << 20
+LIST_BYTES = 16 << 30  # what a listing inflates of one archive before it calls it a bomb
+MEMBER_BYTES, ARCHIVE_BYTES = 1 << 30, 16 << 30  # what an extraction inflates of a member, and of all chosen ones of an archive
+
+
+class _Budget:
+    """Counts inflated bytes of one archive and of its current member, and stops at their limits."""
+
+    def __init__(self, member: int, archive: int):
+        self.member, self.archive, self.total = member, archive, 0
+
+    def read(self, stream, keep: bool) -> tuple[bytes | None, int]:
+        """A member's bytes (if they are wanted) and size; no more than a chunk beyond the limits is ever held."""
+        parts, size = [], 0
+        while chunk := stream.read(CHUNK):
+            size += len(chunk)
+            self.add(len(chunk))
+            if keep and size > self.member:
+                raise ValueError(f"ARCHIVE_EXTRACTION_BUDGET: A member holds more than {self.member} bytes.")
+            if keep:
+                parts.append(chunk)
+        return (b"".join(parts) if keep else None), size
+
+    def add(self, size: int) -> None:
+        self.total += size
+        if self.total > self.archive:
+            raise ValueError(f"ARCHIVE_EXTRACTION_BUDGET: The archive grows beyond {self.archive} bytes.")
+
+
+def _zip_entries(data: bytes, wanted, budget: _Budget) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        for i, info in enumerate(archive.infolist()):
-            folder, secret = info.is_dir(), bool(info.flag_bits & 1)
-            body = None
-            if wanted(info.filename, info.file_size) and not folder and not secret:
-                body = archive.read(info)
+        infos = archive.infolist()
+        chosen = [wanted(i.filename, i.file_size) and not i.is_dir() and not i.flag_bits & 1 for i in infos]
+        if sum(i.file_size for i, c in zip(infos, chosen) if c) > budget.archive:
+            budget.add(budget.archive + 1)  # said by the directory: nothing is inflated
+        for i, (info, take) in enumerate(zip(infos, chosen)):
+            folder, secret, body = info.is_dir(), bool(info.flag_bits & 1), None
+            if take:
+                with archive.open(info) as stream:
+                    body, _ = budget.read(stream, True)
             # the name as stored: zipfile cuts it at a NUL byte and turns back slashes
             yield (i, info.orig_filename, info.file_size, info.compress_size, "directory" if folder else "file", folder,
                    secret, None, info.compress_type, body, None)
 
 
-def _tar_entries(data: bytes, mode: str, wanted) -> Iterator[tuple]:
+def _tar_entries(data: bytes, mode: str, wanted, budget: _Budget) -> Iterator[tuple]:
     with tarfile.open(fileobj=io.BytesIO(data), mode=mode) as archive:
         for i, info in enumerate(archive):
             kind = ("file" if info.isreg() else "directory" if info.isdir()
                     else "symlink" if info.issym() or info.islnk() else "other")
-            size = info.size if kind == "file" else 0
-            body = archive.extractfile(info).read() if kind == "file" and wanted(info.name, size) else None
+            size, body = info.size if kind == "file" else 0, None
+            if kind == "file" and wanted(info.name, size):
+                body, _ = budget.read(archive.extractfile(info), True)
+            else:
+                budget.add(size)  # a compressed archive inflates what it skips
             yield (i, info.name, size, None, kind, kind == "directory", False, int(info.mtime) * 1000, None, body, None)
 
 
-def _single_entry(data: bytes, name: str, opener, wanted) -> Iterator[tuple]:
+def _single_entry(data: bytes, name: str, opener, wanted, budget: _Budget) -> Iterator[tuple]:
     inner = re.sub(r"\.(gz|gzip|bz2|bzip2|xz)$", "", name, flags=re.I) or "data"
-    body = opener.decompress(data)
-    yield (0, inner, len(body), len(data), "file", False, False, None, None, body if wanted(inner, len(body)) else None, None)
+    with opener.open(io.BytesIO(data)) as stream:
+        body, size = budget.read(stream, wanted(inner, 0))
+    yield (0, inner, size, len(data), "file", False, False, None, None, body, None)
 
 
 def _folded(path: str) -> str:
@@ -78,28 +115,31 @@ def _folded(path: str) -> str:
     return "/".join(p for p in path.replace("\\", "/").split("/") if p not in ("", "."))
 
 
-def _entries(data: bytes, name: str, fmt: str, wanted) -> Iterator[tuple]:
+def _entries(data: bytes, name: str, fmt: str, wanted, budget: _Budget) -> Iterator[tuple]:
     if fmt in TAR_MODES:
-        yield from _tar_entries(data, TAR_MODES[fmt], wanted)
+        yield from _tar_entries(data, TAR_MODES[fmt], wanted, budget)
     elif fmt in SINGLE:
-        yield from _single_entry(data, name, SINGLE[fmt], wanted)
+        yield from _single_entry(data, name, SINGLE[fmt], wanted, budget)
     elif data[:2] == b"PK":
-        yield from _zip_entries(data, wanted)
+        yield from _zip_entries(data, wanted, budget)
     else:
         raise ValueError(f"ARCHIVE_FORMAT_UNSUPPORTED: {fmt}")
 
 
-def _decode(files: DataFrame, archive: str, wanted, format_col: str) -> DataFrame:
+def _decode(files: DataFrame, archive: str, wanted, format_col: str, member_bytes: int = MEMBER_BYTES,
+            archive_bytes: int = LIST_BYTES, only: str | None = None) -> DataFrame:
+    """Entry rows; ``wanted(name, size)`` says whose content to take, a column ``only`` of folded names limits it by archive."""
     kind = files.schema[archive].dataType.simpleString()
     name = F.col("name") if "name" in files.columns else F.lit("data")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
         for batch in batches:
-            for key, file_name, fmt, data in zip(batch["k"], batch["n"], batch["f"], batch["c"]):
-                seen = Counter()
+            for key, file_name, fmt, data, names in zip(batch["k"], batch["n"], batch["f"], batch["c"], batch["o"]):
+                seen, known = Counter(), None if names is None else set(names)
+                choose = wanted if known is None else lambda n, size: _folded(n) in known and wanted(n, size)
                 try:
-                    for row in _entries(bytes(data), file_name, fmt, wanted):
+                    for row in _entries(bytes(data), file_name, fmt, choose, _Budget(member_bytes, archive_bytes)):
                         if row[4] == "file":
                             seen[_folded(row[1])] += 1
                         rows.append((key, *row, seen[_folded(row[1])]))
@@ -108,7 +148,8 @@ def _decode(files: DataFrame, archive: str, wanted, format_col: str) -> DataFram
                             yield frame(rows)
                             rows, held = [], 0
                 except Exception as error:  # a broken archive is a row of its own, not the end of the job
-                    rows.append((key, *(None,) * 10, f"ARCHIVE_CORRUPT: {error}", None))
+                    said = str(error) if str(error).startswith("ARCHIVE_") else f"ARCHIVE_CORRUPT: {error}"
+                    rows.append((key, *(None,) * 10, said, None))
         if rows:
             yield frame(rows)
 
@@ -120,7 +161,9 @@ def _decode(files: DataFrame, archive: str, wanted, format_col: str) -> DataFram
             out[column] = out[column].astype("boolean")
         return out
 
-    chosen = files.select(F.col(archive).alias("k"), name.alias("n"), F.col(format_col).alias("f"), F.col("content").alias("c"))
+    chosen = files.select(
+        F.col(archive).alias("k"), name.alias("n"), F.col(format_col).alias("f"), F.col("content").alias("c"),
+        (F.col(only) if only else F.lit(None).cast("array<string>")).alias("o"))
     return chosen.mapInPandas(decode, f"{archive} {kind}, {ENTRY_SCHEMA}")
 
 
@@ -143,22 +186,29 @@ def _everything(name: str, size: int) -> bool:
 
 
 def extract_archives(files: DataFrame, selected: DataFrame | None = None, archive: str = "archive_id",
-                     format_col: str = "format_id") -> DataFrame:
+                     format_col: str = "format_id", member_bytes: int = MEMBER_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Regular entries with ``content`` and a ``name`` that is unique per archive (``.N`` for repeats).
 
-    ``selected (archive, path)`` limits the result. Directories, links and special entries are never extracted;
-    unsafe paths carry their ``path_error`` and no content.
+    ``selected (archive, path)`` limits the result, and what is inflated. Directories, links and special entries are never
+    extracted; unsafe paths carry their ``path_error`` and no content. Members are inflated in chunks; an archive that grows
+    beyond the budgets stops there and has a row with ``error`` (a ZIP whose directory says so is not inflated at all).
     """
-    entries = _decode(files, archive, _everything, format_col).where((F.col("type") == "file") & F.col("error").isNull())
-    safe = normalize_paths(entries)
+    only = None
+    if selected is not None:
+        wanted = normalize_paths(selected.select(archive, "path")).where("path_error IS NULL").select(archive, "path").distinct()
+        files = files.join(wanted.groupBy(archive).agg(F.collect_set("path").alias("__only")), archive)
+        only = "__only"
+    entries = _decode(files, archive, _everything, format_col, member_bytes, archive_bytes, only)
+    stopped = entries.where(F.col("error").startswith("ARCHIVE_EXTRACTION_BUDGET"))
+    safe = normalize_paths(entries.where((F.col("type") == "file") & F.col("error").isNull()))
     if selected is not None:
-        wanted = normalize_paths(selected.select(archive, "path")).where("path_error IS NULL").select(archive, "path")
-        safe = safe.join(wanted.distinct(), [archive, "path"], "left_semi")
+        safe = safe.join(wanted, [archive, "path"], "left_semi")
     # repeats were counted while reading: the second a.txt of an archive is a.txt.2
     safe = safe.withColumn("name", F.when(F.col("occurrence") > 1, F.concat_ws(".", "path", F.col("occurrence").cast("string")))
                            .otherwise(F.col("path")))
-    return safe.withColumn("content", F.when(F.col("path_error").isNull(), F.col("content"))).withColumn(
+    out = safe.withColumn("content", F.when(F.col("path_error").isNull(), F.col("content"))).withColumn(
         "name", F.when(F.col("path_error").isNull(), F.col("name"))).drop("occurrence")
+    return out.unionByName(stopped.drop("occurrence"), allowMissingColumns=True)
 
 
 def package_members(files: DataFrame, names: list[str], max_bytes: int = 32 * 1024 * 1024, archive: str = "archive_id"

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from tablemill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "tests")
+    session = local_session(os.environ.get("TABLEMILL_TEST_CPUS", "8"), "tests")
     yield session
     session.stop()
 

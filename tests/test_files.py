@@ -1,3 +1,4 @@
+import gzip
 import io
 import tarfile
 import zipfile
@@ -280,3 +281,37 @@ def test_members_that_are_too_large_are_reported(frame):
     found = packages.inspect_packages(members, files).first()
     assert found["package_entries"] == 2 and found["title"] == "T"
     assert [w.split(":")[0] for w in found["warnings"]] == ["PACKAGE_MEMBER_LIMIT"]
+
+
+def test_archives_stop_at_their_budget(spark):
+    bomb = gzip.compress(b"\0" * 20_000_000)
+    assert len(bomb) * 900 < 20_000_000
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.bin", b"\0" * 5_000_000)
+        z.writestr("dir/small.txt", b"small")
+    lies = bytearray(packed.getvalue())
+    # the directory states a few bytes for the large member
+    at = bytes(lies).index(b"PK\x01\x02")
+    lies[at + 24:at + 28] = (7).to_bytes(4, "little")
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        for name, size in (("a", 3_000_000), ("b", 10)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            t.addfile(info, io.BytesIO(b"\0" * size))
+    rows = [("gz", "x.gz", "gzip", bytearray(bomb)), ("zip", "x.zip", "zip", bytearray(packed.getvalue())), ("lies", "y.zip", "zip", lies),
+            ("tar", "x.tgz", "tar-gzip", bytearray(tar.getvalue())), ("fine", "x.gz", "gzip", bytearray(gzip.compress(b"ok")))]
+    files = spark.createDataFrame(rows, "archive_id string, name string, format_id string, content binary")
+    got = sources.extract_archives(files, member_bytes=2_000_000, archive_bytes=4_000_000).collect()
+    errors = {r.archive_id: r.error for r in got if r.error}
+    assert set(errors) >= {"gz", "zip", "tar"} and all(e.startswith("ARCHIVE_EXTRACTION_BUDGET") for k, e in errors.items() if k != "lies")
+    assert [bytes(r.content) for r in got if r.archive_id == "fine"] == [b"ok"]
+    assert not any(r.content and len(r.content) > 2_000_000 for r in got)
+    # what is not chosen is not inflated
+    chosen = spark.createDataFrame([("zip", "dir/small.txt"), ("lies", "dir/small.txt")], "archive_id string, path string")
+    few = sources.extract_archives(files, chosen, member_bytes=100, archive_bytes=100).collect()
+    assert sorted((r.archive_id, bytes(r.content)) for r in few) == [("lies", b"small"), ("zip", b"small")]
+    # a listing holds no contents and says the size of a single member
+    sizes = {r.archive_id: r["size"] for r in sources.scan_archive_entries(files).where("archive_id = 'gz'").collect()}
+    assert sizes == {"gz": 20_000_000}

@@ -71,7 +71,7 @@ def test_views_of_the_caller_stay(spark, frame):
 
 def test_asof_join_against_brute_force(frame):
     rnd = random.Random(3)
-    # one key holds most rows, and its times span many ranges
+    # one key holds most rows, and is cut into many ranges
     left = [(i, rnd.choice(["hot"] * 8 + ["a", "b"]), rnd.randrange(10_000)) for i in range(300)] + [(900, None, 5)]
     right = [(i, rnd.choice(["hot"] * 8 + ["a", "c"]), t) for i, t in enumerate(rnd.sample(range(10_000), 200))]
     got = asof_join(frame(left, "id int, k string, t int"), frame(right, "rid int, k string, t int"), ["k"], "t", "t", 97)
