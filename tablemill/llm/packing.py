@@ -33,8 +33,8 @@ END = (0).to_bytes(4, "little")
 TASK_ITEMS = 20_000
 SLACK = 8
 JOINED = 2000  # unknown units encoded by one call of the library
-CACHED = 800_000  # units that a Python worker holds
-WORDS = 400_000  # words and runs of signs that it holds
+CACHED = 150_000  # units that a Python worker holds
+WORDS = 300_000  # words and runs of signs that it holds
 # A word of Latin letters and signs that can only be a piece of their own, and perhaps the same on the next line.
 LETTERS, SIGNS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[.,;:!?]{0,4}"
 PLAIN = re.compile(rf"( {LETTERS})({SIGNS})(?:(\n)({LETTERS})({SIGNS}))?")
