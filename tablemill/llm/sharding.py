@@ -1,16 +1,16 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are shuffled by a seeded hash and ranked within their source; the fractional rank ``(rank - 1/2) / size of source``
-orders all rows, and equal cuts of that order give shards whose sizes differ by at most one and which all hold every
-source in proportion (law ``rows``).
+Rows are shuffled by a seeded hash and ranked within their source; the fractional rank ``(rank - u) / size of source`` orders
+all rows, with u between 0 and 1 a seeded hash of the source, so that many small sources do not meet in the middle. Equal cuts
+of that order give shards whose sizes differ by at most one and which all hold every source in proportion (law ``rows``).
 
 No rank comes from a window over a whole source or table. Ranks are counted per (source, hash range) and then per range
 of the fraction; a window works inside one range, and one count per range carries over. Ranges split a source of any
 size evenly, because the hash and the fraction are uniform. Only columns that the caller uses travel through the two
 shuffles, so a manifest without texts stays thin.
 
-Defined results: null text has no bytes; a null source is a source of its own; ties of the hash go by id;
-rows repeated in full are kept, each with its own slot; an empty table gives an empty result; other columns
+Defined results: null text has no bytes; a null source is a source of its own; the hash is of id and text, so rows without an
+id are spread as well; ties of the hash go by id; rows repeated in full are kept, each with its own slot; an empty table gives an empty result; other columns
 pass through, but those with a new name give way (and names that start with ``__`` are taken).
 """
 
@@ -30,7 +30,8 @@ def interleave(df: DataFrame, shards: int = 40, seed: str = "shard", stratum: st
     body = F.coalesce(F.col(text), F.lit(""))
     name = F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("none"))
     rows = (df.withColumns({"size": (F.octet_length(body) + OVERHEAD).cast("bigint"), "text_crc32": F.crc32(body),
-                            "__s": name, "__h": F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))})
+                            "__s": name})
+            .withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), "text_crc32", "size")))
             .withColumn("__r", F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") * RANGES))
     rows = rows.withColumn("__r", F.shiftright("__r", 32).cast("int"))
 
@@ -38,10 +39,11 @@ def interleave(df: DataFrame, shards: int = 40, seed: str = "shard", stratum: st
     whole = Window.partitionBy("__s")
     before = counts.select("__s", "__r", F.sum("__n").over(whole).alias("__total"),
                            (F.sum("__n").over(whole.orderBy("__r")) - F.col("__n")).alias("__before"))
+    offset = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "__s")), 1, 12), 16, 10).cast("bigint") + 0.5) / float(1 << 48)
     order = ["__h", key]
     ranked = (rows.withColumn("__i", F.row_number().over(Window.partitionBy("__s", "__r").orderBy(*order)))
               .join(before, ["__s", "__r"])
-              .withColumn("__f", (F.col("__before") + F.col("__i") - F.lit(0.5)) / F.col("__total"))
+              .withColumn("__f", (F.col("__before") + F.col("__i") - offset) / F.col("__total"))
               .withColumn("__c", F.floor(F.col("__f") * RANGES).cast("int"))
               .drop("__r", "__i", "__before", "__total"))
 
