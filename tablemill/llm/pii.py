@@ -277,8 +277,8 @@ def _keyed(text: Column, key: str, kind: str) -> Column:
 def email(found: Column, key: str) -> Column:
     """A keyed local part under a keyed host that can never exist."""
     local, host = F.lower(F.substring_index(found, "@", 1)), F.lower(F.substring_index(found, "@", -1))
-    return F.concat(F.lit("u"), F.substring(_keyed(F.concat(local, F.lit("@"), host), key, "email"), 1, 12), F.lit("@h"),
-                    F.substring(_keyed(host, key, "host"), 1, 8), F.lit(".invalid"))
+    return F.concat(F.lit("u"), F.substring(_keyed(F.concat(local, F.lit("@"), host), key, "email"), 1, 20), F.lit("@h"),
+                    F.substring(_keyed(host, key, "host"), 1, 20), F.lit(".invalid"))
 
 
 def access_key(found: Column, key: str) -> Column:

@@ -87,8 +87,10 @@ def test_sharding_against_brute_force(spark):
     got = {r.doc_id: r for r in sharding.interleave(table).collect()}
     by = collections.defaultdict(list)
     for r in table.collect():
-        by[r.source].append((hashlib.md5(f"shard:{r.doc_id}".encode()).hexdigest(), r.doc_id, r.text or ""))
-    order = sorted(((k + 0.5) / len(v), h, i, t) for v in by.values() for k, (h, i, t) in enumerate(sorted(v)))
+        data = (r.text or "").encode()
+        by["s" + r.source].append((hashlib.md5(f"shard:{r.doc_id}:{zlib.crc32(data)}:{len(data) + 16}".encode()).hexdigest(), r.doc_id, r.text or ""))
+    offset = {s: (int(hashlib.md5(f"shard:{s}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48) for s in by}
+    order = sorted(((k + 1 - offset[s]) / len(v), h, i, t) for s, v in by.items() for k, (h, i, t) in enumerate(sorted(v)))
     slots = collections.Counter()
     for p, (_, _, i, t) in enumerate(order):
         shard = p * 40 // len(order)
@@ -98,6 +100,17 @@ def test_sharding_against_brute_force(spark):
     assert max(slots.values()) - min(slots.values()) <= 1
 
 
+def test_sharding_of_small_sources_and_missing_ids(spark):
+    """Sources of one row are spread over the shards, and so are rows without an id."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"),
+        F.when(F.col("id") % 3 < 2, F.concat(F.lit("host"), "id")).otherwise("big").alias("source"))
+    got = sharding.interleave(rows, shards=10).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("source") == "big").cast("int")).alias("big"), F.sum(F.col("doc_id").isNull().cast("int")).alias("none"))
+    for r in got.collect():
+        assert r.n == 300 and 60 < r.big < 140 and 60 < r.none < 140
+
+
 def test_sharding_odd_rows(docs, empty):
     got = sharding.interleave(docs.withColumn("size", F.lit("mine")), shards=4).collect()
     assert len(got) == 11 and sorted(collections.Counter(r.shard for r in got).values()) == [2, 3, 3, 3]
@@ -481,6 +494,28 @@ def test_feistel_is_a_permutation(spark):
     for key in ("a", "b"):
         out = [tuple(r.p) for r in pairs.select(pii.feistel(F.col("h"), F.col("l"), 50, 17, key, "t").alias("p")).collect()]
         assert len(set(out)) == 850 and max(h for h, _ in out) < 50 and max(x for _, x in out) < 17
+        assert out == [_feistel(i // 17, i % 17, 50, 17, key, "t") for i in range(17 * 50)]
+
+
+def _feistel(h, low, high_size, low_size, key, kind):
+    """The network in plain numbers."""
+    for number in range(pii.ROUNDS):
+        half, size = (low, high_size) if number % 2 == 0 else (h, low_size)
+        drawn = int(hashlib.sha256(f"{key}:{kind}:{number}:{half}".encode()).hexdigest()[:15], 16)
+        h, low = ((h + drawn) % size, low) if number % 2 == 0 else (h, (low + drawn) % size)
+    return h, low
+
+
+def test_phones_and_hosts_by_a_model(spark):
+    rng, key = random.Random(12), "secret"
+    phones = [(rng.randint(200, 999), rng.randint(200, 999), rng.randint(0, 9999)) for _ in range(60)]
+    hosts = [f"host{i}.example.org" for i in range(60)]
+    rows = [(i, f"call {a}-{e}-{n:04d} or write Me{i}@{h}") for i, ((a, e, n), h) in enumerate(zip(phones, hosts))]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), key).collect()}
+    for i, ((a, e, n), host) in enumerate(zip(phones, hosts)):
+        h, low = _feistel((a - 200) * 800 + e - 200, n, 640_000, 10_000, key, "phone")
+        hidden = [hashlib.sha256(f"{key}:{kind}:{value}".encode()).hexdigest()[:20] for kind, value in (("email", f"me{i}@{host}"), ("host", host))]
+        assert got[i] == f"call {h // 800 + 200:03d}-{h % 800 + 200:03d}-{low:04d} or write u{hidden[0]}@h{hidden[1]}.invalid"
 
 
 # toxicity
