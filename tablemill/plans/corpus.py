@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tablemill.operators import archive, batch, formats, naming, routes
 from tablemill.plans.registry import TABLES, query
 from tablemill.session import work_path
+from tablemill.streaming import by_content
+from tablemill.streaming.by_content import intake_by_content
 from tablemill.streaming.ingest import ingest_available
 
 # One kind of content per page: (hex or text, the format it must be taken for).
@@ -674,3 +676,21 @@ def intake(spark, t):
     seen = spark.read.parquet(out).withColumn("event_type", F.regexp_extract("path", "kind=([a-z]+)/", 1))
     return seen.groupBy("event_type").agg(
         (F.count(F.lit(1)) == F.count_distinct("path")).alias("each_once"), F.max("format_id").alias("format_id"))
+
+
+@query("b8_intake_by_content", """
+SELECT event_type, CASE WHEN event_type IN ('click', 'view') THEN 'known' ELSE 'new' END AS status, 1 AS run FROM events GROUP BY event_type
+UNION ALL SELECT event_type, 'new', 0 FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type
+""")
+def intake_of_copies(spark, t):
+    """Two deliveries; what the first one held comes again under other names."""
+    inbox, out, state = (work_path(spark, n) for n in ("inbox", "taken", "state"))
+    first = t.events.where(F.col("event_type").isin("click", "view"))
+    # one file for each type, so a delivery's files are the same whenever it is written
+    for folder, rows in (("one", first), ("two", t.events)):
+        lines = rows.select("event_type", F.to_json(F.struct("event_id", "user_id", "value")).alias("value"), F.col("event_type").alias("kind"), "event_id")
+        lines.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("value", "kind").write.partitionBy("kind").text(
+            f"{inbox}/{folder}")
+        intake_by_content(spark, inbox, out, state)
+    seen = spark.read.schema(by_content.STATE).parquet(state).where("path LIKE '%/part-%'")
+    return seen.select(F.regexp_extract("path", "kind=([a-z]+)/", 1).alias("event_type"), "status", "run")
