@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablemill.operators import sketches
 from tablemill.operators.query import asof_join, audit_queries, restricted_sql, sample_by_hash, sample_by_weight, top_k_per_group
 from tablemill.operators.ranges import ntile, range_join, ranks, rows_frames, shifted
 from tablemill.plans.registry import query, sql_query
@@ -154,6 +155,46 @@ def approx_distinct(spark, t):
         FROM lineitem GROUP BY l_returnflag""")
 
 
+@query("q7_sketch_rollup", """
+SELECT event_type, CASE WHEN event_type IS NULL THEN 1 ELSE 0 END AS level, count(*) AS rows, TRUE AS users_within, TRUE AS median_within
+FROM events GROUP BY ROLLUP (event_type)
+""")
+def sketch_rollup(spark, t):
+    """Daily sketches rolled up without reading the events again, held against exact counts."""
+    events = t.events.withColumn("day", F.to_date("ts"))
+    daily = sketches.sketch_table(events, ["event_type", "day"], {"users": F.col("user_id")}, {"amounts": F.col("value")})
+    by_type = sketches.merge_sketches(daily, ["event_type"], ["users"], ["amounts"])
+    rolled = sketches.rollup_sketches(by_type, ["event_type"], ["users"], ["amounts"]).select(
+        "event_type", "level", "rows", sketches.distinct_count("users").alias("users"), sketches.quantile("amounts", 0.5).alias("median"))
+    # every event counts for its type and for the total
+    seen = t.events.select(F.explode(F.array("event_type", F.lit(None).cast("string"))).alias("of"), "user_id", "value")
+    both = seen.join(F.broadcast(rolled), F.col("of").eqNullSafe(F.col("event_type")))  # a row per type
+    share = {"below": F.col("value") < F.col("median"), "upto": F.col("value") <= F.col("median")}
+    exact = both.groupBy("event_type", "level", "rows", "users").agg(
+        F.count_distinct("user_id").alias("exact"), *[F.avg(c.cast("double")).alias(n) for n, c in share.items()])
+    slack = 4 * sketches.RANK_ERROR
+    return exact.select(
+        "event_type", "level", "rows", (F.abs(F.col("users") - F.col("exact")) <= 4 * sketches.DISTINCT_ERROR * F.col("exact")).alias("users_within"),
+        ((F.col("below") <= 0.5 + slack) & (F.col("upto") >= 0.5 - slack)).alias("median_within"))
+
+
+@query("q10_sketch_sets", """
+SELECT TRUE AS both_within, TRUE AS only_within
+""")
+def sketch_sets(spark, t):
+    """Users with clicks and errors, and with clicks alone, from one sketch per type."""
+    table = sketches.sketch_table(t.events, ["event_type"], {"users": F.col("user_id")}, {})
+    one = lambda kind: table.where(F.col("event_type") == kind)
+    pair = one("click").select(F.col("users").alias("a")).join(one("error").select(F.col("users").alias("b")))  # one row on either side
+    got = pair.select(F.inline(F.array(sketches.set_counts(F.col("a"), F.col("b")))))
+    users = t.events.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "click").alias("c"), F.bool_or(F.col("event_type") == "error").alias("e"))
+    exact = users.agg(F.count_if(F.col("c") & F.col("e")).alias("b"), F.count_if(F.col("c") & ~F.col("e")).alias("o"), F.count_if(
+        F.col("c") | F.col("e")).alias("u"))
+    slack = 4 * sketches.DISTINCT_ERROR * F.col("u")
+    return got.join(exact).select((F.abs(F.col("both") - F.col("b")) <= slack).alias("both_within"),
+                                  (F.abs(F.col("left_only") - F.col("o")) <= slack).alias("only_within"))
+
+
 sql_query("q7_rollup", """
 SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS g1, grouping(o_orderpriority) AS g2,
        count(*) AS n, round(sum(o_totalprice), 2) AS total
