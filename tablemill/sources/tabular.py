@@ -17,6 +17,7 @@ from tablemill.session import work_path
 from tablemill.sources.csvrecords import csv_lines, csv_records, line_blocks
 from tablemill.sources.jsonparts import array_elements, numbered
 
+ROWS_PER_FILE = 20_000
 SPLIT_OVER = 128 << 20  # bytes of a JSON document
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -193,7 +194,10 @@ def read_jsonl(spark: SparkSession, path: str | list[str], retype: bool = True,
 def read_json(spark: SparkSession, path: str | list[str], retype: bool = True, columns: list[str] | None = None,
               types: dict[str, str] | None = None) -> DataFrame:
     """A JSON document as a table: one row per element of the top-level array, or one row for a single value."""
-    return _table(json_document_rows(spark, path), retype, columns, types)
+    # written in files of bounded length, so a document is parsed as a whole once, and its elements by many tasks
+    cut = work_path(spark, "elements")
+    json_document_rows(spark, path).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(cut)
+    return _table(spark.read.schema("file string, row_index bigint, json string").parquet(cut), retype, columns, types)
 
 
 def _ipc(content: bytes):
