@@ -18,7 +18,6 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -87,25 +86,18 @@ def write_json_array(df: DataFrame, path: str, bigint_as_string: bool = True, mo
     rows = export.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in export.columns]), {"ignoreNullFields": "false"})
                          .alias("value"))
 
-    def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # an element is written when it is known whether another one follows
         last = None
         for batch in batches:
-            for text in batch["value"]:
-                line = "  " + _pretty(json.loads(text), "  ")
-                yield pd.DataFrame({"value": ["[" if last is None else last + ","]})
-                last = line
-        yield pd.DataFrame({"value": ["[]"] if last is None else [last, "]"]})
-
-    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
-        for piece in frame(batches):
-            held += piece["value"].tolist()
-            if len(held) >= 2000:
-                yield pd.DataFrame({"value": held})
-                held = []
-        yield pd.DataFrame({"value": held})
-
-    rows.mapInPandas(batched, "value string").write.mode(mode).text(path)
+            out = []
+            for text in batch.column(0).to_pylist():
+                out.append("[" if last is None else last + ",")
+                last = "  " + _pretty(json.loads(text), "  ")
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["[]"] if last is None else [last, "]"], pa.string())})
+
+    rows.mapInArrow(lines, "value string").write.mode(mode).text(path)
 
 
 # ---- part files written by tasks ----
