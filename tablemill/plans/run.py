@@ -123,9 +123,7 @@ def _read_tables(spark: SparkSession, fmt: str, paths: list[str], options: dict)
     delimiter, header = options.get("delimiter", "auto"), options.get("header", True)
     place = F.monotonically_increasing_id().alias("__row")
     if fmt in ("csv", "tsv"):
-        df = tabular.read_csv(spark, paths, "\t" if fmt == "tsv" else delimiter, header, multiline=options.get("multiline", True))
-        return df.select("*", plain_path(F.col("_metadata.file_path")).alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
-                         place)
+        return tabular.read_csv(spark, paths, "\t" if fmt == "tsv" else delimiter, header, multiline=options.get("multiline", True), place=True)
     if fmt == "parquet":
         return tabular.read_parquet(spark, paths).select(
             "*", plain_path(F.col("_metadata.file_path")).alias("__path"), F.lit(0).alias("__block"), F.col("_metadata.row_index").alias("__row"))
@@ -133,9 +131,8 @@ def _read_tables(spark: SparkSession, fmt: str, paths: list[str], options: dict)
         rows = tabular.json_line_rows(spark, paths) if fmt == "jsonl" else tabular.json_document_rows(spark, paths)
         checked = jsonbridge.normalize_rows(rows, "json", "row_index").withColumn("__path", F.col("file")).withColumn(
             "__block", F.lit(0)).withColumn("__row", F.col("row_index"))
-        names = jsonbridge.ordered_columns(checked)
-        table = jsonbridge.rows_to_table(checked, names, ["__path", "__block", "__row"])
-        return jsonbridge.retype_text(table, jsonbridge.text_types(table.select(*[f"`{n}`" for n in names])))
+        found = jsonbridge.infer_columns(checked)
+        return jsonbridge.retype_text(jsonbridge.rows_to_table(checked, list(found), ["__path", "__block", "__row"]), found)
     # one file at a time
     df = tabular.read_arrow(spark, paths[0]) if fmt == "arrow" else read_sqlite(spark, paths[0], options.get("table"))
     return df.select("*", F.lit(paths[0]).alias("__path"), F.lit(0).alias("__block"), place)

@@ -49,8 +49,12 @@ def _parsed(reader: DataFrameReader, records: DataFrame) -> DataFrame:
     return DataFrame(reader._jreader.csv(strings), spark)
 
 
+PLACE = ["__path", "__block", "__row"]
+
+
 def _read_records(spark: SparkSession, records: DataFrame, reader: Callable[[], DataFrameReader], header: bool,
-                  schema: T.StructType | str | None) -> DataFrame:
+                  schema: T.StructType | str | None, options: dict[str, str]) -> DataFrame:
+    """The records as a table, with the place of each."""
     place = F.struct("block", "seq")
     firsts = records.groupBy("file").agg(F.min(place).alias("first"), F.min_by("record", place).alias("head"))
     body = records
@@ -61,25 +65,34 @@ def _read_records(spark: SparkSession, records: DataFrame, reader: Callable[[],
         head = firsts.orderBy("file").select("head").first()
         named = local_table(spark, [(head[0] if head else "",)], "record string")
         schema = _parsed(reader().options(header=header, inferSchema=True), named.unionByName(body.select("record"))).schema
-    return _parsed(reader().option("header", False).schema(schema), body)
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields.fields)
+    place = [F.col(c).alias(n) for c, n in zip(("file", "block", "seq"), PLACE)]
+    return body.select(F.from_csv("record", F.lit(ddl), options).alias("r"), *place).select("r.*", *PLACE)
 
 
 def read_csv(
     spark: SparkSession, path: str | list[str], delimiter: str = "auto", header: bool = True,
-    schema: T.StructType | str | None = None, multiline: bool = True,
+    schema: T.StructType | str | None = None, multiline: bool = True, place: bool = False,
 ) -> DataFrame:
     """CSV scan. ``auto`` finds the delimiter in a pass over the lines; a ``schema`` saves the inference pass.
 
     Line breaks in quotes are part of a cell. Large files are split all the same: a pass over the lines looks for cells that
     go on in the next line, and where there are any, records are put together from lines (see ``csvrecords``).
-    ``multiline=False`` saves that pass where no cell holds a line break.
+    ``multiline=False`` saves that pass where no cell holds a line break. With ``place`` the file of a row and its place in it
+    follow as ``__path, __block, __row``.
     """
     if delimiter == "auto":
         delimiter = sniff_delimiter(spark.read.text(path))
 
+    options = {"sep": delimiter, "quote": '"', "escape": '"'}
+
     def reader() -> DataFrameReader:
-        return spark.read.options(
-            sep=delimiter, quote='"', escape='"', preferDate="true", timestampType="TIMESTAMP_NTZ")
+        return spark.read.options(**options, preferDate="true", timestampType="TIMESTAMP_NTZ")
+
+    def placed(table: DataFrame) -> DataFrame:
+        return table.select("*", plain_path(F.col("_metadata.file_path")).alias("__path"), F.col("_metadata.file_block_start").alias(
+            "__block"), F.monotonically_increasing_id().alias("__row")) if place else table
 
     spark_conf = spark.conf.get("spark.sql.timestampType", "TIMESTAMP_LTZ")
     spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
@@ -88,11 +101,12 @@ def read_csv(
             lines = csv_lines(spark, path, delimiter)
             blocks = line_blocks(lines)
             if not blocks.where("opens = 1").isEmpty():
-                table = _read_records(spark, csv_records(lines, blocks), reader, header, schema)
+                table = _read_records(spark, csv_records(lines, blocks), reader, header, schema, options)
+                table = table if place else table.drop(*PLACE)
                 return table if schema is not None else _widen(table)
         if schema is not None:
-            return reader().option("header", header).schema(schema).csv(path)
-        return _widen(reader().options(header=header, inferSchema=True).csv(path))
+            return placed(reader().option("header", header).schema(schema).csv(path))
+        return placed(_widen(reader().options(header=header, inferSchema=True).csv(path)))
     finally:
         spark.conf.set("spark.sql.timestampType", spark_conf)
 

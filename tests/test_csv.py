@@ -72,3 +72,21 @@ def test_work_is_spread(spark, small_blocks, tmp_path):
     assert lines.rdd.getNumPartitions() > 50 and blocks.count() > 50
     records = csvrecords.csv_records(lines, blocks)
     assert records.count() == 2001 and records.where("record like '%\n%'").count() == 2000
+
+
+def test_places_and_corpus_runs_over_breaks(spark, small_blocks, tmp_path):
+    from tablemill.plans.run import run_corpus
+
+    inbox, out = tmp_path / "inbox", tmp_path / "out"
+    inbox.mkdir()
+    for name in ("a", "b"):
+        (inbox / f"{name}.csv").write_text("id,text\n" + "".join(f'{i},"{name}\n{i}"\n' for i in range(120)))
+    placed = read_csv(spark, str(inbox), ",", place=True)
+    assert placed.columns == ["id", "text", "__path", "__block", "__row"]
+    for name in ("a", "b"):
+        got = placed.where(f"__path like '%/{name}.csv'").orderBy("__block", "__row").collect()
+        assert [(r.id, r.text) for r in got] == [(i, f"{name}\n{i}") for i in range(120)]
+    report = run_corpus(spark, str(inbox), "parquet", str(out), {"template": "{name}"}).collect()
+    assert [(r.state, r.rows) for r in report] == [("completed", 120)] * 2
+    back = spark.read.parquet(str(out))
+    assert back.count() == 240 and back.where("text = 'b\n7'").count() == 1
