@@ -53,8 +53,8 @@ PLACE = ["__path", "__block", "__row"]
 
 
 def _read_records(spark: SparkSession, records: DataFrame, reader: Callable[[], DataFrameReader], header: bool,
-                  schema: T.StructType | str | None, options: dict[str, str]) -> DataFrame:
-    """The records as a table, with the place of each."""
+                  schema: T.StructType | str | None, options: dict[str, str], ordered: bool) -> DataFrame:
+    """The records as a table, with the place of each; ordered, they come as they lie in the files."""
     place = F.struct("block", "seq")
     firsts = records.groupBy("file").agg(F.min(place).alias("first"), F.min_by("record", place).alias("head"))
     body = records
@@ -68,6 +68,8 @@ def _read_records(spark: SparkSession, records: DataFrame, reader: Callable[[],
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields.fields)
     place = [F.col(c).alias(n) for c, n in zip(("file", "block", "seq"), PLACE)]
+    if ordered:
+        body = body.orderBy("file", "block", "seq")
     return body.select(F.from_csv("record", F.lit(ddl), options).alias("r"), *place).select("r.*", *PLACE)
 
 
@@ -101,7 +103,7 @@ def read_csv(
             lines = csv_lines(spark, path, delimiter)
             blocks = line_blocks(lines)
             if not blocks.where("opens = 1").isEmpty():
-                table = _read_records(spark, csv_records(lines, blocks), reader, header, schema, options)
+                table = _read_records(spark, csv_records(lines, blocks), reader, header, schema, options, not place)
                 table = table if place else table.drop(*PLACE)
                 return table if schema is not None else _widen(table)
         if schema is not None:
