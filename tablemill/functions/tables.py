@@ -1,7 +1,8 @@
-"""Small fixed tables."""
+"""Small fixed tables, rows dealt to tasks, values computed once."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,11 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.createDataFrame(table, schema=fields).coalesce(1)
 
 
+def spread(df: DataFrame, rows: int = 5_000) -> DataFrame:
+    """The rows dealt evenly to tasks of about ``rows``, for costly work on each: a compact file is else read by one task."""
+    return df.repartition(max(1, math.ceil(df.count() / rows)))
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns so that each is computed once per row.
 

@@ -72,15 +72,22 @@ MACRO_WARNING = "Holds a macro project; such packages are not opened for writing
 LEGACY_WARNING = "A binary container from before the package formats: only its frame was read, so macros may be inside."
 
 
+def _external_links() -> Column:
+    return count_matches(utf8(F.col("content")), r"""(?i)TargetMode\s*=\s*["']External["']""")
+
+
 def external_relationships(members: DataFrame, archive: str = "archive_id") -> DataFrame:
     """``(archive, external_links)``: external targets in all relationship parts."""
     parts = members.where(F.col("path").endswith(".rels"))
-    hits = count_matches(utf8(F.col("content")), r"""(?i)TargetMode\s*=\s*["']External["']""")
-    return parts.groupBy(archive).agg(F.sum(hits).alias("external_links"))
+    return parts.groupBy(archive).agg(F.sum(_external_links()).alias("external_links"))
 
 
 def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archive_id") -> DataFrame:
-    """One profile per file of ``files (archive, format_id)``; counters that a format does not have are null."""
+    """One profile per file of ``files (archive, format_id)``; counters that a format does not have are null.
+
+    The members are decoded once and grouped once. Files and profiles are as many as the packages, and what decoding makes of
+    a small file is not known beforehand, so neither is ever broadcast.
+    """
     family_of = F.lit(None).cast("string")
     for fmt, name in FORMAT_FAMILY.items():
         family_of = F.when(F.col("format_id") == fmt, name).otherwise(family_of)
@@ -88,14 +95,14 @@ def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archi
     path, text = F.col("path"), utf8(F.col("content"))
     # members that were too large to read count as entries; the profile says that it lacks them
     unread = F.col("error").startswith("PACKAGE_MEMBER_LIMIT")
-    joined = members.where(F.col("error").isNull() | unread).join(known, archive)
+    joined = members.where(F.col("error").isNull() | unread).join(known.hint("merge"), archive)
 
     # the package document of an EPUB: the one its container names, else the first
-    rootfile = F.max(F.when(path == "META-INF/container.xml",
+    ebook = F.col("family") == "ebook"
+    rootfile = F.max(F.when(ebook & (path == "META-INF/container.xml"),
                             F.nullif(F.regexp_extract(text, r"""(?i)full-path=["']([^"']+\.opf)["']""", 1), F.lit(""))))
-    first_opf = F.min(F.when(path.endswith(".opf"), F.struct("idx", "path")))["path"]
-    roots = joined.where(F.col("family") == "ebook").groupBy(archive).agg(F.coalesce(rootfile, first_opf).alias("root"))
-    joined = joined.join(roots, archive, "left")
+    first_opf = F.min(F.when(ebook & path.endswith(".opf"), F.struct("idx", "path")))["path"]
+    in_root = {n: [p for _, p in c if p] for n, c in FAMILIES["ebook"].items() if any(p for _, p in c)}
 
     def tally(name: str) -> Column:
         total = F.lit(None).cast("bigint")
@@ -103,13 +110,16 @@ def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archi
             for member, pattern in counters.get(name, []):
                 where = (F.col("family") == family) & path.rlike(member)
                 if family == "ebook" and pattern:
-                    where = where & (path == F.col("root"))
+                    continue  # counted in the package document
                 value = F.lit(1).cast("bigint") if pattern is None else count_matches(text, pattern)
                 total = F.when(where, value).otherwise(total)
         return F.sum(total).alias(name)
 
-    core = path.isin("docProps/core.xml", "meta.xml") | (path == F.coalesce("root", F.lit("")))
+    core = path.isin("docProps/core.xml", "meta.xml")
     author = F.when(F.col("family") == "odf", xml_value(text, "meta:initial-creator")).otherwise(xml_value(text, "dc:creator"))
+    # facts of a few documents per EPUB, until it is known which of them is its package document
+    document = F.struct(path.alias("path"), xml_value(text, "dc:title").alias("title"), author.alias("author"), *[
+        F.when(ebook, sum((count_matches(text, p) for p in ps[1:]), count_matches(text, ps[0]))).alias(n) for n, ps in in_root.items()])
     fonts = F.lit(None).cast("array<string>")
     for member, pattern in FONTS.items():
         fonts = F.when(path == member, match_values(text, pattern)).otherwise(fonts)
@@ -117,10 +127,16 @@ def inspect_packages(members: DataFrame, files: DataFrame, archive: str = "archi
         F.count(F.lit(1)).alias("package_entries"), F.sum("size").cast("bigint").alias("expanded_size"),
         *[tally(c) for c in [*COUNTERS, "macro_parts"]],
         F.max(F.when(core, xml_value(text, "dc:title"))).alias("title"), F.max(F.when(core, author)).alias("author"),
-        F.max(fonts).alias("fonts"), F.sort_array(F.collect_set(F.when(unread, F.col("error")))).alias("unread"))
-    links = external_relationships(joined.where(F.col("family").isin("writer", "presentation")), archive).withColumnRenamed(
-        "external_links", "rel_links")
-    merged = known.join(totals, archive, "left").join(links, archive, "left")
+        F.max(fonts).alias("fonts"), F.sort_array(F.collect_set(F.when(unread, F.col("error")))).alias("unread"),
+        F.sum(F.when(F.col("family").isin("writer", "presentation") & path.endswith(".rels"), _external_links())).alias("rel_links"),
+        F.coalesce(rootfile, first_opf).alias("root"), F.collect_list(F.when(path.endswith(".opf"), document)).alias("documents"))
+    totals = totals.withColumn("documents", F.filter("documents", lambda d: d["path"] == F.col("root")))
+    for name in in_root:
+        counted = F.aggregate("documents", F.col(name), lambda n, d: F.coalesce(n + d[name], n, d[name]))  # noqa: B023
+        totals = totals.withColumn(name, counted)
+    for name in ("title", "author"):
+        totals = totals.withColumn(name, F.greatest(name, F.array_max(F.transform("documents", lambda d: d[name]))))  # noqa: B023
+    merged = known.join(totals.hint("merge"), archive, "left")
 
     out = merged
     for counter in COUNTERS:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.ordering import running_index
+from tablemill.functions.tables import spread
 from tablemill.functions.text import clean_ass, match_values, xml_value
 from tablemill.operators import archive, inspect, mesh, packages, pages, science, subtitles, validate
 from tablemill.plans.registry import query
@@ -503,8 +504,9 @@ def office_of(kind: pd.Series, title: pd.Series, n: pd.Series) -> pd.Series:
 
 def office_files(t) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ["docx", "pptx", "odt", "epub"])), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t.part.select(F.col("p_partkey").alias("archive_id"), kind.alias("format_id"),
-                         office_of(kind, F.col("p_name"), F.col("p_size")).alias("content"))
+    parts = spread(t.part.select("p_partkey", "p_name", "p_size"))
+    return parts.select(F.col("p_partkey").alias("archive_id"), kind.alias("format_id"),
+                        office_of(kind, F.col("p_name"), F.col("p_size")).alias("content"))
 
 
 @query("i9_i10_package_profile", """

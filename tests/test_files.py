@@ -315,3 +315,22 @@ def test_archives_stop_at_their_budget(spark):
     # a listing holds no contents and says the size of a single member
     sizes = {r.archive_id: r["size"] for r in sources.scan_archive_entries(files).where("archive_id = 'gz'").collect()}
     assert sizes == {"gz": 20_000_000}
+
+
+def test_packages_are_decoded_once_and_never_broadcast(spark, frame):
+    def epub(*members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in members:
+                z.writestr(name, text)
+        return bytearray(out.getvalue())
+
+    second = ("b.opf", "<dc:title>Second</dc:title><dc:creator>Bo</dc:creator><itemref /><itemref />")
+    files = frame([(1, "epub", epub(("a.opf", "<dc:title>First</dc:title><itemref />"), second, ("META-INF/container.xml", '<r full-path="b.opf"/>'))),
+                   (2, "epub", epub(("a.opf", "<dc:title>First</dc:title><itemref />"), second)), (3, "epub", bytearray(b"PK broken"))],
+                  "archive_id bigint, format_id string, content binary")
+    found = packages.inspect_packages(sources.package_members(files, packages.MEMBERS), files)
+    got = {r["archive_id"]: (r["sections"], r["title"], r["author"]) for r in found.collect()}
+    assert got == {1: (2, "Second", "Bo"), 2: (1, "First", None), 3: (0, None, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("MapInPandas") == 1 and "BroadcastHashJoin" not in plan

@@ -211,3 +211,12 @@ def test_columns_and_types_in_one_pass(frame):
     assert bridge.infer_columns(df.where("false")) == {"value": "string"}
     with pytest.raises(ValueError, match="DATA_COLUMN_LIMIT"):
         bridge.infer_columns(df, max_columns=3)
+
+
+def test_costly_rows_are_spread(spark):
+    from tablemill.functions.tables import spread
+
+    packed = spark.range(12_000).coalesce(1)
+    dealt = spread(packed)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.agg(F.sum("id"), F.count("id")).first() == packed.agg(F.sum("id"), F.count("id")).first()
+    assert spread(packed.limit(0)).count() == 0
