@@ -69,7 +69,8 @@ def cells_to_table(cells: DataFrame, columns: Sequence[str | int], header: bool
                         e["col"].alias("col"))
 
     names = once(listed.select(*keys, "__head", "__e"), __cols=F.map_from_entries(F.transform("__e", unique)))
-    joined = rows.join(names.select(*keys, "__head", "__cols"), keys).where(F.col("row") > F.col("__head"))
+    # a row per sheet, of a size no estimate knows: never broadcast
+    joined = rows.join(names.select(*keys, "__head", "__cols").hint("merge"), keys).where(F.col("row") > F.col("__head"))
     return joined.select(*keys, "row", *[
         F.try_element_at("__m", F.try_element_at("__cols", F.lit(c))).alias(str(c)) for c in columns])
 
@@ -118,6 +119,6 @@ def inspect_workbooks(cells: DataFrame, members: DataFrame, archive: str = "arch
               .when(path == "meta.xml", xml_value(text, "meta:initial-creator"))).alias("author"),
         F.max(F.when(path.isin("docProps/core.xml", "meta.xml"), xml_value(text, "dc:title"))).alias("title"),
         F.max(F.when(path == "docProps/app.xml", xml_value(text, "Company"))).alias("company"))
-    joined = sheets.join(facts, "file", "left").na.fill(0, ["named_ranges"]).na.fill(False, ["macros", "date1904"])
+    joined = sheets.join(facts.hint("merge"), "file", "left").na.fill(0, ["named_ranges"]).na.fill(False, ["macros", "date1904"])
     return joined.withColumn("warnings", F.array_compact(F.array(
         F.when(F.col("macros"), MACROS), F.when(F.col("formulas") > 0, FORMULAS)))).drop("formulas")

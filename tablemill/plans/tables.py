@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablemill.functions.tables import spread
 from tablemill.operators import inspect, jsonbridge, validate, workbook
 from tablemill.operators.proof import compare_rows
 from tablemill.plans.registry import TABLES, query
@@ -390,7 +391,7 @@ def xlsx_of(key: pd.Series, name: pd.Series, size: pd.Series) -> pd.Series:
 
 
 def workbooks(t) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("file"), xlsx_of("p_partkey", "p_name", "p_size").alias("content"))
+    return spread(t.part.select("p_partkey", "p_name", "p_size")).select(F.col("p_partkey").alias("file"), xlsx_of("p_partkey", "p_name", "p_size").alias("content"))
 
 
 @query("s8_w2_workbook_table", """
@@ -404,10 +405,13 @@ def workbook_table(spark, t):
 
 @query("w3_formula_mode", "SELECT p_partkey AS file, '=1+' || p_size AS formula, p_size::VARCHAR AS value, 0::BIGINT AS dropped FROM part")
 def formulas(spark, t):
-    cells = workbook_cells(workbooks(t))
+    # both modes read the cells of one decoding
+    path, decoded = work_path(spark, "cells"), workbook_cells(workbooks(t))
+    decoded.write.parquet(path)
+    cells = spark.read.schema(decoded.schema).parquet(path)
     kept = workbook.formula_mode(cells, "preserve").where("formula IS NOT NULL").select("file", "formula", "value")
     gone = workbook.formula_mode(cells, "values").groupBy("file").agg(F.count("formula").alias("dropped"))
-    return kept.join(gone, "file")
+    return kept.join(gone.hint("merge"), "file")  # a row per workbook: too many to broadcast
 
 
 @query("i5_sheet_summary", """

@@ -220,3 +220,13 @@ def test_costly_rows_are_spread(spark):
     dealt = spread(packed)
     assert dealt.rdd.getNumPartitions() == 3 and dealt.agg(F.sum("id"), F.count("id")).first() == packed.agg(F.sum("id"), F.count("id")).first()
     assert spread(packed.limit(0)).count() == 0
+
+
+def test_workbook_queries_spread_and_decode_once(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("i5_sheet_summary", "s8_w2_workbook_table", "i6_workbook_summary", "w3_formula_mode"):
+        plan = entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan, name
+        assert ("MapInPandas" not in plan) if name == "w3_formula_mode" else ("REPARTITION_BY_NUM" in plan), name
