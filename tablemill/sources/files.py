@@ -13,29 +13,56 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.operators.archive import normalize_paths
+from tablemill.sinks.paths import filesystem
 
 PROBE = 262_144
+HEAD_SCHEMES = ("file", "hdfs", "viewfs")  # whose paths Python opens as Spark lists them
 
 
 def scan_files(spark: SparkSession, path: str | list[str], head: int = PROBE) -> DataFrame:
     """``(path, name, size, modified, mime, content)`` with ``content`` cut to the first ``head`` bytes.
 
-    A query that does not use ``content`` reads no file bodies.
+    Of larger files no more than the head is read, whatever their size, where Python knows the file system; elsewhere they are
+    read whole and must stay below 2 GiB. A query that does not use ``content`` reads no file bodies.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"), F.lit("").alias("mime"),
-        F.substring("content", 1, head).alias("content"))
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if not all(_scheme(p, default) in HEAD_SCHEMES for p in ([path] if isinstance(path, str) else path)):
+        return _listed(files, F.substring("content", 1, head))
+    # the filter on the length reaches the source, which opens no other file
+    small = _listed(files.where(F.col("length") <= head), F.col("content"))
+    return small.unionByName(_listed(files.where(F.col("length") > head), _head("path", F.lit(head))))
 
 
 def load_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The same with whole contents, for the decoders (each file up to 2 GiB)."""
-    return scan_files(spark, path, 2**31 - 1)
+    return _listed(spark.read.format("binaryFile").load(path), F.col("content"))
+
+
+def _listed(files: DataFrame, content: Column) -> DataFrame:
+    return files.select(
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified"), F.lit("").alias("mime"), content.alias("content"))
+
+
+def _scheme(path: str, default: str) -> str:
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", path) or re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", default)
+    return found.group(1) if found else "file"
+
+
+@F.pandas_udf(T.BinaryType())
+def _head(path: pd.Series, size: pd.Series) -> pd.Series:
+    """The first bytes of each file, and no others."""
+    def read(path: str, size: int) -> bytes:
+        system, inner = filesystem(path)
+        with system.open_input_file(inner) as stream:
+            return stream.read(size)
+    return pd.Series([read(*row) for row in zip(path, size)], dtype=object)
 
 
 ENTRY_SCHEMA = ("idx bigint, path string, size bigint, compressed_size bigint, type string, directory boolean, "

@@ -334,3 +334,13 @@ def test_packages_are_decoded_once_and_never_broadcast(spark, frame):
     assert got == {1: (2, "Second", "Bo"), 2: (1, "First", None), 3: (0, None, None)}
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("MapInPandas") == 1 and "BroadcastHashJoin" not in plan
+
+
+def test_heads_of_files_of_any_size(spark, tmp_path):
+    with open(tmp_path / "huge.parquet", "wb") as out:  # a sparse file: more than a value can hold
+        out.write(b"PAR1abc")
+        out.truncate(3 << 30)
+    (tmp_path / "small.csv").write_bytes(b"a,b")
+    found = {r["name"]: (r["size"], bytes(r["content"])) for r in sources.scan_files(spark, str(tmp_path), 7).collect()}
+    assert found == {"huge.parquet": (3 << 30, b"PAR1abc"), "small.csv": (3, b"a,b")}
+    assert sources.scan_files(spark, str(tmp_path)).count() == 2
