@@ -227,6 +227,7 @@ def write_sqlite_shards(df: DataFrame, folder: str, affinity: Mapping[str, str]
 
 # ---- archives ----
 
+SHARD_BYTES = 64 << 20  # of content in an archive
 ARCHIVE_ENDINGS = {"zip": ".zip", "tar": ".tar", "tar-gzip": ".tar.gz", "tar-bzip2": ".tar.bz2", "tar-xz": ".tar.xz"}
 
 
@@ -302,7 +303,8 @@ def write_archive_shards(files: DataFrame, folder: str, fmt: str = "zip", level:
                          shards: int | None = None, order: str = "idx") -> None:
     """Pack ``files (idx, path, content)`` into archives, one per shard.
 
-    Paths are made safe and unique over the whole set. Only the small columns take part in that; the contents join
+    An archive is written and read by one task, so there are more than ``shards`` where these would hold more than
+    ``SHARD_BYTES`` of content each. Paths are made safe and unique over the whole set. Only the small columns take part in that; the contents join
     the finished names afterwards. An unsafe path, or one that USTAR cannot hold, is an error.
     """
     from tablemill.functions.text import ustar_split
@@ -321,10 +323,12 @@ def write_archive_shards(files: DataFrame, folder: str, fmt: str = "zip", level:
         unique = unique.withColumn("unique_path", F.when(split.isNotNull(), F.raise_error(split).cast("string"))
                                    .otherwise(F.col("unique_path")))
     packed = files.select(order, "content").join(unique.select(order, "unique_path"), order)
-    spread = packed.repartition(shards, order) if shards else packed
+    if shards:
+        held = files.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+        packed = packed.repartition(max(shards, math.ceil(held / SHARD_BYTES)), order)
     spark = files.sparkSession
     spark.dataSource.register(ArchiveSink)
-    spread.sortWithinPartitions(order).select(F.col("unique_path").alias("path"), "content").write.format(
+    packed.sortWithinPartitions(order).select(F.col("unique_path").alias("path"), "content").write.format(
         "tablemill_archive").mode("append").options(path=folder, fmt=fmt, level=level).save()
 
 

@@ -344,3 +344,16 @@ def test_heads_of_files_of_any_size(spark, tmp_path):
     found = {r["name"]: (r["size"], bytes(r["content"])) for r in sources.scan_files(spark, str(tmp_path), 7).collect()}
     assert found == {"huge.parquet": (3 << 30, b"PAR1abc"), "small.csv": (3, b"a,b")}
     assert sources.scan_files(spark, str(tmp_path)).count() == 2
+
+
+def test_archives_are_bounded(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "SHARD_BYTES", 2_000)
+    data = frame([(i, f"d{i}.txt", bytearray(b"x" * 500)) for i in range(40)], "idx bigint, path string, content binary")
+    for fmt, ending in (("zip", ".zip"), ("tar-gzip", ".tar.gz")):
+        folder = tmp_path / fmt
+        writers.write_archive_shards(data, str(folder), fmt, shards=1)
+        assert len(list(folder.glob("*" + ending))) > 3
+        packed = sources.load_files(spark, f"{folder}/*{ending}").select(F.col("path").alias("archive_id"), "content", F.lit(fmt).alias(
+            "format_id"))
+        got = {(r["path"], bytes(r["content"])) for r in sources.extract_archives(packed).collect()}
+        assert got == {(f"d{i}.txt", b"x" * 500) for i in range(40)}
