@@ -230,3 +230,13 @@ def test_workbook_queries_spread_and_decode_once(spark):
         plan = entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan, name
         assert ("MapInPandas" not in plan) if name == "w3_formula_mode" else ("REPARTITION_BY_NUM" in plan), name
+
+
+def test_distinct_counts_keep_no_sketch_per_value(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["q6_approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = [re.search(r"keys=\[([^\]]*)", line).group(1) for line in plan.splitlines() if "approx_count_distinct(" in line and "keys=" in line]
+    assert keys and not any("l_orderkey" in k for k in keys)
