@@ -6,8 +6,9 @@
 * ``rows_frames`` evaluates window functions over frames of rows. Blocks of consecutive positions take along the rows that
   their frames reach into the neighbours (a halo), so any native function works inside a block.
 * ``ranks`` and ``ntile`` come from positions and prefix counts of distinct values.
-* ``range_join`` finds the intervals that hold a point by equal keys: an interval is a few aligned blocks of ``2 ** STEP`` to a
-  power, a point lies in one block of each size, and exactly one block of an interval holds a point inside it.
+* ``range_join`` finds the intervals that hold a point by equal keys: an interval meets a few aligned blocks of a size by its
+  length, and a point lies in one block of each size. Where the times of a block crowd at the ends of intervals, the pieces there are
+  cut further into blocks of ``2 ** STEP`` to a power, of which exactly one holds a point inside.
 """
 
 from __future__ import annotations
@@ -146,25 +147,59 @@ BLOCKS = f"""aggregate(sequence(1, most), named_struct('at', a, 'out', array_rep
   s -> s.out)"""
 
 
+WIDTH = 3  # bits by which the block sizes of intervals of different lengths differ
+CROWD = 64  # comparisons per row that a block may cost before its times are told apart by smaller blocks
+
+
+def interval_pieces(intervals: DataFrame, low: str, high: str, on: Sequence[str] = ()) -> DataFrame:
+    """``on, __row, __a, __z, __level, __block, __edge``: the 1 to 17 blocks, of a size by its length, that an interval meets.
+
+    ``__edge`` marks blocks that the interval does not fill. Empty intervals and those with a null bound or key have none.
+    """
+    shift = 1 << 60
+    bits = F.length(F.bin(F.col("__z") - F.col("__a"))) - 1
+    row = F.struct(*[F.col(c) for c in intervals.columns]).alias("__row")
+    whole = intervals.select(*on, row, (clock(intervals, low).cast("bigint") + shift).alias("__a"),
+                             (clock(intervals, high).cast("bigint") + shift).alias("__z")).where("__a < __z")
+    for k in on:
+        whole = whole.where(F.col(k).isNotNull())
+    sized = whole.withColumn("__level", (F.greatest(F.floor((bits - 1) / WIDTH), F.lit(0)) * WIDTH).cast("int"))
+    cut = sized.withColumn("__block", F.explode(F.expr("sequence(shiftright(__a, __level), shiftright(__z - 1, __level))")))
+    return cut.withColumn("__edge", F.expr("shiftleft(__block, __level) < __a OR shiftleft(__block + 1, __level) > __z"))
+
+
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, on: Sequence[str] = ()) -> DataFrame:
     """All pairs of a point and an interval of the same keys with ``low <= point < high``.
 
     Whole numbers below ``2 ** 60`` in size, dates or times. Columns of the two sides have different names but for the keys;
     rows with a null key, point or bound find no partner.
     """
-    shift = 1 << 60
-    a, z = clock(intervals, low).cast("bigint") + shift, clock(intervals, high).cast("bigint") + shift
-    whole = intervals.withColumns({"a": a, "z": z}).where("a < z")
-    for k in on:
-        whole = whole.where(F.col(k).isNotNull())
-    longest = whole.agg(F.max(F.col("z") - F.col("a"))).first()[0]
-    # sizes up to that of the longest interval: the largest may occur as often as it fits
-    levels = [l for l in range(0, 61, STEP) if longest is None or 1 << l <= longest][::-1] or [0]
-    most = 2 * (1 << STEP) * len(levels)
-    cut = whole.withColumns({"levels": F.array(*[F.lit(l) for l in levels]), "most": F.lit(most)}).withColumn(
-        "spot", F.explode(F.expr(BLOCKS)))
-    cut = cut.select(*intervals.columns, F.col("spot.level").alias("__level"), F.col("spot.block").alias("__block"))
-    at = clock(points, point).cast("bigint") + shift
-    spots = points.withColumn("__spot", F.explode(F.array(*[F.struct(F.lit(l).alias("level"), F.shiftright(at, l).alias("block")) for l in levels])))
-    spots = spots.where(F.col(point).isNotNull()).select(*points.columns, F.col("__spot.level").alias("__level"), F.col("__spot.block").alias("__block"))
-    return spots.join(cut, [*on, "__level", "__block"]).drop("__level", "__block")
+    pieces = interval_pieces(intervals, low, high, on)
+    # a point lies in one block of each size that occurs: 21 at most, and one where intervals are about equally long
+    levels = sorted(r[0] for r in pieces.select("__level").distinct().collect()) or [0]
+    at = clock(points, point).cast("bigint") + (1 << 60)
+    spots = points.where(F.col(point).isNotNull()).select(*on, F.struct(*[F.col(c) for c in points.columns]).alias("__point"), at.alias(
+        "__at")).withColumn("__spot", F.explode(F.array(*[F.struct(F.lit(l).alias("level"), F.shiftright("__at", l).alias("block")) for l in levels])))
+    spots = spots.select(*on, "__point", "__at", F.col("__spot.level").alias("__level"), F.col("__spot.block").alias("__block"))
+    cell = [*on, "__level", "__block"]
+    inside = (F.col("__at") >= F.col("__a")) & (F.col("__at") < F.col("__z"))
+    out = [*on, *[F.col(f"__point.`{c}`") for c in points.columns if c not in on], *[F.col(f"__row.`{c}`") for c in intervals.columns if c not in on]]
+
+    # pairs in a block that an interval fills are all wanted; at its edges those of one block could be many and none wanted
+    ends = pieces.where("__edge").groupBy(*cell).agg(F.count(F.lit(1)).alias("i"))
+    held = spots.groupBy(*cell).agg(F.count(F.lit(1)).alias("p"))
+    crowded = _saved(ends.join(held, cell).where(F.col("i") * F.col("p") > CROWD * (F.col("i") + F.col("p"))).select(*cell), "crowded")
+    if crowded.isEmpty():
+        return spots.join(pieces, cell).where(inside).select(*out)
+    full = pieces.where("NOT __edge").unionByName(pieces.where("__edge").join(crowded, cell, "left_anti").select(*pieces.columns))
+    pairs = spots.join(full, cell).where(inside).select(*out)
+    edges = pieces.where("__edge").join(crowded, cell, "left_semi").withColumns({
+        "a": F.expr("greatest(__a, shiftleft(__block, __level))"), "z": F.expr("least(__z, shiftleft(__block + 1, __level))")})
+    small = list(range(0, levels[-1] + 1, STEP))
+    most = 2 * (1 << STEP) * len(small)
+    edges = edges.withColumns({"levels": F.array(*[F.lit(l) for l in small[::-1]]), "most": F.lit(most)}).withColumn(
+        "spot", F.explode(F.expr(BLOCKS))).select(*cell, "__row", F.col("spot.level").alias("__l"), F.col("spot.block").alias("__b"))
+    fine = spots.join(crowded, cell, "left_semi").withColumn("__s", F.explode(F.array(*[
+        F.struct(F.lit(l).alias("level"), F.shiftright("__at", l).alias("block")) for l in small]))).select(
+        *cell, "__point", F.col("__s.level").alias("__l"), F.col("__s.block").alias("__b"))
+    return pairs.unionByName(fine.join(edges, [*cell, "__l", "__b"]).select(*out))

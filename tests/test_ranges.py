@@ -104,3 +104,23 @@ def test_weighted_samples(spark):
         again = query.sample_by_weight(df.unionByName(odd).repartition(7), ["g"], 300, F.col("w"), ["id"], seed).collect()
         assert {r.id for r in again} == {r.id for r in got}
     assert 0.68 < heavy / 4500 < 0.80  # 3 of 4, less what is drawn without replacement
+
+
+def test_range_join_cuts_intervals_into_few_pieces(spark):
+    rng = random.Random(3)
+    day = 86_400_000_000
+    spans = spark.createDataFrame([(i, i % 3, (a := rng.randint(0, 30 * day)), a + rng.choice([1, 5, day, day + 1])) for i in range(300)],
+                                  "span int, key int, lo bigint, hi bigint")
+    pieces = ranges.interval_pieces(spans, "lo", "hi", ["key"]).groupBy("__row.span").count()
+    assert pieces.count() == 300 and pieces.agg(F.max("count")).first()[0] <= 17
+
+
+def test_range_join_tells_crowded_edges_apart(spark, monkeypatch):
+    # the points of a block lie just before the intervals that begin in it
+    spans = spark.createDataFrame([(i, 1, 1000 + i, 9000 + i) for i in range(400)], "span int, key int, lo bigint, hi bigint")
+    points = spark.createDataFrame([(i, 1, 700 + i) for i in range(400)] + [(1000 + i, 1, 8900 + i) for i in range(300)],
+                                   "id int, key int, at bigint")
+    want = points.join(spans, "key").where("at >= lo AND at < hi").select("key", "id", "at", "span", "lo", "hi")
+    for crowd in (1, 64):
+        monkeypatch.setattr(ranges, "CROWD", crowd)
+        same(ranges.range_join(points, spans, "at", "lo", "hi", ["key"]).select(want.columns), want)
