@@ -27,13 +27,22 @@ def sniff_delimiter(lines: DataFrame, value: str = "value") -> str:
 
     One pass that counts; a single row per candidate reaches the driver.
     """
-    outside = F.regexp_replace(F.col(value), r'"[^"]*(?:"|$)', "")
-    counts = lines.select(F.posexplode(F.array(*[
-        F.length(F.regexp_replace(outside, rf"[^\{c}]", "")) for c in DELIMITERS])).alias("i", "width"))
-    votes = counts.groupBy("i", "width").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("i").agg(F.max(F.struct("n", "width")).alias("most")).where(F.col("most.width") > 0).orderBy(
-        F.desc("most.n"), F.desc("most.width"), "i").first()
-    return DELIMITERS[best["i"]] if best else ","
+    return _sniff(lines, value)[0]
+
+
+def _sniff(lines: DataFrame, value: str = "value") -> tuple[str, bool]:
+    """The delimiter, and whether any line holds a quote."""
+    quoted = F.contains(F.col(value), F.lit('"'))
+    bare = lines.select(quoted.alias("quoted"), F.when(quoted, F.regexp_replace(value, r'"[^"]*(?:"|$)', "")).otherwise(
+        F.col(value)).alias("outside"))
+    # most lines are alike, so they are counted before the candidates are told apart
+    alike = bare.groupBy("quoted", F.array(*[F.length("outside") - F.length(F.replace("outside", F.lit(c), F.lit("")))
+                                             for c in DELIMITERS]).alias("widths")).agg(F.count(F.lit(1)).alias("n"))
+    votes = alike.select("quoted", "n", F.posexplode("widths").alias("i", "width")).groupBy("i", "width").agg(
+        F.sum("n").alias("n"), F.bool_or("quoted").alias("quoted"))
+    found = votes.groupBy("i").agg(F.max(F.struct("n", "width")).alias("most"), F.bool_or("quoted").alias("quoted")).collect()
+    best = min((r for r in found if r["most"]["width"] > 0), key=lambda r: (-r["most"]["n"], -r["most"]["width"], r["i"]), default=None)
+    return DELIMITERS[best["i"]] if best else ",", any(r["quoted"] for r in found)
 
 
 def _widen(df: DataFrame) -> DataFrame:
@@ -77,7 +86,8 @@ def read_csv(
     spark: SparkSession, path: str | list[str], delimiter: str = "auto", header: bool = True,
     schema: T.StructType | str | None = None, multiline: bool = True, place: bool = False,
 ) -> DataFrame:
-    """CSV scan. ``auto`` finds the delimiter in a pass over the lines; a ``schema`` saves the inference pass.
+    """CSV scan. ``auto`` finds the delimiter in a pass over the lines, and whether there are quotes; a ``schema`` saves the
+    inference pass.
 
     Line breaks in quotes are part of a cell. Large files are split all the same: a pass over the lines looks for cells that
     go on in the next line, and where there are any, records are put together from lines (see ``csvrecords``).
@@ -85,7 +95,8 @@ def read_csv(
     follow as ``__path, __block, __row``.
     """
     if delimiter == "auto":
-        delimiter = sniff_delimiter(spark.read.text(path))
+        delimiter, quoted = _sniff(spark.read.text(path))
+        multiline = multiline and quoted  # without a quote no cell goes on in the next line
 
     options = {"sep": delimiter, "quote": '"', "escape": '"'}
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from tablemill.sources import csvrecords
+from tablemill.sources import csvrecords, tabular
 from tablemill.sources.tabular import read_csv
 
 CELLS = ["", "a", "12", '"q"', '"two ""quotes"""', '"line\nbreak"', '"a,b\n\nc,""\nd"', 'inner"quote', '""', '"\n"', '"x"y', " pad "]
@@ -90,3 +90,9 @@ def test_places_and_corpus_runs_over_breaks(spark, small_blocks, tmp_path):
     assert [(r.state, r.rows) for r in report] == [("completed", 120)] * 2
     back = spark.read.parquet(str(out))
     assert back.count() == 240 and back.where("text = 'b\n7'").count() == 1
+
+
+def test_no_pass_for_open_cells_without_quotes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tabular, "line_blocks", lambda lines: pytest.fail("a pass too many"))
+    (tmp_path / "a.csv").write_text("a;b\n1;x\n2;y,z\n")
+    assert sorted(map(tuple, tabular.read_csv(spark, str(tmp_path)).collect())) == [(1, "x"), (2, "y,z")]
