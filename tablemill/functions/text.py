@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablemill.functions.tables import let
 
 # The white space that ECMAScript's trim() and \s accept, as a Java regex class.
+JS_BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 JS_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
@@ -18,7 +19,9 @@ def plain_path(col: Column) -> Column:
 
 def js_trim(col: Column) -> Column:
     """Trim every kind of white space at both ends (Spark's ``trim`` strips spaces only)."""
-    return F.regexp_replace(col, f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    # the pattern looks at every character; it is left for texts that end with NEL, before which its ``$`` matches too
+    return F.when(F.endswith(col, F.lit("\u0085")), F.regexp_replace(col, f"^{JS_SPACE}+|{JS_SPACE}+$", "")).otherwise(
+        F.btrim(col, F.lit(JS_BLANKS)))
 
 
 def trim_end(col: Column) -> Column:

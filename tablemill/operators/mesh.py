@@ -68,7 +68,9 @@ def _obj_arrays(docs: DataFrame, mesh: str, text: str) -> DataFrame:
 
 def _exploded(arrays: DataFrame, mesh: str) -> tuple[DataFrame, DataFrame]:
     def rows(column: str, names: str) -> DataFrame:
-        return arrays.select(mesh, F.posexplode(column).alias("idx", "s")).select(
+        # the filter that is inferred for an explode would compute the array again, so it is computed first
+        held = once(arrays.select(mesh, column), __a=F.col(column))
+        return held.select(mesh, F.posexplode("__a").alias("idx", "s")).select(
             mesh, F.col("idx").cast("bigint").alias("idx"), *[f"s.{c}" for c in names])
     return rows("points", "xyz"), rows("fans", "abc")
 
@@ -192,19 +194,21 @@ def _guard_error(nv: Column, nt: Column, bad_point: Column, bad_face: Column, ma
 
 def ply_headers(docs: DataFrame, mesh: str = "mesh_id", text: str = "text") -> DataFrame:
     """Header facts per file: counts, positions of x, y and z, body lines, ``error``."""
-    body = unix_lines(F.col(text))
-    end = F.position(F.lit("end_header\n"), body)
+    lined = once(docs.select(mesh, text), __body=unix_lines(F.col(text))).drop(text)
+    placed = once(lined, __end=F.position(F.lit("end_header\n"), F.col("__body")))
+    body, end = F.col("__body"), F.col("__end")
     header = F.substring(body, F.lit(1), F.greatest(end - 1, F.lit(0)))
-    block = r"(?s)(?:^|\n)[ \t]*element[ \t]+{0}[ \t]+(\S+)[^\n]*\n?(.*?)(?=\n[ \t]*element[ \t]|$)"
+    count = r"(?:^|\n)[ \t]*element[ \t]+{0}[ \t]+(\S+)"
+    block = "(?s)" + count + r"[^\n]*\n?(.*?)(?=\n[ \t]*element[ \t]|$)"
     staged = once(
-        docs.select(mesh, text), cut=end == 0, header=header,
-        body=F.split(js_trim(F.substring(body, end + len("end_header\n"), F.length(body))), "\n")).drop(text)
+        placed, cut=end == 0, header=header,
+        body=F.split(js_trim(F.substring(body, end + len("end_header\n"), F.length(body))), "\n")).drop("__body", "__end")
     props = F.regexp_extract_all(F.regexp_extract("header", block.format("vertex"), 2),
                                  F.lit(r"(?m)^[ \t]*property[ \t]+(?:[^\n]*[ \t])?(\S+)[ \t]*$"), F.lit(1))
     listed = once(staged, __props=props)
     facts = once(
         listed, format=F.regexp_extract("header", r"(?:^|\n)(format [^\n]*)", 1),
-        **{f"n_{e}": _whole(F.regexp_extract("header", block.format(e), 1)).cast("int") for e in ("vertex", "face")},
+        **{f"n_{e}": _whole(F.regexp_extract("header", count.format(e), 1)).cast("int") for e in ("vertex", "face")},
         **{f"at_{c}": F.array_position("__props", c).cast("int") for c in "xyz"}).drop("header", "__props")
     counts = F.coalesce((F.col("n_vertex") >= 1) & (F.col("n_face") >= 1), F.lit(False))
     return once(facts, error=(
@@ -286,7 +290,7 @@ def serialize_mesh(vertices: DataFrame, triangles: DataFrame, fmt: str, mesh: st
         raise ValueError(f"MESH_FORMAT_UNSUPPORTED: {fmt}")
     lines = vertices.select(mesh, F.lit(1).alias("section"), "idx", v_line.alias("line")).union(
         triangles.select(mesh, F.lit(2), "idx", t_line))
-    sorted_lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda s: s["line"])
+    sorted_lines = F.sort_array(F.collect_list(F.struct("idx", "line")))["line"]
     parts = lines.groupBy(mesh, "section", int_range("idx", rows).alias("part")).agg(
         F.concat(F.array_join(sorted_lines, "\n"), F.lit("\n")).alias("text"))
     first = (F.col("section") == 1) & (F.col("part") == 0)

@@ -45,8 +45,7 @@ def clock_sql(ms: str, dot: str) -> str:
 def whole(parts: DataFrame, key: str) -> DataFrame:
     """The parts of small files put together."""
     piece = F.struct(*[c for c in ("section", "part") if c in parts.columns], "text")
-    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "")
-                                  .alias("text"))
+    return parts.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(piece))["text"], "").alias("text"))
 
 
 @query("t5_serialize_srt", f"""

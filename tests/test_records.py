@@ -190,3 +190,24 @@ def test_intake_takes_each_file_once(spark, tmp_path):
     ingest_available(spark, *where).awaitTermination()
     ingest_available(spark, *where).awaitTermination()
     assert sorted((r["name"], r["format_id"]) for r in spark.read.parquet(where[1]).collect()) == [("a.json", "json-data"), ("b.vtt", "vtt")]
+
+
+def test_mesh_arrays_are_computed_once(frame):
+    """The filter inferred for an explode must not parse the document again."""
+    docs = frame([(1, "v 1 2 3\nv 4 5 6\nv 7 8 9\nf 1 2 3\n")], "mesh_id bigint, text string")
+    for parse in (mesh.parse_obj, mesh.parse_ply):
+        for table in parse(docs):
+            plan = table._jdf.queryExecution().optimizedPlan().toString()
+            filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+            assert not any("transform(" in line for line in filters), plan
+
+
+def test_js_trim_is_the_pattern_it_stands_for(frame):
+    from tablemill.functions.text import JS_SPACE, js_trim
+
+    blanks = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or c in (0, 0x85, 0x180E, 0x200B, 0xFEFF))]
+    values = [None, "", " ", "a", "\r\n a b \u0085", "a \n\u0085\n"] + [t for b in blanks for t in (b, b + "a", "a" + b, f" {b} a{b}b {b} ")]
+    rows = frame([(v,) for v in values], "v string")
+    old = F.regexp_replace("v", f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    wrong = rows.where(~js_trim(F.col("v")).eqNullSafe(old)).collect()
+    assert not wrong
