@@ -43,13 +43,14 @@ def reconstruct_lines(runs: DataFrame, tolerance: float = 2.0, chunk: int = 20_0
             return drop if abs(drop) > tolerance else x[i] - x[j]
         return np.array(sorted(range(len(x)), key=cmp_to_key(compare)), dtype=np.int64)
 
+    def joined(words: list[str]) -> str:
+        return JS_BLANKS.sub(" ", " ".join(words)).strip(" ")
+
     def lines(x, y, text) -> list[tuple[float, str]]:
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        flat = np.ptp(y) <= tolerance
-        sequence = np.argsort(x, kind="stable") if flat else order(x, y)
+        sequence = order(x, y)
         # the line of each run is the earliest anchor that is near enough
         anchors, line_of = [y[sequence[0]]], np.zeros(len(x), np.int64)
-        for i in () if flat else sequence[1:]:
+        for i in sequence[1:]:
             near = np.flatnonzero(np.abs(np.array(anchors) - y[i]) <= tolerance)
             line_of[i] = near[0] if len(near) else len(anchors)
             if not len(near):
@@ -57,8 +58,25 @@ def reconstruct_lines(runs: DataFrame, tolerance: float = 2.0, chunk: int = 20_0
         words = [[] for _ in anchors]
         for i in sequence:
             words[line_of[i]].append(text[i])
-        return [(float(anchors[k]), JS_BLANKS.sub(" ", " ".join(words[k])).strip(" "))
-                for k in np.argsort(-np.array(anchors), kind="stable")]
+        return [(float(anchors[k]), joined(words[k])) for k in np.argsort(-np.array(anchors), kind="stable")]
+
+    def bands_of(rows: pd.DataFrame, starts: np.ndarray, end: int) -> pd.DataFrame:
+        """The lines of whole bands; bands within the tolerance are one line, sorted from left to right all at once."""
+        x, y = rows["x"].to_numpy(float)[:end], rows["y"].to_numpy(float)[:end]
+        sizes = np.diff(np.append(starts, end))
+        flat = np.maximum.reduceat(y, starts) - np.minimum.reduceat(y, starts) <= tolerance
+        left = np.lexsort((x, np.repeat(np.arange(len(starts)), sizes)))
+        text = rows["str"].to_numpy()[:end]
+        text, words, heights = text.tolist(), text[left].tolist(), y[left[starts]].tolist()
+        out = []
+        for k, (a, n, one) in enumerate(zip(starts.tolist(), sizes.tolist(), flat.tolist())):
+            if one:
+                out.append((k, 0, heights[k], joined(words[a:a + n])))
+            else:
+                out += [(k, i, height, line) for i, (height, line) in enumerate(lines(x[a:a + n], y[a:a + n], text[a:a + n]))]
+        band, line, height, content = zip(*out)
+        found = rows[["doc", "page", "band"]].iloc[starts[list(band)]].reset_index(drop=True)
+        return found.assign(line=np.array(line), y=np.array(height), text=list(content))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -66,16 +84,17 @@ def reconstruct_lines(runs: DataFrame, tolerance: float = 2.0, chunk: int = 20_0
             rows = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
             if rows is None or rows.empty:
                 continue
-            keys = list(zip(rows["doc"], rows["page"], rows["band"]))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            new = np.ones(len(rows), bool)
+            for name in ("doc", "page", "band"):
+                key = rows[name].to_numpy()
+                new[1:] = key[1:] != key[:-1] if name == "doc" else new[1:] | (key[1:] != key[:-1])
+            starts, end = np.flatnonzero(new), len(rows)
             # the last band may go on in the next batch
-            held = None if batch is None else rows.iloc[cuts[-2]:].reset_index(drop=True)
-            x, y, text, out = rows["x"].tolist(), rows["y"].tolist(), rows["str"].tolist(), []
-            for a, b in zip(cuts, cuts[1:] if batch is None else cuts[1:-1]):
-                for n, (height, line) in enumerate(lines(x[a:b], y[a:b], text[a:b])):
-                    out.append((*keys[a], n, height, line))
-            if out:
-                yield pd.DataFrame(out, columns=["doc", "page", "band", "line", "y", "text"])
+            held = None
+            if batch is not None:
+                held, end, starts = rows.iloc[starts[-1]:].reset_index(drop=True), int(starts[-1]), starts[:-1]
+            if len(starts):
+                yield bands_of(rows, starts, end)
 
     types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
     schema = LINE_SCHEMA.format(doc=types["doc"], page=types["page"])

@@ -211,3 +211,19 @@ def test_js_trim_is_the_pattern_it_stands_for(frame):
     old = F.regexp_replace("v", f"^{JS_SPACE}+|{JS_SPACE}+$", "")
     wrong = rows.where(~js_trim(F.col("v")).eqNullSafe(old)).collect()
     assert not wrong
+
+
+def test_level_and_rough_bands_across_batches(spark, frame):
+    """Bands within the tolerance are one line each, from left to right, also where a batch ends inside of one."""
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        level = [(1, 1, 10 * n + k, float(-k), 100.0 - 10 * n + k % 2, f"w{n}\u00a0 {k}") for n in range(5) for k in range(4)]
+        rough = [(1, 2, 0, 0.0, 50.0, "a"), (1, 2, 1, 1.0, 48.5, "b"), (1, 2, 2, 0.0, 47.0, "c"), (2, 1, 0, float("nan"), 1.0, "z"),
+                 (2, 1, 1, 5.0, 1.0, "y"), (2, 1, 2, 5.0, 1.0, "x")]
+        rows = pages.reconstruct_lines(frame(level + rough, "doc int, page int, seq int, x double, y double, str string")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    got = sorted((r["doc"], r["page"], r["band"], r["line"], r["y"], r["text"]) for r in rows)
+    assert got == [(1, 1, n, 0, 101.0 - 10 * n, f"w{n} 3 w{n} 2 w{n} 1 w{n} 0") for n in range(5)] + [
+        (1, 2, 0, 0, 50.0, "a b"), (1, 2, 0, 1, 47.0, "c"), (2, 1, 0, 0, 1.0, "y x z")]
