@@ -54,3 +54,12 @@ def test_one_document_is_read_by_many_tasks(spark, small_blocks, tmp_path):
     assert len(per_block) > 40 and max(per_block) < 100
     table = read_json(spark, str(tmp_path))
     assert table.count() == 2000 and table.columns == ["id", "name", "tags"]
+
+
+def test_no_piece_or_element_inside_a_block_is_shuffled(spark, small_blocks, tmp_path):
+    small_blocks(20_000)
+    texts = ["a, \"b\" \\\\, " * 20 + str(i) for i in range(800)]
+    (tmp_path / "a.json").write_text(json.dumps(texts))
+    rows = json_document_rows(spark, str(tmp_path), 0)
+    assert [r.json for r in rows.orderBy("row_index").collect()] == list(map(json.dumps, texts))
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
