@@ -18,6 +18,8 @@ from tablemill.session import tune, work_path
 VOCABULARY = "byte_bpe_50k.json"
 # A cluster passes its own secret here.
 KEY = "tablemill"
+# Python workers live on from stage to stage, so the last one holds a part of what it would hold alone.
+PART = 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids and places in sequences of 2048."""
-    pieces = packing.tokenise(docs, public_tokenizers.path(VOCABULARY))
+    pieces = packing.tokenise(docs, public_tokenizers.path(VOCABULARY), part=PART)
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "sequence_id", "offset", "ids")
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.units import TextEncoder, slices
+from tablemill.llm.units import GROUP, TextEncoder, slices
 from tablemill.session import work_path
 
 CAPACITY = 2048
@@ -35,6 +35,7 @@ SLACK = 8
 JOINED = 2000  # unknown units encoded by one call of the library
 CACHED = 150_000  # units that a Python worker holds
 WORDS = 300_000  # words and runs of signs that it holds
+SLICE = 8 << 20  # bytes of texts encoded between two batches of pieces
 # A word of Latin letters and signs that can only be a piece of their own, and perhaps the same on the next line.
 LETTERS, SIGNS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[.,;:!?]{0,4}"
 PLAIN = re.compile(rf"( {LETTERS})({SIGNS})(?:(\n)({LETTERS})({SIGNS}))?")
@@ -44,14 +45,18 @@ PIECES = "doc_id {key}, piece int, start bigint, length bigint, piece_id bigint,
 BIN = "fill int, members array<struct<piece_id:bigint,length:int>>"
 
 
-def tokenise(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, piece_id, ids`` (32-bit little endian)."""
+def tokenise(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY,
+             part: int = 1) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, piece_id, ids`` (32-bit little endian).
+
+    With ``part`` a worker holds that part of the usual words, units and texts, for executors that other steps fill too.
+    """
     schema = PIECES.format(key=df.schema[key].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(vocabulary)
+        encode = library_encoder(vocabulary, part)
         number, step = TaskContext.get().partitionId() << 40, capacity * 4
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE // part):
             out: list[list] = [[], [], [], [], [], []]
             for k, ids in zip(batch.column(0), encode.batch(batch.column(1).to_pylist())):
                 ids += END
@@ -62,6 +67,8 @@ def tokenise(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
                         column.append(value)
                     number, at, end = number + 1, end, end + step
             yield _batch(out, batch.schema.field(0).type)
+        # the worker lives on, what Arrow keeps for it need not
+        pa.default_memory_pool().release_unused()
 
     path = work_path(df.sparkSession, "pieces")
     pieces = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
@@ -70,7 +77,7 @@ def tokenise(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
 
 
 @functools.cache
-def library_encoder(vocabulary: str) -> TextEncoder:
+def library_encoder(vocabulary: str, part: int = 1) -> TextEncoder:
     """One encoder per Python worker, kept from task to task with what it has seen."""
     from tokenizers import Tokenizer
 
@@ -88,7 +95,7 @@ def library_encoder(vocabulary: str) -> TextEncoder:
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @functools.lru_cache(WORDS)
+    @functools.lru_cache(WORDS // part)
     def piece(text: str) -> bytes:
         spelled = SPACE + text[1:] if text.isascii() and text[0] == " " else "".join(map(spelling.__getitem__, text.encode()))
         return array("I", [token.id for token in tokenize(spelled)]).tobytes()
@@ -119,7 +126,7 @@ def library_encoder(vocabulary: str) -> TextEncoder:
             out += [data[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    return TextEncoder(whole, many, CACHED)
+    return TextEncoder(whole, many, CACHED // part, GROUP // part)
 
 
 def _batch(out: list[list], key: pa.DataType) -> pa.RecordBatch:

@@ -24,8 +24,9 @@ class TextEncoder:
     ``whole`` encodes one text, ``many`` a list of units that each start with a space.
     """
 
-    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]], cached: int = CACHED):
-        self.whole, self.many, self.cached = whole, many, cached
+    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]], cached: int = CACHED,
+                 together: int = GROUP):
+        self.whole, self.many, self.cached, self.together = whole, many, cached, together
         self.cache: dict[str, bytes | None] = {}  # None: not a unit by itself
         self.old: dict[str, bytes | None] = {}
 
@@ -45,7 +46,7 @@ class TextEncoder:
                 continue
             group.append(text)
             held += len(text)
-            if held > GROUP:
+            if held > self.together:
                 out += self._group(group)
                 group, held = [], 0
         return out + self._group(group)

@@ -211,6 +211,16 @@ def test_units_against_the_library():
     assert encode.batch(texts) == want
 
 
+def test_the_pipeline_holds_a_part_of_the_units(monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(packing, "TextEncoder", lambda whole, many, *held: asked.append(held) or (many, held))
+    whole, part = (packing.library_encoder.__wrapped__(public_tokenizers.path("byte_bpe_50k.json"), n) for n in (1, corpus_pipeline.PART))
+    assert part[0]([" some", " units,"]) == whole[0]([" some", " units,"])
+    assert all(2 * b <= a for a, b in zip(*asked)) and len(asked[0]) == 2
+
+
 def test_packing_rounds_are_tight(spark, monkeypatch):
     monkeypatch.setattr(packing, "TASK_ITEMS", 300)
     rows = spark.range(4000).select(F.col("id").alias("piece_id"), (1 + F.pmod(F.xxhash64("id"), F.lit(900))).alias("length"))
