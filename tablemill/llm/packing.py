@@ -15,17 +15,18 @@ columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import functools
-import re
+import os
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.units import GROUP, TextEncoder, slices
+from tablemill.llm.units import GROUP, Recent, TextEncoder, slices
 from tablemill.session import work_path
 
 CAPACITY = 2048
@@ -33,12 +34,12 @@ END = (0).to_bytes(4, "little")
 TASK_ITEMS = 20_000
 SLACK = 8
 JOINED = 2000  # unknown units encoded by one call of the library
-CACHED = 150_000  # units that a Python worker holds
-WORDS = 300_000  # words and runs of signs that it holds
+CACHED = 800_000  # units that a Python worker holds
+WORDS = 800_000  # words and runs of signs that it holds
 SLICE = 8 << 20  # bytes of texts encoded between two batches of pieces
 # A word of Latin letters and signs that can only be a piece of their own, and perhaps the same on the next line.
-LETTERS, SIGNS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[.,;:!?]{0,4}"
-PLAIN = re.compile(rf"( {LETTERS})({SIGNS})(?:(\n)({LETTERS})({SIGNS}))?")
+LETTERS, SIGNS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[.,;:!?]{0,4}"
+PLAIN = rf"\A(?P<word> {LETTERS})(?P<signs>{SIGNS})(?:\n(?P<more>{LETTERS})(?P<last>{SIGNS}))?\z"
 SPACE = "\u0120"  # how the vocabulary spells a leading space
 
 PIECES = "doc_id {key}, piece int, start bigint, length bigint, piece_id bigint, ids binary"
@@ -79,6 +80,7 @@ def tokenise(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
 @functools.cache
 def library_encoder(vocabulary: str, part: int = 1) -> TextEncoder:
     """One encoder per Python worker, kept from task to task with what it has seen."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
@@ -92,35 +94,42 @@ def library_encoder(vocabulary: str, part: int = 1) -> TextEncoder:
     spelling = [chr(b) for b in range(256)]
     for n, b in enumerate(hidden):
         spelling[b] = chr(256 + n)
+
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @functools.lru_cache(WORDS // part)
     def piece(text: str) -> bytes:
-        spelled = SPACE + text[1:] if text.isascii() and text[0] == " " else "".join(map(spelling.__getitem__, text.encode()))
+        spelled = SPACE + text[1:] if text.isascii() and text[:1] == " " else "".join(map(spelling.__getitem__, text.encode()))
         return array("I", [token.id for token in tokenize(spelled)]).tobytes()
 
+    words = Recent(lambda texts: list(map(piece, texts)), WORDS // part)
+
     def many(units: list[str]) -> list[bytes]:
-        """Plain words and their signs, which are pieces each, go to the model itself; others through all."""
+        """Plain words and their signs are pieces each, so each different one is encoded once; other units through all."""
+        found = pc.extract_regex(pa.array(units, pa.string()), PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        word, signs, more, last = found.drop_null().flatten()
         out: list[bytes] = [b""] * len(units)
-        others = []
-        for i, unit in enumerate(units):
-            found = PLAIN.fullmatch(unit)
-            if found:
-                word, signs, line, more, last = found.groups()
-                ids = piece(word) + piece(signs) if signs else piece(word)
-                out[i] = b"".join([ids, piece(line), piece(more), piece(last) if last else b""]) if line else ids
-            else:
-                others.append(i)
+        others = np.flatnonzero(~plain).tolist()
         for i, ids in zip(others, joined([units[i] for i in others])):
             out[i] = ids
+        if len(word):
+            line = pc.if_else(pc.equal(more, ""), "", "\n")
+            coded = pa.concat_arrays([word, signs, line, more, last]).dictionary_encode()
+            # the pieces of a unit follow each other
+            number = words.numbers(coded).reshape(5, -1).T.ravel()
+            ids, ends = words.gather(number, words.sizes[number])
+            ends = [0, *(ends[4::5] * 4).tolist()]
+            for i, a, b in zip(np.flatnonzero(plain).tolist(), ends, ends[1:]):
+                out[i] = ids[a:b]
         return out
 
     def joined(units: list[str]) -> list[bytes]:
         # a text of units has exactly one token that opens with the space for each of them
         out: list[bytes] = []
         for at in range(0, len(units), JOINED):
-            ids = np.array(tokenizer.encode("".join(units[at:at + JOINED]), add_special_tokens=False).ids, "<u4")
+            text = "".join(units[at:at + JOINED])
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = [*(np.flatnonzero(opens[ids])[1:] * 4).tolist(), len(ids) * 4]
             data = ids.tobytes()
             out += [data[a:b] for a, b in zip([0, *ends], ends)]

@@ -16,19 +16,58 @@ import pyarrow.compute as pc
 SLICE = 1 << 20  # characters looked at together, so that a very long text needs no list of all its units
 GROUP = 4 << 20  # characters of short texts looked at together
 CACHED = 1_500_000  # units held by a Python worker
+BYTES = 64  # of a unit and its ids; longer ones count as several
 
 
-class TextEncoder:
+class Recent:
+    """The ids of the strings met last, as Arrow and numpy data: what is looked up again costs no Python a string.
+
+    ``many`` encodes a list of strings. Beyond ``cached`` of them, or ``BYTES`` for each, the older half is forgotten.
+    """
+
+    def __init__(self, many: Callable[[list[str]], list[bytes]], cached: int):
+        self.many, self.cached = many, cached
+        self.strings = pa.array([], pa.string())
+        self.ids, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64)
+
+    def make(self, unknown: list[str]) -> list[bytes | None]:
+        return self.many(unknown)
+
+    def numbers(self, strings: pa.DictionaryArray) -> np.ndarray:
+        """Where the strings are held until the next call."""
+        while len(self.strings) > self.cached or self.strings.nbytes + self.ids.nbytes > self.cached * BYTES:
+            half = -(-len(self.strings) // 2)
+            self.ids = self.ids[np.maximum(self.sizes[:half], 0).sum():]
+            self.strings, self.sizes = self.strings[half:], self.sizes[half:]
+        at = pc.index_in(strings.dictionary, value_set=self.strings)
+        new = at.is_null()
+        at = at.fill_null(-1).to_numpy()
+        if unknown := strings.dictionary.filter(new):
+            at = np.where(at < 0, len(self.strings) + np.cumsum(new.to_numpy(zero_copy_only=False)) - 1, at)
+            ids = self.make(unknown.to_numpy(zero_copy_only=False).tolist())
+            self.strings = pa.concat_arrays([self.strings, unknown])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(i or b"" for i in ids), "<u4")])
+            self.sizes = np.concatenate([self.sizes, [-1 if i is None else len(i) // 4 for i in ids]])
+        return at[strings.indices.to_numpy()]
+
+    def gather(self, number: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of the strings of these numbers, packed, and where those of each end."""
+        held = np.maximum(self.sizes, 0)
+        begin, stop = np.cumsum(held) - held, np.cumsum(sizes)
+        return self.ids[np.repeat(begin[number] - (stop - sizes), sizes) + np.arange(stop[-1])].tobytes(), stop
+
+
+class TextEncoder(Recent):
     """Texts to little-endian unsigned 32-bit ids.
 
-    ``whole`` encodes one text, ``many`` a list of units that each start with a space.
+    ``whole`` encodes one text, ``many`` a list of units that each start with a space. What is not a unit by itself has
+    the size -1.
     """
 
     def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]], cached: int = CACHED,
                  together: int = GROUP):
-        self.whole, self.many, self.cached, self.together = whole, many, cached, together
-        self.cache: dict[str, bytes | None] = {}  # None: not a unit by itself
-        self.old: dict[str, bytes | None] = {}
+        super().__init__(many, cached)
+        self.whole, self.together = whole, together
 
     def __call__(self, text: str | None) -> bytes:
         return self.batch([text])[0]
@@ -51,20 +90,10 @@ class TextEncoder:
                 group, held = [], 0
         return out + self._group(group)
 
-    def _learn(self, tokens: Sequence[str]) -> None:
-        """Hold all the tokens. A full cache becomes the old one, from which what is met again comes back."""
-        new = [t for t in tokens if t not in self.cache]
-        if len(self.cache) + len(new) > self.cached // 2:
-            self.old, self.cache, new = self.cache, {}, tokens
-        unknown = []
-        for t in new:
-            if t in self.old:
-                self.cache[t] = self.old[t]
-            elif t and not t[0].isspace() and not t[-1].isspace():
-                unknown.append(t)
-            else:
-                self.cache[t] = None
-        self.cache.update(zip(unknown, self.many([" " + u for u in unknown])))
+    def make(self, unknown: list[str]) -> list[bytes | None]:
+        fits = [u != "" and u == u.strip() for u in unknown]
+        ids = iter(self.many([" " + u for u, fit in zip(unknown, fits) if fit]))
+        return [next(ids) if fit else None for fit in fits]
 
     def _group(self, texts: list[str]) -> list[bytes]:
         """Short texts together: each different token is looked up once, ids are gathered by number."""
@@ -72,19 +101,11 @@ class TextEncoder:
             return []
         split = pc.split_pattern(pa.array(texts, pa.string()), " ")
         ends = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        tokens, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        self._learn(tokens)
-        ids = list(map(self.cache.__getitem__, tokens))
-        size = np.array([-1 if i is None else len(i) // 4 for i in ids])
-        pool = np.frombuffer(b"".join(i or b"" for i in ids), "<u4")
-        begin = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
-        many = size[number]
-        many[ends[:-1]] = 0  # the first token of a text follows no space
-        odd = np.add.reduceat(many < 0, ends[:-1])
-        many = np.maximum(many, 0)
-        stop = np.cumsum(many)
-        flat = pool[np.repeat(begin[number] - (stop - many), many) + np.arange(stop[-1])].tobytes()
+        number = self.numbers(split.flatten().dictionary_encode())
+        sizes = self.sizes[number]
+        sizes[ends[:-1]] = 0  # the first token of a text follows no space
+        odd = np.add.reduceat(sizes < 0, ends[:-1])
+        flat, stop = self.gather(number, np.maximum(sizes, 0))
         cut = [0, *(stop[ends[1:] - 1] * 4).tolist()]
         out = []
         for k, text in enumerate(texts):
@@ -104,12 +125,11 @@ class TextEncoder:
             end = text.rfind(" ", at + 1, at + SLICE) if len(text) - at > SLICE else len(text)
             end = text.find(" ", at + SLICE) if end < 0 else end
             end = len(text) if end < 0 else end
-            tokens = text[at + 1:end].split(" ")
-            self._learn(list(set(tokens)))
-            try:
-                parts.append(b"".join(map(self.cache.__getitem__, tokens)))
-            except TypeError:
+            number = self.numbers(pa.array(text[at + 1:end].split(" "), pa.string()).dictionary_encode())
+            sizes = self.sizes[number]
+            if (sizes < 0).any():
                 return self.whole(text)
+            parts.append(self.gather(number, sizes)[0])
             at = end
         return b"".join(parts)
 

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from tablemill.llm import (automaton, bpe, chat, codes, exactdedup, lexical, linededup, minhash, packing, pii, sharding, shingles, substrings,
-                           superminhash, topk, toxicity)
+                           superminhash, topk, toxicity, units)
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, source string, digest string, n int, id int"
@@ -211,6 +211,30 @@ def test_units_against_the_library():
     assert encode.batch(texts) == want
 
 
+def test_units_met_before_are_not_encoded_again(monkeypatch):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encode, asked = packing.library_encoder.__wrapped__(vocabulary), []
+    many = encode.many
+    monkeypatch.setattr(encode, "many", lambda found: asked.extend(found) or many(found))
+    texts = [" ".join(f"w{k}x{i}" for i in range(50_000)) for k in range(4)]
+    ids = [encode(t) for t in texts]
+    assert [encode(t) for t in texts] == ids and len(asked) == len(set(asked))
+
+
+def test_units_held_are_bounded(monkeypatch):
+    """Also long ones, and the texts that are cut, as small as what is held."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(vocabulary), packing.library_encoder.__wrapped__(vocabulary)
+    monkeypatch.setattr(units, "SLICE", 200)
+    encode.cached = 10
+    for k in range(30):
+        for text in (f"some {k * 'long'} {k}\n words", f"Again{k} the, " * 40 + "end\n", f"a  {k}" + " double" * 40 + "  ", " ".join(map(str, range(k * 9)))):
+            assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for _ in range(2):
+        encode("x")
+    assert len(encode.strings) <= 11 and encode.strings.nbytes <= 11 * units.BYTES
+
+
 def test_the_pipeline_holds_a_part_of_the_units(monkeypatch):
     import corpus_pipeline
 
