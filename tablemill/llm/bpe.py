@@ -27,7 +27,7 @@ from tablemill.llm.units import TextEncoder, id_lists, slices
 
 
 # Held by a Python worker: matches with their ids, and space-separated units with theirs.
-PIECES, UNITS = 300_000, 650_000
+PIECES, UNITS = 300_000, 1_300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
