@@ -45,6 +45,12 @@ def _saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that deals both by the key: Spark sizes exploded bands, pruned columns and packed files far
+    too low, and what it takes for small goes through the driver's memory to every task."""
+    return df.hint("merge")
+
+
 def _digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
@@ -96,7 +102,7 @@ def _sets(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
 
     texts = df.select(F.struct(F.col(key).cast("bigint").alias("doc_id"), _mark(F.col(text)).alias("mark")).alias("name"),
                       F.col(text).alias("text"))
-    return wanted.join(texts, "name").select("node", "digest", "text").mapInArrow(
+    return _dealt(wanted).join(texts, "name").select("node", "digest", "text").mapInArrow(
         run, "node bigint, elements array<bigint>").dropDuplicates(["node"])
 
 
@@ -116,7 +122,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(_dealt(left), "a").join(_dealt(right), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -129,11 +135,11 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "links")
     labels = _saved(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "other", "label": "next"}), "other").groupBy("node").agg(
+        near = both.join(_dealt(labels.withColumnsRenamed({"node": "other", "label": "next"})), "other").groupBy("node").agg(
             F.min("next").alias("next"))
-        spread = labels.join(near, "node").select("node", "label", F.least("label", "next").alias("next"))
+        spread = labels.join(_dealt(near), "node").select("node", "label", F.least("label", "next").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = _saved(spread.join(jump, "next").select("node", F.col("label").alias("old"),
+        new = _saved(spread.join(_dealt(jump), "next").select("node", F.col("label").alias("old"),
                                                       F.least("next", "far").alias("label")), "labels")
         if new.where("old <> label").isEmpty():
             return new.select("node", "label")
@@ -142,13 +148,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def _relabelled(df: DataFrame, merged: DataFrame) -> DataFrame:
     """``df`` with the groups that ``merged (label, new)`` unites under one label."""
-    return df.join(merged, "label", "left").withColumn("label", F.coalesce("new", "label")).select(*df.columns)
+    return df.join(_dealt(merged), "label", "left").withColumn("label", F.coalesce("new", "label")).select(*df.columns)
 
 
 def _mixed(members: DataFrame) -> DataFrame:
     """The rows of ``members (bucket, node, label)`` whose bucket holds several groups."""
     mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return members.join(mixed.select("bucket"), "bucket", "left_semi")
+    return members.join(_dealt(mixed.select("bucket")), "bucket", "left_semi")
 
 
 def _spokes(members: DataFrame, turn: int) -> DataFrame:
@@ -156,32 +162,32 @@ def _spokes(members: DataFrame, turn: int) -> DataFrame:
     draw = F.xxhash64("node", F.lit(turn)) if turn else -F.col("centre")
     drawn = F.struct(draw.alias("draw"), F.col("node").alias("node"), F.col("label").alias("label"))
     hubs = members.groupBy("bucket").agg(F.min(drawn).alias("hub"))
-    pairs = members.join(hubs, "bucket").where(F.col("label") != F.col("hub.label"))
+    pairs = members.join(_dealt(hubs), "bucket").where(F.col("label") != F.col("hub.label"))
     return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.label").alias("label_a"),
                         F.col("label").alias("label_b")).distinct()
 
 
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups among ``open_ (node, label)`` that may be similar enough; none that is gets lost."""
-    elements = open_.join(sets, "node").select("node", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    elements = open_.join(_dealt(sets), "node").select("node", F.size("elements").alias("n"), F.explode("elements").alias("e"))
     shared = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # ceil(percent n / 100) of a set's elements must be in the other one
     reach = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
-    held = elements.join(shared, "e")
+    held = elements.join(_dealt(shared), "e")
     later = held.groupBy("node").agg((F.max("n") - F.count(F.lit(1))).alias("alone"), F.max("n").alias("m")).withColumn(
         "reach", F.expr(f"m - (m * {percent} + 99) div 100 + 1")).where("alone < reach").select("node", "alone")
     order = Window.partitionBy("node").orderBy("df", "e")
-    placed = held.join(later, "node").withColumn("at", F.col("alone") + F.row_number().over(order) - 1).where(
-        F.col("at") < reach).join(open_, "node").select("e", "node", "label", "n", "at")
+    placed = held.join(_dealt(later), "node").withColumn("at", F.col("alone") + F.row_number().over(order) - 1).where(
+        F.col("at") < reach).join(_dealt(open_), "node").select("e", "node", "label", "n", "at")
     placed = _saved(placed, "prefixes")
     mixed = placed.groupBy("e").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("e")
-    placed = placed.join(mixed, "e")
+    placed = placed.join(_dealt(mixed), "e")
     left = placed.select("e", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at")])
     right = placed.select("e", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at")])
     most = "(1 + least(n_a - at_a - 1, n_b - at_b - 1))"
     fits = F.expr(f"label_a < label_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) "
                   f"AND 100 * {most} >= {percent} * (n_a + n_b - {most})")
-    return left.join(right, (left["e"] == right["e"]) & fits).select(
+    return left.join(_dealt(right), (left["e"] == right["e"]) & fits).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -203,16 +209,16 @@ def _groups(df: DataFrame, percent: int, text: str, key: str, rows: int = 4) ->
 
     keyed = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = keyed.join(buckets.select("bucket", "size"), "bucket")
+    met = keyed.join(_dealt(buckets), "bucket")
     nodes = met.groupBy("node").agg(F.sum("size").alias("centre"))
-    members = _saved(met.join(nodes, "node").select("bucket", "node", "centre", F.col("node").alias("label")), "members")
-    nodes = nodes.select("node")
-    wanted = nodes.join(classes.select("node", "digest", "name"), "node")
+    members = _saved(met.join(_dealt(nodes), "node").select("bucket", "node", "centre", F.col("node").alias("label")), "members")
+    nodes = members.select("node").distinct()
+    wanted = nodes.join(_dealt(classes.select("node", "digest", "name")), "node")
     sets = _saved(_sets(df, wanted, text, key), "sets")
     first, open_ = nodes.withColumn("label", F.col("node")), members
     for turn in range(STARS):
         spokes = _saved(_spokes(open_, turn), "spokes")
-        links = _verified(spokes.select("a", "b"), sets, percent).join(spokes, ["a", "b"]).select(
+        links = _verified(spokes.select("a", "b"), sets, percent).join(_dealt(spokes), ["a", "b"]).select(
             F.col("label_a").alias("a"), F.col("label_b").alias("b"))
         links = _saved(links.distinct(), "stars")
         if links.isEmpty():
@@ -225,16 +231,16 @@ def _groups(df: DataFrame, percent: int, text: str, key: str, rows: int = 4) ->
     open_ = _saved(_mixed(open_).select("node", "label").distinct(), "open")
     more = _verified(_prefix_pairs(open_, sets, percent), sets, percent)
     labelled = open_
-    merged = components(more.join(labelled.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
-        labelled.withColumnsRenamed({"node": "b", "label": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    merged = components(more.join(_dealt(labelled.withColumnsRenamed({"node": "a", "label": "la"})), "a").join(
+        _dealt(labelled.withColumnsRenamed({"node": "b", "label": "lb"})), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
-    placed = classes.select("digest", "node", "name").join(first, "node", "left").select(
-        "digest", "name", F.coalesce("label", "node").alias("node")).join(merged, "node", "left").select(
+    placed = classes.select("digest", "node", "name").join(_dealt(first), "node", "left").select(
+        "digest", "name", F.coalesce("label", "node").alias("node")).join(_dealt(merged), "node", "left").select(
         "digest", "name", F.coalesce("label", "node").alias("label"))
     placed = _saved(placed, "placed")
-    final = placed.join(placed.groupBy("label").agg(F.min("name").alias("winner")), "label").select("digest", "winner")
+    final = placed.join(_dealt(placed.groupBy("label").agg(F.min("name").alias("winner"))), "label").select("digest", "winner")
     named = drawn.withColumn("name", F.struct("doc_id", "mark"))
-    linked = named.where("n_shingles > 0 AND doc_id IS NOT NULL").join(final, "digest").select(
+    linked = named.where("n_shingles > 0 AND doc_id IS NOT NULL").join(_dealt(final), "digest").select(
         "doc_id", "n_shingles", F.col("winner.doc_id").alias("component_id"), (F.col("name") == F.col("winner")).alias("kept"), "name")
     alone = named.where("n_shingles = 0 OR doc_id IS NULL").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "name")

@@ -221,5 +221,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces, with whatever columns they carry, and their ``sequence_id`` and ``offset``."""
     spots = place(pieces, capacity)
     full = F.col("length") >= capacity
+    # dealt by the key: Spark takes members before they are exploded for the size of the spots and would send all of them to every task
     settled = pieces.where(full).withColumns({"sequence_id": F.col("piece_id"), "offset": F.lit(0).cast("bigint")})
-    return pieces.where(~full).join(spots, "piece_id").select(*pieces.columns, "sequence_id", "offset").unionByName(settled)
+    return pieces.where(~full).join(spots.hint("merge"), "piece_id").select(*pieces.columns, "sequence_id", "offset").unionByName(settled)

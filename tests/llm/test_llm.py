@@ -787,3 +787,27 @@ def test_substring_dedup(spark, docs, empty, monkeypatch, many, room):
             (i, sha) for i, _, _, sha in _left([r for r in rows if r[1] is not None], 12))
         assert out.where("text is null").count() == sum(t is None for _, t in rows)
         assert substrings.decide(empty).count() == 0 and substrings.drop_repeats(empty).count() == 0
+
+
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_sends_no_table_that_grows_to_every_task(spark, monkeypatch):
+    """Small files of bands explode into far more rows than Spark expects, so sizes must not choose the joins."""
+    plans, saved = [], minhash._saved
+    monkeypatch.setattr(minhash, "_saved", lambda df, label: plans.append((label, _planned(df))) or saved(df, label))
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    rows = [(i, " ".join(base[:30 + i % 25] if i % 2 else (f"v{rng.randrange(300)}" for _ in range(40)))) for i in range(60)]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 80)
+    plans.append(("groups", _planned(got)))
+    assert {"members", "sets", "stars", "groups", "placed"} <= {label for label, _ in plans}
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
+    assert any(not r.kept for r in got.collect())
+
+
+def test_packing_sends_no_places_to_every_task(spark):
+    rows = spark.range(50).select(F.col("id").alias("piece_id"), (F.col("id") % 9 * 200 + 100).alias("length"))
+    out = packing.pack(rows)
+    assert "Broadcast" not in _planned(out) and out.count() == 50
