@@ -1,5 +1,7 @@
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablemill.operators import mesh, pages, science, subtitles
@@ -227,3 +229,37 @@ def test_level_and_rough_bands_across_batches(spark, frame):
     got = sorted((r["doc"], r["page"], r["band"], r["line"], r["y"], r["text"]) for r in rows)
     assert got == [(1, 1, n, 0, 101.0 - 10 * n, f"w{n} 3 w{n} 2 w{n} 1 w{n} 0") for n in range(5)] + [
         (1, 2, 0, 0, 50.0, "a b"), (1, 2, 0, 1, 47.0, "c"), (2, 1, 0, 0, 1.0, "y x z")]
+
+
+def test_pages_are_shuffled_once(spark, frame):
+    """Runs of ordinary pages are not shuffled for their heights and again for their bands, but packed, and once."""
+    runs = [(d, p, 7919 * i % 1003, float(i % 8), 800.0 - i // 8 * 12 + i % 2 * 0.75, f"w{i}") for d in (1, 2) for p in (0, 1) for i in range(200)]
+    out = pages.reconstruct_lines(frame(runs, "doc int, page int, seq int, x double, y double, str string"))
+    got = sorted((r["doc"], r["page"], r["band"], r["text"]) for r in out.collect())
+    assert got == [(d, p, n, " ".join(f"w{8 * n + k}" for k in range(8))) for d in (1, 2) for p in (0, 1) for n in range(25)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("== Initial Plan ==")]
+    assert plan.count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in plan, plan
+
+
+@pytest.mark.parametrize("seq", ["int", "string"])
+def test_packed_pages_hold_what_large_ones_do(spark, frame, seq):
+    """Missing keys, heights, places and numbers, split packs and pages of both kinds give the lines of large pages."""
+    rng = random.Random(7)
+    heights = [0.0, -0.0, 1.0, 2.0, 3.9, 10.5, float("nan"), float("inf"), float("-inf"), None, 98.0, 96.1]
+    runs = []
+    for d in (1, 2, None):
+        for p in (1, 2, None):
+            for k in range(rng.choice([1, 30, 90])):
+                number = len(runs) * 7919 % 100_003
+                runs.append((d, p, None if k == 0 else str(number) if seq == "string" else number, rng.choice([0.0, 1.5, None, float("nan")]),
+                             rng.choice(heights), rng.choice(["a", "b ü", " c ", "", None, "d" * 70_000])))
+    rng.shuffle(runs)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = frame(runs, f"doc int, page int, seq {seq}, x double, y double, str string")
+        got = [sorted(str(tuple(r)) for r in pages.reconstruct_lines(df, chunk=chunk).collect()) for chunk in (1, 30, 20_000)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got[0] and got[0] == got[1] == got[2]
